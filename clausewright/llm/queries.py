@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clausewright.llm import decontaminate, linededup, quality
+from clausewright.llm import decontaminate, linededup, packing, quality
 from clausewright.llm.shared import fold
 
 
@@ -23,6 +23,18 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score", "predicted")
 
 
+def _byte_tokenizer() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of 2048 tokens."""
+    cut = packing.pieces(_table(spark, sf_dir, "documents"), {"doc_id": F.col("doc_id")}, _byte_tokenizer())
+    return packing.pack(cut, ["doc_id"])
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without lines that ten documents have."""
     return linededup.drop_lines(_table(spark, sf_dir, "documents"), {"doc_id": F.col("doc_id")}).drop("text")
@@ -36,6 +48,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
+    "op3_packing": op3_packing,
     "op5_line_dedup": op5_line_dedup,
     "op10_decontaminate": op10_decontaminate,
 }
