@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clausewright.llm import decontaminate, linededup, packing, quality
+from clausewright.llm import decontaminate, linededup, neardup, packing, quality
 from clausewright.llm.shared import fold
 
 
@@ -40,6 +40,11 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.drop_lines(_table(spark, sf_dir, "documents"), {"doc_id": F.col("doc_id")}).drop("text")
 
 
+def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents that share three quarters of their five-word shingles."""
+    return neardup.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark windows in every document."""
     found = decontaminate.decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), {"doc_id": F.col("doc_id")})
@@ -50,6 +55,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op3_packing": op3_packing,
     "op5_line_dedup": op5_line_dedup,
+    "op7_near_dedup": op7_near_dedup,
     "op10_decontaminate": op10_decontaminate,
 }
 
