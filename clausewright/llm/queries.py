@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clausewright.llm import decontaminate, linededup, neardup, packing, quality
+from clausewright.llm import decontaminate, langid, linededup, neardup, packing, quality
 from clausewright.llm.shared import fold
 
 
@@ -40,6 +40,13 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.drop_lines(_table(spark, sf_dir, "documents"), {"doc_id": F.col("doc_id")}).drop("text")
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document."""
+    docs = _table(spark, sf_dir, "documents")
+    found = langid.identify(docs, langid.fit(docs), {"doc_id": F.col("doc_id")})
+    return found.select("doc_id", (fold(F.col("doc_id"), 3) == 1).alias("held_out"), "lang_pred", "score", "rejected")
+
+
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents that share three quarters of their five-word shingles."""
     return neardup.near_duplicates(_table(spark, sf_dir, "documents"))
@@ -55,6 +62,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op3_packing": op3_packing,
     "op5_line_dedup": op5_line_dedup,
+    "op6_language_id": op6_language_id,
     "op7_near_dedup": op7_near_dedup,
     "op10_decontaminate": op10_decontaminate,
 }
