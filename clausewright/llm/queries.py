@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clausewright.llm import decontaminate, langid, linededup, neardup, packing, quality
+from clausewright.llm import decontaminate, langid, linededup, neardup, packing, quality, rules, urlfilter
 from clausewright.llm.shared import fold
 
 
@@ -23,6 +23,11 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score", "predicted")
 
 
+def op2_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rule ledger of every document, and policy v1."""
+    return rules.apply_policy(rules.ledger(_table(spark, sf_dir, "documents"), {"doc_id": F.col("doc_id")}))
+
+
 def _byte_tokenizer() -> str:
     import public_tokenizers
 
@@ -52,6 +57,15 @@ def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's host, path, rule and verdict.  The document that a page shows is the number in its path."""
+    pages = _table(spark, sf_dir, "pages")
+    shown = F.regexp_extract("url", r"://[^/?#]*/[^/?#]*/(\d{1,18})", 1).try_cast("bigint")
+    labels = _table(spark, sf_dir, "labels").select("doc_id", (F.col("quality") == 0).cast("int").alias("bad"))
+    outcomes = pages.select(shown.alias("doc_id"), urlfilter.host_of(F.col("url")).alias("host")).join(labels, "doc_id").select("host", "bad")
+    return urlfilter.judge(pages, outcomes, {"page_id": F.col("page_id")})
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark windows in every document."""
     found = decontaminate.decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), {"doc_id": F.col("doc_id")})
@@ -60,14 +74,69 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
+    "op2_rules": op2_rules,
     "op3_packing": op3_packing,
     "op5_line_dedup": op5_line_dedup,
     "op6_language_id": op6_language_id,
     "op7_near_dedup": op7_near_dedup,
+    "op9_url_filter": op9_url_filter,
     "op10_decontaminate": op10_decontaminate,
 }
 
 ORACLES: dict[str, str] = {
+    "op2_rules": """
+        WITH t AS (
+            SELECT doc_id, coalesce(text, '') AS t,
+                   list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS w,
+                   list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS l
+            FROM documents),
+        win AS (
+            SELECT doc_id, i, array_to_string(w[i:i + 7], ' ') AS k
+            FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS i FROM t WHERE len(w) >= 8)),
+        twice AS (SELECT doc_id, i FROM win QUALIFY count(*) OVER (PARTITION BY doc_id, k) > 1),
+        rep AS (
+            SELECT doc_id, sum(least(8, coalesce(nxt - i, 8))) AS r
+            FROM (SELECT doc_id, i, lead(i) OVER (PARTITION BY doc_id ORDER BY i) AS nxt FROM twice) GROUP BY doc_id),
+        m AS (
+            SELECT t.doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
+                   (length(t) - length(translate(t, '#*$%&|<>', '')))::BIGINT AS n_symbols,
+                   (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines,
+                   coalesce(rep.r, 0)::BIGINT AS n_repeat_words, len(string_split(t, chr(10))) AS n_lines
+            FROM t LEFT JOIN rep ON t.doc_id = rep.doc_id),
+        f AS (
+            SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+                   ((n_words < 20)::BIGINT + 2 * (100 * n_repeat_words > 30 * n_words)::BIGINT
+                    + 4 * (100 * n_symbols > 5 * word_chars)::BIGINT + 8 * (100 * n_dup_lines > 50 * n_lines)::BIGINT
+                    + 16 * (word_chars < 2 * n_words)::BIGINT + 32 * (word_chars > 15 * n_words)::BIGINT)::BIGINT AS failed FROM m)
+        SELECT *, failed & 3 <> 0 AS base_failed, failed & 15 = 0 AS kept FROM f""",
+    "op9_url_filter": """
+        WITH p AS (
+            SELECT page_id, url, coalesce(translate(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'),
+                       'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+                   coalesce(regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's'), '') AS path FROM pages),
+        o AS (
+            SELECT host, (l.quality = 0)::INT AS bad
+            FROM p JOIN labels l ON l.doc_id = try_cast(regexp_extract(url, '://[^/?#]*/[^/?#]*/(\\d{1,18})', 1) AS BIGINT)
+            WHERE host <> '' AND l.quality IS NOT NULL),
+        h AS (
+            SELECT host, count(*) AS n, sum(bad) AS bad, split_part(host, '.', -1) AS suffix,
+                   array_to_string(string_split(host, '.')[-2:], '.') AS domain FROM o GROUP BY host),
+        d AS (SELECT domain, suffix, sum(n) AS dn, sum(bad) AS db FROM h GROUP BY domain, suffix),
+        s AS (SELECT suffix, (sum(db) + 20.0 * (SELECT (sum(db) + 1)::DOUBLE / (sum(dn) + 2) FROM d)) / (sum(dn) + 20.0) AS sr FROM d GROUP BY suffix),
+        dr AS (SELECT domain, d.suffix, (db + 20.0 * sr) / (dn + 20.0) AS dr FROM d JOIN s ON d.suffix = s.suffix),
+        r AS (SELECT host, n, (bad + 20.0 * dr) / (n + 20.0) AS rate FROM h JOIN dr ON h.domain = dr.domain AND h.suffix = dr.suffix),
+        b AS (SELECT host FROM r WHERE rate - 2.33 * sqrt(rate * (1 - rate) / (n + 20.0 + 1)) > 0.3),
+        v AS (
+            SELECT page_id, p.host, path, b.host IS NOT NULL AS bad,
+                   CASE WHEN (p.host = 'example.net' OR p.host LIKE '%.example.net') AND starts_with(path, '/de/8') THEN 'example.net/de/8'
+                        WHEN (p.host = 'example.com' OR p.host LIKE '%.example.com') AND starts_with(path, '/en/7') THEN 'example.com/en/7'
+                        WHEN (p.host = 'org' OR p.host LIKE '%.org') AND starts_with(path, '/es/') THEN 'org/es/'
+                        WHEN (p.host = 'net' OR p.host LIKE '%.net') AND starts_with(path, '/de/') THEN 'net/de/'
+                        WHEN (p.host = 'com' OR p.host LIKE '%.com') AND starts_with(path, '/en/') THEN 'com/en/' END AS rule
+            FROM p LEFT JOIN b ON p.host = b.host)
+        SELECT page_id, host, path, rule,
+               CASE WHEN rule IN ('example.com/en/7', 'net/de/') THEN 'allow' WHEN rule IS NOT NULL OR bad THEN 'block' ELSE 'allow' END AS verdict
+        FROM v""",
     "op5_line_dedup": """
         WITH l AS (
             SELECT doc_id, i, line, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
