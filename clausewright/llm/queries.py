@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clausewright.llm import decontaminate, langid, linededup, neardup, packing, quality, rules, urlfilter
+from clausewright.llm import decontaminate, langid, linededup, neardup, packing, quality, rules, secrets, urlfilter
 from clausewright.llm.shared import fold
 
 
@@ -57,6 +57,11 @@ def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every document."""
+    return secrets.scan(_table(spark, sf_dir, "documents"), {"doc_id": F.col("doc_id")}).drop("found")
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page's host, path, rule and verdict.  The document that a page shows is the number in its path."""
     pages = _table(spark, sf_dir, "pages")
@@ -79,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_line_dedup": op5_line_dedup,
     "op6_language_id": op6_language_id,
     "op7_near_dedup": op7_near_dedup,
+    "op8_secrets": op8_secrets,
     "op9_url_filter": op9_url_filter,
     "op10_decontaminate": op10_decontaminate,
 }
