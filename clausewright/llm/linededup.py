@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clausewright.llm.shared import as_bytes, new_folder, settle, text_map, with_text
+from clausewright.llm.shared import as_bytes, file_system, new_folder, settle, text_map, with_text
 from clausewright.llm.wordhash import chunks, mix
 
 _STRIP = b" \t\n\x0b\x0c\r"
@@ -165,9 +165,8 @@ def build_index(documents: DataFrame, text: str = "text", min_docs: int = 10, mi
 def open_shards(folder: str) -> dict[int, Shard]:
     """All shards of a folder, read by whichever file system its path names."""
     import pyarrow.dataset as ds
-    from pyarrow import fs
 
-    system, path = fs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else f"file://{folder}")
+    system, path = file_system(folder)
     out = {}
     for batch in ds.dataset(path, filesystem=system, format="parquet").to_batches(batch_size=1):
         for k, data in zip(batch.column("shard").to_pylist(), batch.column("data").to_pylist(), strict=True):

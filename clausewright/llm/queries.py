@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clausewright.llm import decontaminate, langid, linededup, neardup, packing, quality, rules, secrets, urlfilter
-from clausewright.llm.shared import fold
+from clausewright.llm import decontaminate, langid, linededup, neardup, packing, quality, rules, secrets, urlfilter, warc
+from clausewright.llm.shared import fold, new_folder
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,6 +40,13 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(cut, ["doc_id"])
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to WARC files and read back."""
+    folder = new_folder(spark, "warc")
+    warc.write(_table(spark, sf_dir, "pages"), folder)
+    return warc.read(spark, folder).drop("file")
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without lines that ten documents have."""
     return linededup.drop_lines(_table(spark, sf_dir, "documents"), {"doc_id": F.col("doc_id")}).drop("text")
@@ -81,6 +88,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_rules": op2_rules,
     "op3_packing": op3_packing,
+    "op4_warc": op4_warc,
     "op5_line_dedup": op5_line_dedup,
     "op6_language_id": op6_language_id,
     "op7_near_dedup": op7_near_dedup,
@@ -143,6 +151,12 @@ ORACLES: dict[str, str] = {
         SELECT page_id, host, path, rule,
                CASE WHEN rule IN ('example.com/en/7', 'net/de/') THEN 'allow' WHEN rule IS NOT NULL OR bad THEN 'block' ELSE 'allow' END AS verdict
         FROM v""",
+    "op4_warc": """
+        WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+        q AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS target FROM p)
+        SELECT page_id, payload_bytes::BIGINT AS payload_bytes, payload_digest,
+               CASE WHEN payload_bytes >= 1000 AND page_id <> target THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN payload_bytes >= 1000 AND page_id <> target THEN target END AS refers_to FROM q""",
     "op5_line_dedup": """
         WITH l AS (
             SELECT doc_id, i, line, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),

@@ -33,6 +33,13 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def file_system(path: str):
+    """The pyarrow file system and the path in it of a folder that Spark names with or without a scheme."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
+
+
 def settle(df: DataFrame) -> DataFrame:
     """``df`` computed once and kept in the shared folder, so that it survives lost executors."""
     shared_dir(df.sparkSession)
