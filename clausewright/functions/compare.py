@@ -19,7 +19,24 @@ def ratio_of(a: str | None, b: str | None) -> float:
     return SequenceMatcher(None, a, b).ratio() if a and b else 0.0
 
 
-@F.pandas_udf("double")
+def _udf(schema: str):
+    """A pandas UDF made when it is first used, as schemas in words need a session."""
+
+    def wrap(f):
+        made: list = []
+
+        def call(*columns):
+            if not made:
+                made.append(F.pandas_udf(f, schema))
+            return made[0](*columns)
+
+        call.__doc__, call.__name__ = f.__doc__, f.__name__
+        return call
+
+    return wrap
+
+
+@_udf("double")
 def text_ratio(old: pd.Series, new: pd.Series) -> pd.Series:
     """Character similarity, 0 if either text is empty."""
     return pd.Series([ratio_of(a, b) for a, b in zip(old, new, strict=True)], dtype="float64")
@@ -50,7 +67,7 @@ def diff_of(old: str | None, new: str | None) -> dict:
     return out
 
 
-@F.pandas_udf(DIFF)
+@_udf(DIFF)
 def word_diff(old: pd.Series, new: pd.Series) -> pd.DataFrame:
     rows = [diff_of(a, b) for a, b in zip(old, new, strict=True)]
     return pd.DataFrame(rows, columns=["has_changes", "added_words", "removed_words", "modified_segments", "similarity_ratio", "change_density", "diff_ops"])
@@ -90,7 +107,7 @@ def number_changes_of(old: str | None, new: str | None) -> list[dict]:
     return out
 
 
-@F.pandas_udf(NUMBERS)
+@_udf(NUMBERS)
 def number_changes(old: pd.Series, new: pd.Series) -> pd.Series:
     return pd.Series([number_changes_of(a, b) for a, b in zip(old, new, strict=True)])
 

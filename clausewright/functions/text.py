@@ -11,12 +11,15 @@ from pyspark.sql import functions as F
 from clausewright import lexicon
 
 
-@F.pandas_udf("string")
-def nfc(text: pd.Series) -> pd.Series:
-    """Canonical composition; no built-in function has it."""
+def _nfc(text: pd.Series) -> pd.Series:
     return text.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFC", t))
 
 
+def nfc(text: Column) -> Column:
+    """Canonical composition; no built-in function has it."""
+    return F.pandas_udf(_nfc, "string")(text)
+
+
 def strip(t: Column) -> Column:
     """Without white space of any kind at both ends; trim() only takes spaces."""
     return F.regexp_replace(t, r"(?U)^\s+|\s+$", "")

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clausewright.functions.compare import ratio_of, text_ratio
+from clausewright.sources import tables
 
 EXACT_RATIO, HEADING_RATIO, ACCEPT, FEATURES = 0.3, 0.7, 0.5, 5000
 _PAIR = "comparison_id string, old_node_id string, new_node_id string, confidence double, match_method string, similarity_scores map<string,double>, rank double, tie int"
@@ -132,7 +133,7 @@ def greedy(scores: DataFrame, old_order: str = "old_id", new_order: str = "new_i
     A pair that is first for both its nodes is what a sequential scan would take; pairs that touch it go, and the rest
     is searched again.  This equals the scan because the order is total.  Each round is settled.
     """
-    settle = settle or (lambda df: df.checkpoint())
+    settle = settle or tables.settle
     order = [F.desc("score"), F.desc(old_order), F.desc(new_order)]
     left, taken = settle(scores), None
     while not left.isEmpty():
@@ -173,12 +174,9 @@ def align(old: DataFrame, new: DataFrame, embed: Callable[[DataFrame], DataFrame
     """
     found: list[DataFrame] = []
 
-    def settle(df: DataFrame) -> DataFrame:
-        return df.checkpoint()
-
     def add(layer: DataFrame, k: int) -> None:
         nonlocal old, new
-        layer = settle(layer.withColumn("layer", F.lit(k)))
+        layer = tables.settle(layer.withColumn("layer", F.lit(k)))
         found.append(layer)
         old, new = _left(old, layer, "old_node_id"), _left(new, layer, "new_node_id")
 

@@ -13,6 +13,7 @@ from clausewright.functions import extract as E
 from clausewright.functions import scores as S
 from clausewright.operators import align as A
 from clausewright.operators import structure
+from clausewright.sources.tables import settle
 
 
 def reference(prefix: str) -> Column:
@@ -103,7 +104,7 @@ def compare(old_pages: DataFrame, new_pages: DataFrame, comparisons: DataFrame,
     missing = asked.join(known, "document_id", "left_anti").limit(5).collect()
     if missing:
         raise ValueError(f"unknown documents: {[r.document_id for r in missing]}")
-    old, new = (structure.nodes(p, compose).checkpoint() for p in (old_pages, new_pages))
+    old, new = (settle(structure.nodes(p, compose)) for p in (old_pages, new_pages))
     unit = lambda df, side: structure.clause_units(df).join(comparisons.select("comparison_id", F.col(f"{side}_document_id").alias("document_id")), "document_id")
     aligned = A.align(unit(old, "old"), unit(new, "new"), embed)
     return classify(aligned, old.unionByName(new).dropDuplicates(["node_id"]))

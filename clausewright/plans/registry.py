@@ -1,4 +1,4 @@
-"""All registered queries and their SQL."""
+"""All registered queries and the DuckDB SQL of those that SQL can express."""
 
 from __future__ import annotations
 
@@ -6,5 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+from clausewright.plans import change_queries, structure_queries, text_queries
+
+_PARTS = (text_queries, structure_queries, change_queries)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: v for p in _PARTS for k, v in p.QUERIES.items()}
+ORACLES: dict[str, str] = {k: v for p in _PARTS for k, v in p.ORACLES.items()}
