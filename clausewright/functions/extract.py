@@ -87,8 +87,8 @@ def direction(old: Column, new: Column) -> Column:
 
 def obligation_terms(text: Column) -> Column:
     """The terms that occur as words, each once, in the lexicon's order."""
-    terms = F.array(*map(F.lit, lexicon.OBLIGATIONS))
-    return F.filter(terms, lambda t: F.coalesce(text, F.lit("")).rlike(F.concat(F.lit(r"(?iU)\b"), t, F.lit(r"\b"))))
+    t = F.coalesce(text, F.lit(""))
+    return F.array_compact(F.array(*[F.when(t.rlike(rf"(?iU)\b{term}\b"), F.lit(term)) for term in lexicon.OBLIGATIONS]))
 
 
 def strength(terms: Column) -> Column:
@@ -97,13 +97,17 @@ def strength(terms: Column) -> Column:
 
 
 def conditionals(text: Column) -> Column:
-    phrases = F.array(*map(F.lit, lexicon.CONDITIONALS))
-    return F.filter(phrases, lambda p: F.coalesce(text, F.lit("")).rlike(F.concat(F.lit("(?iU)"), F.replace(p, F.lit(" "), F.lit(r"\s+")))))
+    t = F.coalesce(text, F.lit(""))
+    return F.array_compact(F.array(*[F.when(t.rlike("(?iU)" + p.replace(" ", r"\s+")), F.lit(p)) for p in lexicon.CONDITIONALS]))
 
 
 def obligation_change(old: Column, new: Column) -> Column:
     """Struct of terms, strengths, direction and explanation."""
-    a, b = obligation_terms(old), obligation_terms(new)
+    found = F.struct(obligation_terms(old).alias("a"), obligation_terms(new).alias("b"), conditionals(old).alias("c"), conditionals(new).alias("d"))
+    return F.transform(F.array(found), lambda x: _obligation_change(x["a"], x["b"], x["c"], x["d"]))[0]
+
+
+def _obligation_change(a: Column, b: Column, before: Column, after: Column) -> Column:
     s, t = strength(a), strength(b)
     ja, jb = F.array_join(a, ", "), F.array_join(b, ", ")
     no_a, no_b = F.size(a) == 0, F.size(b) == 0
@@ -117,7 +121,7 @@ def obligation_change(old: Column, new: Column) -> Column:
         .when(F.array_sort(a) != F.array_sort(b), quoted("Obligation language changed", " (same strength level)"))
         .otherwise("")
     )
-    more, less = F.array_sort(F.array_except(conditionals(new), conditionals(old))), F.array_sort(F.array_except(conditionals(old), conditionals(new)))
+    more, less = F.array_sort(F.array_except(after, before)), F.array_sort(F.array_except(before, after))
     told = F.concat(
         told,
         F.when(F.size(more) > 0, F.concat(F.lit(" New conditions added: "), F.array_join(more, ", "), F.lit("."))).otherwise(""),

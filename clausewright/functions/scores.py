@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 from clausewright import lexicon
 
 
+def once(value: Column, f) -> Column:
+    """``f`` of a value that is computed once, in an expression whose generated code stays small."""
+    return F.transform(F.array(value), f)[0]
+
+
 def category_name(code: Column) -> Column:
     names = F.create_map(*[F.lit(x) for pair in lexicon.CATEGORIES.items() for x in pair])
     return F.coalesce(F.try_element_at(names, code), code)
@@ -30,8 +35,8 @@ def category_scores(changed: Column, full: Column) -> Column:
 
 def keyword_category(changed: Column, full: Column) -> Column:
     """The category with the most hits, the first declared among equals; C03 without a hit."""
-    best = F.array_max(category_scores(changed, full))
-    return F.when(best["score"] > 0, best["code"]).otherwise("C03")
+    best = once(F.struct(changed.alias("c"), full.alias("f")), lambda x: F.array_max(category_scores(x["c"], x["f"])))
+    return once(best, lambda b: F.when(b["score"] > 0, b["code"]).otherwise("C03"))
 
 
 def pair_category(is_definition: Column, numbers: Column, direction: Column, changed: Column, full: Column) -> Column:
@@ -48,12 +53,15 @@ def pair_category(is_definition: Column, numbers: Column, direction: Column, cha
 
 def added_category(text: Column, is_definition: Column) -> Column:
     """The first category with two groups in the text, else C12 for definitions, else C01."""
-    out = F.when(is_definition, "C12").otherwise("C01")
-    low = F.lower(F.coalesce(text, F.lit("")))
-    for code, groups in reversed(lexicon.CATEGORY_GROUPS.items()):
-        hits = sum((F.when(_hit(low, g), 1).otherwise(0) for g in groups), F.lit(0))
-        out = F.when(hits >= 2, code).otherwise(out)
-    return out
+
+    def first(low: Column) -> Column:
+        out = F.lit(None).cast("string")
+        for code, groups in reversed(lexicon.CATEGORY_GROUPS.items()):
+            hits = sum((F.when(_hit(low, g), 1).otherwise(0) for g in groups), F.lit(0))
+            out = F.when(hits >= 2, code).otherwise(out)
+        return out
+
+    return F.coalesce(once(F.lower(F.coalesce(text, F.lit(""))), first), F.when(is_definition, "C12").otherwise("C01"))
 
 
 def change_type(old_section: Column, new_section: Column, ratio: Column, substantive: Column) -> Column:

@@ -173,6 +173,7 @@ def align(old: DataFrame, new: DataFrame, embed: Callable[[DataFrame], DataFrame
     ``embed`` adds unit vectors in ``embedding``; without it the semantic layer is left out.  Every unit is in one row.
     """
     found: list[DataFrame] = []
+    new = new.select(*[F.col(c).alias(c) for c in new.columns])  # both sides may come from one table
 
     def add(layer: DataFrame, k: int) -> None:
         nonlocal old, new

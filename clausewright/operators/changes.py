@@ -29,7 +29,7 @@ def classify(alignments: DataFrame, nodes: DataFrame) -> DataFrame:
     Pairs of equal normalised text are dropped before anything reaches Python; pairs of equal text are no changes.
     Changes are numbered within their comparison, in the order of layers and of what each layer reports.
     """
-    node = F.struct(*[F.col(c) for c in nodes.columns])
+    node = F.struct("node_id", "document_id", "page_start", "page_end", "section_number", "heading", "text", "normalized_text", "content_type")
     n = nodes.select(F.col("node_id").alias("_id"), node.alias("_n"))
     both = alignments.join(n.select(F.col("_id").alias("old_node_id"), F.col("_n").alias("o")), "old_node_id", "left").join(n.select(F.col("_id").alias("new_node_id"), F.col("_n").alias("w")), "new_node_id", "left")
     paired = F.col("alignment_type") == "ONE_TO_ONE"

@@ -87,7 +87,7 @@ _D1, _D3 = ("(?:within\\s+)?(\\d+)\\s*(days?|months?|years?|weeks?|hours?)", "(?
 QUERIES["money_extract"] = _exploded("money", E.money)
 ORACLES["money_extract"] = f"""WITH {C.SQL} {_LIST} (SELECT section,
     regexp_extract_all(text, '(?i)INR\\s*\\d+\\s*(?:crore|crores|lakh|lakhs|thousand|million|billion)?', 0) || regexp_extract_all(text, '(?i)\\d+\\s*(?:crore|crores|lakh|lakhs)\\b', 0) AS m,
-    [lakh * 100000.0, lakh * 100000.0] AS v, ['lakh', 'lakh'] AS u FROM olds)"""
+    [lakh * 100000.0::DOUBLE, lakh * 100000.0::DOUBLE] AS v, ['lakh', 'lakh'] AS u FROM olds)"""
 QUERIES["percent_extract"] = _exploded("percent", E.percentages)
 ORACLES["percent_extract"] = f"""WITH {C.SQL} {_LIST} (SELECT section, regexp_extract_all(text, '(?i)(\\d+(?:\\.\\d+)?)\\s*(?:per\\s*cent|percent|%)', 0) AS m,
     list_transform(regexp_extract_all(text, '(?i)(\\d+(?:\\.\\d+)?)\\s*(?:per\\s*cent|percent|%)', 1), lambda x: cast(x AS DOUBLE)) AS v, ['%'] AS u FROM olds)"""

@@ -146,6 +146,6 @@ SQL_CHANGES = f"""{SQL},
     changes AS (
         SELECT *, CASE WHEN NOT is_substantive THEN 'INFORMATIONAL' WHEN score >= 6 THEN 'CRITICAL' WHEN score >= 4 THEN 'HIGH' WHEN score >= 3 THEN 'MEDIUM' WHEN score >= 1 THEN 'LOW' ELSE 'INFORMATIONAL' END AS impact,
             'CMP_' || cast(k % 4 AS STRING) AS comparison_id, coalesce(old_text, '') AS old_requirement, coalesce(new_text, '') AS new_requirement,
-            round(CASE WHEN change_type <> 'MODIFIED' THEN 0.9 ELSE 0.2 + 0.25 * 0.85 + 0.15 * (CASE WHEN money_size IS NULL AND days_size IS NULL THEN 1.0 ELSE 0.5 END) + 0.15 * 0.9 + 0.05 END, 6) AS confidence_overall,
-            'CHG-' || lpad(cast(row_number() OVER (PARTITION BY k % 4 ORDER BY CASE change_type WHEN 'MODIFIED' THEN 0 WHEN 'REMOVED' THEN 4 ELSE 5 END, k) AS STRING), greatest(4, length(cast(row_number() OVER (PARTITION BY k % 4 ORDER BY CASE change_type WHEN 'MODIFIED' THEN 0 WHEN 'REMOVED' THEN 4 ELSE 5 END, k) AS STRING))), '0') AS change_id,
+            round(CASE WHEN change_type <> 'MODIFIED' THEN 0.9::DOUBLE ELSE 0.2 + 0.25 * 0.85 + 0.15 * (CASE WHEN money_size IS NULL AND days_size IS NULL THEN 1.0 ELSE 0.5 END) + 0.15 * 0.9 + 0.05 END, 6) AS confidence_overall,
+            'CHG-' || lpad(cast(row_number() OVER (PARTITION BY k % 4 ORDER BY CASE change_type WHEN 'MODIFIED' THEN 0 WHEN 'REMOVED' THEN 4 ELSE 5 END, k) AS STRING), greatest(4, length(cast(row_number() OVER (PARTITION BY k % 4 ORDER BY CASE change_type WHEN 'MODIFIED' THEN 0 WHEN 'REMOVED' THEN 4 ELSE 5 END, k) AS STRING)))::INT, '0') AS change_id,
             'Category: ' || CASE category {_names} END || '.' AS category_text FROM score_)"""
