@@ -11,8 +11,8 @@ first one.  Four registers are one 64-bit band key, so 32 bands miss a pair at s
 3. Buckets that still join several components are searched in blocks of bounded size.  Pairs across components,
    each in the first band that they share, are estimated from the registers, corrected for registers that are
    equal by chance; those that may reach the threshold are confirmed on full sets, until connected.
-   Nothing emits a bucket's pairs: blocks return members, and then links of a spanning forest.
-4. Components of all links, by hooking and pointer jumping on tables.
+   Nothing emits a bucket's pairs: blocks return members, and then links between components, a forest of them.
+4. Components, by hooking and pointer jumping on tables; the second round joins those of the first.
 """
 
 from __future__ import annotations
@@ -230,7 +230,7 @@ def _search_open(cut: float):
 def _search_links(cut: float, percent: int):
     def search(t: pa.Table):
         items = t.column("items").to_pylist()
-        rep, comp = t.column("rep").to_pylist(), t.column("comp").to_pylist()
+        comp = t.column("comp").to_pylist()
         root: dict[int, int] = {}
 
         def find(x: int) -> int:
@@ -244,8 +244,8 @@ def _search_links(cut: float, percent: int):
                 p, q = find(comp[i]), find(comp[j])
                 if p != q and _linked(items[i], items[j], percent):
                     root[max(p, q)] = min(p, q)
-                    a.append(rep[i])
-                    b.append(rep[j])
+                    a.append(comp[i])
+                    b.append(comp[j])
         if a:
             return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
         return None
@@ -263,11 +263,11 @@ def components(links: DataFrame) -> DataFrame:
     found = None
     while not edges.isEmpty():
         both = edges.union(edges.select("b", "a")).toDF("node", "other")
-        up = settle(both.groupBy("node").agg(F.least("node", F.min("other")).alias("comp")))
+        up = both.groupBy("node").agg(F.least("node", F.min("other")).alias("comp"))
         for _ in range(2):
             up = up.join(up.toDF("comp", "_next"), "comp").select("node", F.col("_next").alias("comp"))
         up = settle(up)
-        found = up if found is None else settle(found.join(up.toDF("comp", "_next"), "comp", "left").select("node", F.coalesce("_next", "comp").alias("comp")))
+        found = up if found is None else found.join(up.toDF("comp", "_next"), "comp", "left").select("node", F.coalesce("_next", "comp").alias("comp"))
         at_a, at_b = up.toDF("a", "_a"), up.toDF("b", "_b")
         edges = settle(edges.join(at_a, "a").join(at_b, "b").where("_a <> _b").select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b")).distinct())
     return found if found is not None else edges.toDF("node", "comp")
@@ -292,18 +292,16 @@ def near_duplicates(documents: DataFrame, doc_id: str = "doc_id", text: str = "t
     members = settle(bands.join(sizes, "bucket"))
     ids = members.select("rep").distinct()
     sets = settle(_full_sets(documents, ids, doc_id, text, width).dropDuplicates(["rep", "items"]))
-    stars = _confirm(members.where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct(), sets, percent)
-    stars = settle(stars)
-    first = components(stars)
+    first = components(_confirm(members.where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct(), sets, percent))
     placed = members.join(first.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
     several = placed.groupBy("bucket").agg(F.min("comp").alias("_low"), F.max("comp").alias("_high")).where("_low <> _high").select("bucket")
     open_ = placed.join(several, "bucket", "left_semi").join(nodes, "rep")
     flagged = _by_group(_blocks(open_), _search_open(cut), "bucket bigint, rep bigint").distinct()
     rest = open_.join(settle(flagged), ["bucket", "rep"], "left_semi").join(sets, "rep")
     more = _by_group(_blocks(rest), _search_links(cut, percent), "a bigint, b bigint")
-    links = stars.unionByName(settle(more))
-    final = components(links).toDF("rep", "comp")
-    merged = classes.join(final, "rep", "left").select("k1", "k2", F.coalesce("comp", "rep").alias("comp"))
+    second = components(more).toDF("comp", "_next")
+    merged = classes.join(first.toDF("rep", "comp"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
+    merged = merged.join(second, "comp", "left").select("k1", "k2", F.coalesce("_next", "comp").alias("comp"))
     out = sig.withColumn("_set", F.col("n_shingles") > 0).join(merged.withColumn("_set", F.lit(True)), ["k1", "k2", "_set"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("comp", "doc_id")).alias("component_id")
     return out.select("doc_id", "n_shingles", component, F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))

@@ -17,7 +17,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clausewright.llm.shared import as_bytes, fold, text_map, with_text
+from clausewright.llm.shared import as_bytes, fold, release_memory, text_map, with_text
 
 BLOCK = 2048
 LEVEL = 3
@@ -104,7 +104,10 @@ def fit(documents: DataFrame, labels: DataFrame, label: str = "quality", folds:
         w -= step
         if np.abs(step).max() < 1e-8:
             break
-    return Model(*dicts, w.tolist(), n[1] / (n[0] + n[1]))
+    model = Model(*dicts, w.tolist(), n[1] / (n[0] + n[1]))
+    del got, texts, kinds, sample, bad, good, held, sizer, x
+    release_memory()
+    return model
 
 
 def score(documents: DataFrame, model: Model, keep: dict[str, Column], text: str = "text", threshold: float = 0.3) -> DataFrame:
