@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clausewright.llm.shared import fold, text_map, with_text
+from clausewright.llm.shared import first_by_hash, fold, text_map, with_text
 from clausewright.llm.wordhash import chunks
 
 BUCKETS, WIDTH, GRAMS = 1 << 15, 16, (1, 2, 3, 4)
@@ -140,11 +140,13 @@ def logits(model: Model, texts: list[bytes]) -> np.ndarray:
 def fit(documents: DataFrame, folds: int = 3, held: int = 1, rows: int = 4000, chars: int = 1_000) -> Model:
     """A model from documents with a language whose crc32 fold isn't ``held``.
 
-    Bounded: the ``rows`` rows with the smallest hash of doc_id, of which ``chars`` characters each.  Rows without
-    language, id or text are ignored.  Without any row the only language is ``und``.
+    Bounded: the ``rows`` rows with the smallest hash of doc_id, of which ``chars`` characters each; only their ids are
+    sorted and broadcast.  Rows without language, id or letters are ignored.  Without any row the only language is ``und``.
     """
-    own = documents.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").rlike(r"\p{L}") & (fold(F.col("doc_id"), folds) != held))
-    got = own.select(F.xxhash64("doc_id").alias("h"), F.substring("text", 1, chars).alias("text"), "lang").orderBy("h", "text", "lang").limit(rows).toArrow()
+    own = documents.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (fold(F.col("doc_id"), folds) != held))
+    ids = first_by_hash(own.select("doc_id"), "doc_id", rows).distinct()
+    sample = own.select("doc_id", F.substring("text", 1, chars).alias("text"), "lang").join(F.broadcast(ids), "doc_id").where(F.col("text").rlike(r"\p{L}"))
+    got = sample.limit(2 * rows).toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending"), ("lang", "ascending")])
     return train([x.encode() for x in got.column("text").to_pylist()], got.column("lang").to_pylist()) if got.num_rows else Model(["und"], np.zeros((BUCKETS, 1)), np.zeros(1), 1.0, np.zeros(1))
 
 

@@ -17,7 +17,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clausewright.llm.shared import as_bytes, fold, release_memory, text_map, with_text
+from clausewright.llm.shared import as_bytes, first_by_hash, fold, release_memory, text_map, with_text
 
 BLOCK = 2048
 LEVEL = 3
@@ -80,7 +80,7 @@ def fit(documents: DataFrame, labels: DataFrame, label: str = "quality", folds:
     """
     own = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1) & (fold(F.col("doc_id"), folds) != 0)).select("doc_id", F.col(label).alias("label"))
     n = {r["label"]: r["count"] for r in own.groupBy("label").count().collect()}
-    picked = [own.where(F.col("label") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows) for k in (0, 1)]
+    picked = [first_by_hash(own.where(F.col("label") == k), "doc_id", rows) for k in (0, 1)]
     ids = picked[0].union(picked[1]).dropDuplicates(["doc_id"])
     got = documents.select("doc_id", F.substring(F.coalesce("text", F.lit("")), 1, chars).alias("text")).join(F.broadcast(ids), "doc_id").select("label", "text", "doc_id").limit(4 * rows).toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending")])
     kinds, texts = got.column("label").to_pylist(), as_bytes(got.column("text").combine_chunks())
