@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from clausewright.llm.shared import as_bytes, first_by_hash, fold, release_memory, text_map, with_text
 
 BLOCK = 2048
-LEVEL = 3
+LEVEL = 12
 
 
 @dataclass
