@@ -3,7 +3,8 @@
 Labelled pages are counted by host, registered domain and suffix.  A beta prior is estimated for each level from the one
 above it: the suffix is shrunk to the overall rate, the domain to its suffix, the host to its domain, each with a
 strength of ``strength`` pages.  A host is blocked if even a low bound of its posterior rate of bad pages is over a
-threshold, so hosts with few labels are never blocked for bad luck.
+threshold, so hosts with few labels are never blocked for bad luck.  A host without labels has its domain's rate, or
+without labels there its suffix's, or else the overall rate, under the same bound.
 """
 
 from __future__ import annotations
@@ -51,13 +52,16 @@ def domain_of(host: Column) -> Column:
     return F.when(F.size(labels) > n, F.array_join(F.slice(labels, F.size(labels) - n + 1, n), ".")).otherwise(host)
 
 
-def reputation(outcomes: DataFrame, strength: float = 20.0, z: float = 2.33) -> DataFrame:
-    """Per host of ``outcomes`` (host, bad): host, n, bad, rate (posterior mean), low (its bound).
+def reputation(outcomes: DataFrame, strength: float = 20.0, z: float = 2.33, others: DataFrame | None = None) -> DataFrame:
+    """Per host of ``outcomes`` (host, bad) and of ``others`` (host): host, n, bad, rate (posterior mean), low (its bound).
 
     Counts are summed before any shuffle, so a host that a third of all pages have costs a row per task; the levels above
-    are sums of these.  Null outcomes and empty hosts are ignored.
+    are sums of these.  Null outcomes and empty hosts are ignored.  Hosts of ``others`` add no counts.
     """
-    hosts = outcomes.where("bad IS NOT NULL AND host <> ''").groupBy("host").agg(F.count(F.lit(1)).alias("n"), F.sum("bad").alias("bad"))
+    seen = outcomes.where("bad IS NOT NULL").select("host", F.lit(1).alias("n"), F.col("bad").cast("bigint").alias("bad"))
+    if others is not None:
+        seen = seen.unionByName(others.select("host", F.lit(0).alias("n"), F.lit(0).cast("bigint").alias("bad")))
+    hosts = seen.where("host <> ''").groupBy("host").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     hosts = hosts.withColumn("domain", domain_of(F.col("host"))).withColumn("suffix", suffix_of(F.col("host")))
     domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("dn"), F.sum("bad").alias("db"))
     suffixes = domains.groupBy("suffix").agg(F.sum("dn").alias("sn"), F.sum("db").alias("sb"))
@@ -74,12 +78,13 @@ def reputation(outcomes: DataFrame, strength: float = 20.0, z: float = 2.33) ->
 def judge(pages: DataFrame, outcomes: DataFrame, keep: dict[str, Column], url: str = "url", rules: list[tuple[str, str]] | None = None, threshold: float = 0.3, strength: float = 20.0, z: float = 2.33) -> DataFrame:
     """Per page: ``keep``, host, path, rule, verdict (allow or block).
 
-    A rule's verdict holds; without one, block if the low bound of the host's rate of bad pages is over ``threshold``.  Null
+    A rule's verdict holds; without one, block if the low bound of the host's rate of bad pages is over ``threshold``,
+    also for hosts that ``outcomes`` doesn't have.  Null
     urls and urls without :// have empty host and path, and are allowed.  Only hosts that are blocked join with pages.
     """
     u = F.col(url)
     df = pages.select(*[c.alias(n) for n, c in keep.items()], host_of(u).alias("host"), path_of(u).alias("path"))
     rule, verdict = rule_for(F.col("host"), F.col("path"), RULES if rules is None else rules)
     df = df.withColumn("rule", rule).withColumn("_verdict", verdict)
-    blocked = reputation(outcomes, strength, z).where(F.col("low") > threshold).select("host", F.lit("block").alias("_host"))
+    blocked = reputation(outcomes, strength, z, df.select("host")).where(F.col("low") > threshold).select("host", F.lit("block").alias("_host"))
     return df.join(blocked, "host", "left").select(*keep, "host", "path", "rule", F.coalesce("_verdict", "_host", F.lit("allow")).alias("verdict"))

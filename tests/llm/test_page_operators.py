@@ -74,6 +74,24 @@ def test_reputation_shrinks(spark):
     assert [(n.d, n.s) for n in names] == [("b.co.uk", "co.uk"), ("co.uk", "co.uk"), ("b.com", "com"), ("com", "com"), ("", "")]
 
 
+def test_unlabelled_hosts_have_the_rate_above(spark):
+    marks = [("a.bad.com", 1)] * 90 + [("a.bad.com", 0)] * 10 + [("b.good.com", 0)] * 300 + [("c.co.uk", 1)] * 400 + [("d.e.org", 0)] * 300 + [("few.mid.com", 1)]
+    outcomes = spark.createDataFrame(marks, "host string, bad int")
+    hosts = {"new.bad.com": "block", "bad.com": "block", "new.good.com": "allow", "new.com": "allow", "x.new.co.uk": "block", "new.org": "allow", "new.dev": "allow", "new.mid.com": "allow", "a.bad.com": "block", "b.good.com": "allow", "": "allow"}
+    df = spark.createDataFrame([(k, f"http://{h}/x") for k, h in enumerate(hosts)], "page_id bigint, url string")
+    got = {r.host: r.verdict for r in urlfilter.judge(df, outcomes, {"page_id": F.col("page_id")}).collect()}
+    assert got == hosts
+    n, bad = len(marks), sum(b for _, b in marks)
+    shrink = lambda b, k, above: (b + 20 * above) / (k + 20)
+    base = (bad + 1) / (n + 2)
+    com, uk = shrink(91, 401, base), shrink(400, 400, base)
+    rates = {"new.bad.com": shrink(90, 100, com), "new.com": com, "x.new.co.uk": uk, "new.dev": base}
+    for r in urlfilter.reputation(outcomes, others=df.select(urlfilter.host_of(F.col("url")).alias("host"))).collect():
+        if r.host in rates:
+            assert abs(r.rate - rates[r.host]) < 1e-12 and r.n == 0 and abs(r.low - (r.rate - 2.33 * (r.rate * (1 - r.rate) / 21) ** 0.5)) < 1e-12
+    assert {r.host for r in urlfilter.reputation(outcomes).collect()} == {h for h, _ in marks}
+
+
 DATA = Path("/root/testdata/sf0.001")
 
 
