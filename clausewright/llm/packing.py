@@ -6,7 +6,8 @@ On it the driver
 
 1. fixes sets that dominate all alternatives for their largest piece: that piece alone when nothing fits
    beside it, or with the one piece that fills the sequence or is the largest of those of which only one fits, or
-   with two pieces when these are at least as good as any set that fits (Martello and Toth's criterion);
+   with two pieces when only two fit, one is the largest that fits and no two larger than the other fit together
+   (Martello and Toth's criterion);
 2. packs what is left by best-fit decreasing, many equal sequences at a time.
 
 The outcome is a list of patterns with multiplicities, bounded by the capacity too.  Pieces then learn
@@ -178,9 +179,9 @@ def reduce_instance(counts: dict[int, int], capacity: int) -> tuple[list[tuple[i
                 if not pair:
                     break
                 if best >= sum(pair):
-                    take(1, w, best)
-                elif pair[0] == best and sum(pair) - best == small or sum(pair) == room:
-                    take(1, w, *pair)
+                    take(times, w, best)
+                elif pair[0] == best and not _larger_fit(others, left, w, pair[1], room):
+                    take(min(left[k] // copies for k, copies in Counter([w, *pair]).items()), w, *pair)
                 else:
                     break
     return fixed, left
@@ -201,6 +202,16 @@ def _best_pair(others: list[int], left: dict[int, int], w: int, room: int) -> tu
     return best
 
 
+def _larger_fit(others: list[int], left: dict[int, int], w: int, least: int, room: int) -> bool:
+    """Whether two other pieces that are both larger than ``least`` fit together."""
+    k = bisect.bisect_right(others, least)
+    if k == len(others):
+        return False
+    a = others[k]
+    b = a if left[a] - (a == w) > 1 else others[k + 1] if k + 1 < len(others) else room
+    return a + b <= room
+
+
 def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[int, dict[int, int]]]:
     """Best-fit decreasing on a histogram: (how many sequences, lengths with copies)."""
     open_: dict[int, list[list]] = {}  # by room: [how many, contents]

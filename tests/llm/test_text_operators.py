@@ -263,6 +263,14 @@ def test_reduction_keeps_the_optimum():
         assert total == Counter(items)
 
 
+def test_reduction_fixes_only_dominating_sets():
+    many = lambda counts, cap: sum(m for m, _ in packing.plan(counts, cap))
+    assert many(Counter([10, 9, 8, 8, 7, 7, 5, 5]), 20) == 3
+    for n in (1, 4, 1000):
+        patterns = packing.plan({1026: n, 922: n, 819: 2 * n, 718: 2 * n, 511: 2 * n}, 2048)
+        assert sum(m for m, _ in patterns) == 3 * n and len(patterns) == 2
+
+
 def fold(k, n):
     return zlib.crc32(str(k).encode()) % n
 
