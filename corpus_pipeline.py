@@ -20,7 +20,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     """Drops the documents that the classifier takes for bad ones; an empty text has no sign of being bad and stays."""
     model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     scored = quality.score(docs, model, _keep(*COLUMNS) | {"text": F.col("text")})
-    return scored.where("predicted = 1").select(*COLUMNS)
+    return scored.where("predicted = 1 OR coalesce(text, '') = ''").select(*COLUMNS)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
