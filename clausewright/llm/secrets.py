@@ -2,13 +2,18 @@
 
 Matches and the stretches between them give the places of all matches, in code points.  Candidates of the
 entropy scan are long runs of token characters with letters and digits.  Each belongs to a character class with
-its own alphabet and threshold; a window moves over it, and the sum of count * log2(count) that entropy
-comes from changes only by the counts of the character that leaves and the one that enters.  A candidate whose
-highest window is over the threshold is a span, unless an allow-list pattern fits it or it touches a fixed match.
+its own alphabet and threshold; a window moves over it with a count for each character, and the sum of
+count * log2(count) that entropy comes from changes only by the counts of the character that leaves and the one
+that enters.  The counts are packed into a few integers, so a step costs the same at any length and a run of a
+megabyte is read once.  A candidate whose highest window is over the threshold is a span, unless an allow-list
+pattern fits it or it touches a fixed match.
 """
 
 from __future__ import annotations
 
+import json
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,18 +36,31 @@ CANDIDATE = f"[A-Za-z0-9+/_=-]{{{WINDOW},}}"
 ALLOW = [
     "^[0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{12}$",
     "^[0-9+/_=-]+$",
-    "^[A-Za-z]*[0-9]*([-_/=+]+([A-Za-z]*|[A-Za-z]?[0-9]*))+$",
+    "^[A-Za-z]*+[0-9]*+([-_/=+]++([A-Za-z]?[0-9]+|[A-Za-z]*))++$",
 ]
 
 _SPAN = "array<struct<start:int,kind:int,stop:int>>"
 
 
+#: Matches whose places are summed up together; longer lists are walked in pieces of this length.
+_PIECE = 256
+
+
+def _once(value: Column, f) -> Column:
+    """``f`` of a value that is computed once."""
+    return F.transform(F.array(value), f)[0]
+
+
 def _places(text: Column, pattern: str, kind: int, passes) -> Column:
-    """Spans of the non-overlapping matches that pass, in code points; ``passes`` gets the match and its last group."""
+    """Spans of the non-overlapping matches that pass, in code points; ``passes`` gets the match and its last group.
+
+    Places are sums of lengths: within pieces of the list of matches first, and then of the pieces.
+    """
     group = 2 if kind == 0 else 0
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     inner = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else found
     rows = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), found.alias("m"), inner.alias("g"))
+    none = F.array().cast(_SPAN)
 
     def step(acc: Column, x: Column) -> Column:
         start = acc["at"] + F.length(x["gap"])
@@ -50,36 +68,79 @@ def _places(text: Column, pattern: str, kind: int, passes) -> Column:
         span = F.array(F.struct(start.alias("start"), F.lit(kind).alias("kind"), stop.alias("stop")))
         return F.struct(stop.alias("at"), F.when(x["m"].isNotNull() & passes(x["m"], x["g"]), F.concat(acc["out"], span)).otherwise(acc["out"]).alias("out"))
 
-    none = F.array().cast(_SPAN)
-    walked = F.aggregate(rows, F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda acc: acc["out"])
-    return F.when(text.rlike(pattern), walked).otherwise(none)
+    def walk(piece: Column) -> Column:
+        return F.aggregate(piece, F.struct(F.lit(0).alias("at"), none.alias("out")), step)
+
+    def shifted(piece: Column, by: Column) -> Column:
+        return F.transform(piece, lambda s: F.struct((s["start"] + by).alias("start"), s["kind"].alias("kind"), (s["stop"] + by).alias("stop")))
+
+    def join(acc: Column, piece: Column) -> Column:
+        return F.struct((acc["at"] + piece["at"]).alias("at"), F.concat(acc["out"], F.array(shifted(piece["out"], acc["at"]))).alias("out"))
+
+    def all_(rows: Column) -> Column:
+        cuts = F.sequence(F.lit(1), F.size(rows), F.lit(_PIECE))
+        walked = F.transform(cuts, lambda at: walk(F.slice(rows, at, _PIECE)))
+        return F.flatten(F.aggregate(walked, F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{_SPAN}>").alias("out")), join, lambda acc: acc["out"]))
+
+    return F.when(text.rlike(pattern), _once(rows, all_)).otherwise(none)
 
 
-def _xlog(n: Column) -> Column:
-    return F.when(n > 1, n * F.log2(n.cast("double"))).otherwise(F.lit(0.0))
+#: Characters of runs; each has a count of 5 bits in one of the integers, twelve in each.
+_SIGNS = "".join(map(chr, [*range(48, 58), *range(65, 91), *range(97, 123)])) + "+/_=-"
+_BITS, _EACH = 5, 12
+_WORDS = -(-len(_SIGNS) // _EACH)
+#: By count: what the last of so many equal characters adds to the sum of count * log2(count), in units of 2^-40, so that sums stay exact.
+_ADDS = [0] + [round(2**40 * (n * math.log2(n) - (n - 1) * math.log2(n - 1 or 1))) for n in range(1, WINDOW + 1)]
 
 
-def _highest_bits(run: Column) -> Column:
-    """The highest entropy of any window of ``run``, which has WINDOW characters or more."""
+_CODE = "struct<n:int,b:int," + ",".join(f"u{k}:bigint" for k in range(_WORDS)) + ">"
+
+
+def _code(n: int) -> dict:
+    """Where the count of the n-th sign is: its place in an integer, and by integer what one more adds; zeros for none."""
+    at, k = (n % _EACH * _BITS, n // _EACH) if n >= 0 else (0, -1)
+    return {"n": n, "b": at} | {f"u{i}": (1 << at) if i == k else 0 for i in range(_WORDS)}
+
+
+def _constant(value, schema: str) -> Column:
+    """A literal of many parts, which the optimizer folds into one."""
+    return F.from_json(F.lit(json.dumps(value)), schema)
+
+
+def _reaches(run: Column, bits: Column) -> Column:
+    """Whether some window of ``run``, which has WINDOW characters or more, has an entropy of ``bits`` or more."""
     w = WINDOW
+    codes = _constant([_code(_SIGNS.find(chr(c))) for c in range(128)], f"array<{_CODE}>")
+    adds = _constant(_ADDS, "array<bigint>")
+
+    def count(acc: Column, x: Column) -> Column:
+        """The count of a character in the window."""
+        word = F.lit(0).cast("bigint")
+        for k in range(_WORDS):
+            word = word.bitwiseOR(acc[f"c{k}"].bitwiseAND(x[f"u{k}"] * ((1 << _BITS) - 1)))
+        return F.call_function("shiftright", word, x["b"]).cast("int")
 
-    def count(part: Column, c: Column) -> Column:
-        return F.length(part) - F.length(F.replace(part, c, F.lit("")))
+    def moved(acc: Column, i: Column, o: Column) -> Column:
+        have = count(acc, i) - (i["n"] == o["n"]).cast("int")
+        s = acc["s"] - F.get(adds, count(acc, o)) + F.get(adds, have + 1)
+        return F.struct(*[(acc[f"c{k}"] + i[f"u{k}"] - o[f"u{k}"]).alias(f"c{k}") for k in range(_WORDS)], s.alias("s"), (acc["at"] + 1).alias("at"))
 
-    def step(acc: Column, i: Column) -> Column:
-        full = i > w
-        leaving = F.substring(run, i - w, F.lit(1))
-        before = F.substring(run, i - w, F.lit(w))
-        gone = count(before, leaving)
-        less = F.when(full, _xlog(gone - 1) - _xlog(gone)).otherwise(F.lit(0.0))
-        inside = F.when(full, F.substring(run, i - w + 1, F.lit(w - 1))).otherwise(F.substring(run, F.lit(1), i - 1))
-        have = count(inside, F.substring(run, i, F.lit(1)))
-        total = acc["s"] + less + _xlog(have + 1) - _xlog(have)
-        return F.struct(total.alias("s"), F.when((i >= w) & (total < acc["low"]), total).otherwise(acc["low"]).alias("low"))
+    def search(x: Column) -> Column:
+        """The sum where it is first low enough, else of the last window; steps after the first such window do nothing."""
+        entering = F.transform(F.split(x["run"], ""), lambda c: F.get(codes, F.ascii(c)))
 
-    start = F.struct(F.lit(0.0).alias("s"), F.lit(1e9).alias("low"))
-    low = F.aggregate(F.sequence(F.lit(1), F.length(run)), start, step, lambda acc: acc["low"])
-    return F.log2(F.lit(float(w))) - low / w
+        def run_over(signs: Column) -> Column:
+            leaving = F.concat(F.array_repeat(_constant(_code(-1), _CODE), w), F.slice(signs, 1, F.size(signs) - w))
+            pairs = F.zip_with(signs, leaving, lambda i, o: F.struct(i.alias("i"), o.alias("o")))
+            zero = F.lit(0).cast("bigint")
+            start = F.struct(*[zero.alias(f"c{k}") for k in range(_WORDS)], zero.alias("s"), F.lit(0).alias("at"))
+            done = lambda acc: (acc["at"] >= w) & (acc["s"] <= x["most"])
+            return F.aggregate(pairs, start, lambda acc, p: F.when(done(acc), acc).otherwise(moved(acc, p["i"], p["o"])), done)
+
+        return _once(entering, run_over)
+
+    most = F.floor((F.log2(F.lit(float(w))) - bits) * (w * 2.0**40))
+    return _once(F.struct(run.alias("run"), most.alias("most")), search)
 
 
 def _is_secret(run: Column) -> Column:
@@ -91,7 +152,20 @@ def _is_secret(run: Column) -> Column:
     for _, pattern, bits in reversed(CLASSES):
         least = F.when(run.rlike(pattern), F.lit(bits)).otherwise(least)
     plausible = run.rlike("[0-9]") & run.rlike("[A-Za-z]") & ~allowed
-    return F.when(plausible, _highest_bits(run) >= least).otherwise(F.lit(False))
+    return F.when(plausible, _reaches(run, least)).otherwise(F.lit(False))
+
+
+def _touches(spans: Column, x: Column) -> Column:
+    """Whether one of ``spans``, which are in order and apart, overlaps ``x``: a binary search for the last one that begins before it ends."""
+    start = F.struct(F.lit(0).alias("a"), F.size(spans).alias("b"))
+
+    def halve(acc: Column, _: Column) -> Column:
+        mid = F.call_function("shiftright", acc["a"] + acc["b"], F.lit(1))
+        before = F.get(spans, mid)["start"] < x["stop"]
+        return F.when(acc["a"] >= acc["b"], acc).when(before, F.struct((mid + 1).alias("a"), acc["b"].alias("b"))).otherwise(F.struct(acc["a"].alias("a"), mid.alias("b")))
+
+    last = F.aggregate(F.sequence(F.lit(0), F.length(F.bin(F.size(spans)))), start, halve, lambda acc: acc["a"] - 1)
+    return F.coalesce(F.get(spans, last)["stop"] > x["start"], F.lit(False))
 
 
 def _joined(spans: Column) -> Column:
@@ -115,7 +189,7 @@ def scan(documents: DataFrame, keep: dict[str, Column], text: str = "text") -> D
         _places(F.col("_t"), CANDIDATE, 3, lambda m, g: _is_secret(m)).alias("_more"),
     )
     df = df.withColumn("_base", F.array_sort(F.concat("_assign", "_access", "_hex")))
-    apart = F.filter("_more", lambda x: ~F.exists("_base", lambda b: (b["start"] < x["stop"]) & (x["start"] < b["stop"])))
+    apart = F.filter("_more", lambda x: ~(_touches(F.col("_assign"), x) | _touches(F.col("_access"), x) | _touches(F.col("_hex"), x)))
     df = df.withColumn("found", F.array_sort(F.concat("_base", F.when(F.size("_more") > 0, apart).otherwise(F.col("_more")))))
     return df.select(
         *keep,
