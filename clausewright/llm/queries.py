@@ -70,11 +70,16 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every page's host, path, rule and verdict.  The document that a page shows is the number in its path."""
+    """Every page's host, path, rule and verdict.
+
+    The document that a page shows is the number in its path.  A page's outcome is bad if that document's quality label is 0
+    or its url has a spam word, good if the label is 1; other pages have none.
+    """
     pages = _table(spark, sf_dir, "pages")
     shown = F.regexp_extract("url", r"://[^/?#]*/[^/?#]*/(\d{1,18})", 1).try_cast("bigint")
-    labels = _table(spark, sf_dir, "labels").select("doc_id", (F.col("quality") == 0).cast("int").alias("bad"))
-    outcomes = pages.select(shown.alias("doc_id"), urlfilter.host_of(F.col("url")).alias("host")).join(labels, "doc_id").select("host", "bad")
+    labels = _table(spark, sf_dir, "labels").select("doc_id", "quality")
+    outcomes = pages.select(shown.alias("doc_id"), "url").join(labels, "doc_id", "left")
+    outcomes = outcomes.select(urlfilter.host_of(F.col("url")).alias("host"), urlfilter.outcome(F.col("url"), F.col("quality")).alias("bad"))
     return urlfilter.judge(pages, outcomes, {"page_id": F.col("page_id")})
 
 
@@ -97,6 +102,51 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_decontaminate": op10_decontaminate,
 }
 
+#: The strength of a level of _URL_FILTER: members (n, bad) of groups (g).
+_STRENGTH = """SELECT least(1000.0, greatest(1.0, CASE WHEN sum(x) > 0 AND sum(y) > 0 THEN (sum(y) - sum(x)) / sum(x) ELSE 1000.0 END)) AS m
+            FROM (SELECT sum(bad * bad / n) - sum(bad) * p - p * (1 - p) * (count(*) - 1) AS x, p * (1 - p) * (sum(n) - sum(n * n) / sum(n) - (count(*) - 1)) AS y
+                  FROM (SELECT *, sum(bad) OVER (PARTITION BY g) / sum(n) OVER (PARTITION BY g) AS p FROM ({}) WHERE n > 0) GROUP BY g, p)"""
+
+#: The beta distribution's value at 0.3 is a sum over its density here, and a continued fraction in the query.
+_URL_FILTER = f"""
+        WITH p AS (
+            SELECT page_id, url, coalesce(translate(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'),
+                       'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+                   coalesce(regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's'), '') AS path FROM pages),
+        o AS (
+            SELECT host, CASE WHEN regexp_matches(host || lower(path), '(^|[^a-z])({'|'.join(urlfilter.SPAM_WORDS)})([^a-z]|$)') OR l.quality = 0 THEN 1.0::DOUBLE WHEN l.quality = 1 THEN 0.0 END AS bad
+            FROM p LEFT JOIN labels l ON l.doc_id = try_cast(regexp_extract(url, '://[^/?#]*/[^/?#]*/(\\d{{1,18}})', 1) AS BIGINT)),
+        h AS (
+            SELECT host, n, bad, CASE WHEN two IN ({', '.join(f"'{x}'" for x in urlfilter.SUFFIXES)}) THEN two ELSE split_part(host, '.', -1) END AS suffix,
+                   array_to_string(string_split(host, '.')[CASE WHEN two IN ({', '.join(f"'{x}'" for x in urlfilter.SUFFIXES)}) THEN -3 ELSE -2 END:], '.') AS domain
+            FROM (SELECT host, count(bad)::DOUBLE AS n, coalesce(sum(bad), 0) AS bad, array_to_string(string_split(host, '.')[-2:], '.') AS two FROM o WHERE host <> '' GROUP BY host)),
+        d AS (SELECT domain, suffix, sum(n) AS n, sum(bad) AS bad FROM h GROUP BY domain, suffix),
+        s AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad FROM d GROUP BY suffix),
+        ms AS ({_STRENGTH.format("SELECT n, bad, 0 AS g FROM s")}),
+        md AS ({_STRENGTH.format("SELECT n, bad, suffix AS g FROM d")}),
+        mh AS ({_STRENGTH.format("SELECT n, bad, domain || ' ' || suffix AS g FROM h")}),
+        sp AS (SELECT suffix, n, bad, greatest(0.5, 1 / (1 / (m + 1) + 1 / ((SELECT sum(n) FROM s) + 3)) - 1) AS k FROM s, ms),
+        sr AS (SELECT suffix, n + k AS pages, (bad + k * (SELECT (sum(bad) + 1) / (sum(n) + 2) FROM s)) / (n + k) AS rate FROM sp),
+        dp AS (SELECT domain, d.suffix, n, bad, rate AS above, greatest(0.5, 1 / (1 / (m + 1) + 1 / (pages + 1)) - 1) AS k FROM d JOIN sr ON d.suffix = sr.suffix, md),
+        dr AS (SELECT domain, suffix, n + k AS pages, (bad + k * above) / (n + k) AS rate FROM dp),
+        hp AS (SELECT host, n, bad, rate, greatest(0.5, 1 / (1 / (m + 1) + 1 / (pages + 1)) - 1) AS k FROM h JOIN dr ON h.domain = dr.domain AND h.suffix = dr.suffix, mh),
+        ab AS (SELECT host, bad + k * rate AS a, n - bad + k * (1 - rate) AS b FROM hp),
+        span AS (SELECT *, greatest(0.0, a / (a + b) - 12 * sqrt(a * b / (a + b + 1)) / (a + b)) AS low FROM ab),
+        b AS (
+            SELECT host FROM span WHERE low >= 0.3 OR list_sum(list_transform(range(4000), lambda i:
+                exp(lgamma(a + b) - lgamma(a) - lgamma(b) + (a - 1) * ln(low + (0.3 - low) * (i + 0.5) / 4000) + (b - 1) * ln(1 - low - (0.3 - low) * (i + 0.5) / 4000)))) * (0.3 - low) / 4000 < 0.01),
+        v AS (
+            SELECT page_id, p.host, path, b.host IS NOT NULL AS bad,
+                   CASE WHEN (p.host = 'example.net' OR p.host LIKE '%.example.net') AND starts_with(path, '/de/8') THEN 'example.net/de/8'
+                        WHEN (p.host = 'example.com' OR p.host LIKE '%.example.com') AND starts_with(path, '/en/7') THEN 'example.com/en/7'
+                        WHEN (p.host = 'org' OR p.host LIKE '%.org') AND starts_with(path, '/es/') THEN 'org/es/'
+                        WHEN (p.host = 'net' OR p.host LIKE '%.net') AND starts_with(path, '/de/') THEN 'net/de/'
+                        WHEN (p.host = 'com' OR p.host LIKE '%.com') AND starts_with(path, '/en/') THEN 'com/en/' END AS rule
+            FROM p LEFT JOIN b ON p.host = b.host)
+        SELECT page_id, host, path, rule,
+               CASE WHEN rule IN ('example.com/en/7', 'net/de/') THEN 'allow' WHEN rule IS NOT NULL OR bad THEN 'block' ELSE 'allow' END AS verdict
+        FROM v"""
+
 ORACLES: dict[str, str] = {
     "op2_rules": """
         WITH t AS (
@@ -123,34 +173,7 @@ ORACLES: dict[str, str] = {
                     + 4 * (100 * n_symbols > 5 * word_chars)::BIGINT + 8 * (100 * n_dup_lines > 50 * n_lines)::BIGINT
                     + 16 * (word_chars < 2 * n_words)::BIGINT + 32 * (word_chars > 15 * n_words)::BIGINT)::BIGINT AS failed FROM m)
         SELECT *, failed & 3 <> 0 AS base_failed, failed & 15 = 0 AS kept FROM f""",
-    "op9_url_filter": """
-        WITH p AS (
-            SELECT page_id, url, coalesce(translate(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'),
-                       'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
-                   coalesce(regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's'), '') AS path FROM pages),
-        o AS (
-            SELECT host, (l.quality = 0)::INT AS bad
-            FROM p JOIN labels l ON l.doc_id = try_cast(regexp_extract(url, '://[^/?#]*/[^/?#]*/(\\d{1,18})', 1) AS BIGINT)
-            WHERE host <> '' AND l.quality IS NOT NULL),
-        h AS (
-            SELECT host, count(*) AS n, sum(bad) AS bad, split_part(host, '.', -1) AS suffix,
-                   array_to_string(string_split(host, '.')[-2:], '.') AS domain FROM o GROUP BY host),
-        d AS (SELECT domain, suffix, sum(n) AS dn, sum(bad) AS db FROM h GROUP BY domain, suffix),
-        s AS (SELECT suffix, (sum(db) + 20.0 * (SELECT (sum(db) + 1)::DOUBLE / (sum(dn) + 2) FROM d)) / (sum(dn) + 20.0) AS sr FROM d GROUP BY suffix),
-        dr AS (SELECT domain, d.suffix, (db + 20.0 * sr) / (dn + 20.0) AS dr FROM d JOIN s ON d.suffix = s.suffix),
-        r AS (SELECT host, n, (bad + 20.0 * dr) / (n + 20.0) AS rate FROM h JOIN dr ON h.domain = dr.domain AND h.suffix = dr.suffix),
-        b AS (SELECT host FROM r WHERE rate - 2.33 * sqrt(rate * (1 - rate) / (n + 20.0 + 1)) > 0.3),
-        v AS (
-            SELECT page_id, p.host, path, b.host IS NOT NULL AS bad,
-                   CASE WHEN (p.host = 'example.net' OR p.host LIKE '%.example.net') AND starts_with(path, '/de/8') THEN 'example.net/de/8'
-                        WHEN (p.host = 'example.com' OR p.host LIKE '%.example.com') AND starts_with(path, '/en/7') THEN 'example.com/en/7'
-                        WHEN (p.host = 'org' OR p.host LIKE '%.org') AND starts_with(path, '/es/') THEN 'org/es/'
-                        WHEN (p.host = 'net' OR p.host LIKE '%.net') AND starts_with(path, '/de/') THEN 'net/de/'
-                        WHEN (p.host = 'com' OR p.host LIKE '%.com') AND starts_with(path, '/en/') THEN 'com/en/' END AS rule
-            FROM p LEFT JOIN b ON p.host = b.host)
-        SELECT page_id, host, path, rule,
-               CASE WHEN rule IN ('example.com/en/7', 'net/de/') THEN 'allow' WHEN rule IS NOT NULL OR bad THEN 'block' ELSE 'allow' END AS verdict
-        FROM v""",
+    "op9_url_filter": _URL_FILTER,
     "op4_warc": """
         WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
         q AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS target FROM p)

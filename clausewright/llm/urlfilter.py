@@ -1,10 +1,13 @@
 """URL filters: fixed rules first, then empirical-Bayes reputation of hosts, in DataFrame functions only.
 
-Labelled pages are counted by host, registered domain and suffix.  A beta prior is estimated for each level from the one
-above it: the suffix is shrunk to the overall rate, the domain to its suffix, the host to its domain, each with a
-strength of ``strength`` pages.  A host is blocked if even a low bound of its posterior rate of bad pages is over a
-threshold, so hosts with few labels are never blocked for bad luck.  A host without labels has its domain's rate, or
-without labels there its suffix's, or else the overall rate, under the same bound.
+Pages with an outcome are counted by host, registered domain and suffix.  Rates of bad pages are beta-distributed about
+the level above: suffixes about the overall rate, domains about their suffix, hosts about their domain.  How strongly is
+estimated from the data, for each level from how much its members' rates differ beyond chance (the beta-binomial's
+intra-class correlation, by moments), so where hosts are alike few own pages count little, and where they differ much;
+and a prior is never stronger than what is known of its mean, so a domain with one page says little about its hosts.
+A host is blocked if a low quantile of its posterior, a beta distribution, is over a threshold, that is, if the
+distribution's value at the threshold is under ``alpha``; so hosts with few pages are never blocked for bad luck.  A
+host without outcomes has its domain's rate, or without any there its suffix's, or else the overall rate, under the same bound.
 """
 
 from __future__ import annotations
@@ -12,10 +15,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from clausewright.llm.shared import settle
+
 #: Fixed: the rules of the registered query, as (verdict, rule).
 RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
 #: Fixed: suffixes of two labels that sites are registered under.
 SUFFIXES = ["ac.uk", "co.jp", "co.nz", "co.uk", "co.za", "com.au", "com.br", "com.mx", "gov.uk", "org.uk"]
+#: Fixed: words of a url's host or path that mark a page as bad, for outcomes.
+SPAM_WORDS = ["ads", "adult", "bets", "casino", "pills", "porn", "spam", "viagra"]
+#: A level's strength, in pages, is kept between these; equal rates have the larger one.
+WEAKEST, STRONGEST = 1.0, 1_000.0
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -52,39 +61,117 @@ def domain_of(host: Column) -> Column:
     return F.when(F.size(labels) > n, F.array_join(F.slice(labels, F.size(labels) - n + 1, n), ".")).otherwise(host)
 
 
-def reputation(outcomes: DataFrame, strength: float = 20.0, z: float = 2.33, others: DataFrame | None = None) -> DataFrame:
-    """Per host of ``outcomes`` (host, bad) and of ``others`` (host): host, n, bad, rate (posterior mean), low (its bound).
+def outcome(url: Column, quality: Column) -> Column:
+    """1 for a page whose url has one of SPAM_WORDS between other signs, or whose document's label is 0; 0 for label 1; else null."""
+    spam = F.concat(host_of(url), F.lower(path_of(url))).rlike(f"(^|[^a-z])({'|'.join(SPAM_WORDS)})([^a-z]|$)")
+    return F.when(F.coalesce(spam, F.lit(False)) | (quality == 0), 1).when(quality == 1, 0)
+
+
+def _log_gamma(z: Column) -> Column:
+    """Stirling's series at z + 10, and back by the product between."""
+
+    def series(z: Column) -> Column:
+        y = z + 10
+        between = F.aggregate(F.sequence(F.lit(0), F.lit(9)), F.lit(1.0), lambda acc, k: acc * (z + k))
+        return (y - 0.5) * F.log(y) - y + F.lit(0.9189385332046727) + 1 / (12 * y) - 1 / (360 * F.pow(y, F.lit(3))) + 1 / (1260 * F.pow(y, F.lit(5))) - F.log(between)
+
+    return _once(z, series)
+
+
+def _once(value: Column, f) -> Column:
+    """``f`` of a value that is computed once."""
+    return F.transform(F.array(value), f)[0]
+
+
+def beta_below(a: Column, b: Column, x: float) -> Column:
+    """The beta distribution's value at ``x``: its continued fraction, on the side where that converges fast."""
+
+    def fraction(v: Column) -> Column:
+        p, q, y = v["p"], v["q"], v["y"]
+        safe = lambda t: F.when(F.abs(t) < 1e-30, F.lit(1e-30)).otherwise(t)
+
+        def term(acc: Column, n: Column) -> Column:
+            m = F.floor(n / 2)
+            even = m * (q - m) * y / ((p + n - 1) * (p + n))
+            odd = -(p + m) * (p + q + m) * y / ((p + n - 1) * (p + n))
+            return _once(F.when(n % 2 == 0, even).otherwise(odd), lambda t: _once(F.struct((1 / safe(1 + t * acc["d"])).alias("d"), safe(1 + t / acc["c"]).alias("c")), lambda s: F.struct(s["c"].alias("c"), s["d"].alias("d"), (acc["h"] * s["c"] * s["d"]).alias("h"))))
+
+        start = F.struct(F.lit(1.0).alias("c"), F.lit(0.0).alias("d"), F.lit(1.0).alias("h"))
+        steps = (F.lit(60) + 6 * F.ceil(F.sqrt(p + q))).cast("int")
+        # the first term is 1, so its inverse begins the product
+        h = F.aggregate(F.sequence(F.lit(1), steps), start, term, lambda acc: acc["h"])
+        front = F.exp(_log_gamma(p + q) - _log_gamma(p) - _log_gamma(q) + p * F.log(y) + q * F.log(1 - y)) / p
+        return F.when(v["turned"], 1 - front / h).otherwise(front / h)
+
+    def sides(v: Column) -> Column:
+        a, b = v["a"], v["b"]
+        turned = F.lit(x) > (a + 1) / (a + b + 2)
+        return F.struct(F.when(turned, b).otherwise(a).alias("p"), F.when(turned, a).otherwise(b).alias("q"), F.when(turned, 1 - x).otherwise(x).alias("y"), turned.alias("turned"))
+
+    return _once(_once(F.struct(a.alias("a"), b.alias("b")), sides), fraction)
+
+
+def _spread(rows: DataFrame, group: list[str], n: str, bad: str, name: str) -> DataFrame:
+    """One row with the strength (pages) with which members of ``rows`` are held to their group's rate.
+
+    By moments: the squares of the members' rates about their group's, against what chance alone would give.
+    """
+    c = F.col
+    some = rows.where(c(n) > 0)
+    per = some.groupBy(*group) if group else some.groupBy()
+    per = per.agg(F.count(F.lit(1)).alias("k"), F.sum(n).alias("N"), F.sum(bad).alias("B"), F.sum(c(n) * c(n)).alias("N2"), F.sum(c(bad) * c(bad) / c(n)).alias("S"))
+    p = c("B") / c("N")
+    chance = p * (1 - p)
+    sums = per.agg(F.sum(c("S") - c("B") * p - chance * (c("k") - 1)).alias("x"), F.sum(chance * (c("N") - c("N2") / c("N") - (c("k") - 1))).alias("y"))
+    strength = F.when((c("x") > 0) & (c("y") > 0), (c("y") - c("x")) / c("x")).otherwise(F.lit(STRONGEST))
+    return sums.select(F.least(F.lit(STRONGEST), F.greatest(F.lit(WEAKEST), strength)).alias(name))
+
+
+def reputation(outcomes: DataFrame, threshold: float = 0.3, others: DataFrame | None = None) -> DataFrame:
+    """Per host of ``outcomes`` (host, bad) and of ``others`` (host): host, n, bad, a and b (its posterior), rate (mean), below (its value at ``threshold``).
 
     Counts are summed before any shuffle, so a host that a third of all pages have costs a row per task; the levels above
-    are sums of these.  Null outcomes and empty hosts are ignored.  Hosts of ``others`` add no counts.
+    are sums of these.  Null outcomes and empty hosts are ignored.  Hosts of ``others`` add no counts.  Without any
+    outcome the overall rate is a half.
     """
-    seen = outcomes.where("bad IS NOT NULL").select("host", F.lit(1).alias("n"), F.col("bad").cast("bigint").alias("bad"))
+    seen = outcomes.where("bad IS NOT NULL").select("host", F.lit(1).cast("bigint").alias("n"), F.col("bad").cast("bigint").alias("bad"))
     if others is not None:
-        seen = seen.unionByName(others.select("host", F.lit(0).alias("n"), F.lit(0).cast("bigint").alias("bad")))
+        zero = F.lit(0).cast("bigint")
+        seen = seen.unionByName(others.select("host", zero.alias("n"), zero.alias("bad")))
     hosts = seen.where("host <> ''").groupBy("host").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
-    hosts = hosts.withColumn("domain", domain_of(F.col("host"))).withColumn("suffix", suffix_of(F.col("host")))
-    domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("dn"), F.sum("bad").alias("db"))
+    hosts = settle(hosts.withColumn("domain", domain_of(F.col("host"))).withColumn("suffix", suffix_of(F.col("host"))))
+    domains = settle(hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("dn"), F.sum("bad").alias("db")))
     suffixes = domains.groupBy("suffix").agg(F.sum("dn").alias("sn"), F.sum("db").alias("sb"))
-    every = suffixes.agg(((F.coalesce(F.sum("sb"), F.lit(0)) + 1) / (F.coalesce(F.sum("sn"), F.lit(0)) + 2)).alias("base"))
-    k = F.lit(strength)
-    suffixes = suffixes.join(F.broadcast(every)).select("suffix", ((F.col("sb") + k * F.col("base")) / (F.col("sn") + k)).alias("sr"))
-    domains = domains.join(suffixes, "suffix").select("domain", "suffix", ((F.col("db") + k * F.col("sr")) / (F.col("dn") + k)).alias("dr"))
-    a = F.col("bad") + k * F.col("dr")
-    total = F.col("n") + k
-    rate = a / total
-    return hosts.join(domains, ["domain", "suffix"]).select("host", "n", "bad", rate.alias("rate"), (rate - F.lit(z) * F.sqrt(rate * (1 - rate) / (total + 1))).alias("low"))
+    base = suffixes.agg(((F.coalesce(F.sum("sb"), F.lit(0)) + 1) / (F.coalesce(F.sum("sn"), F.lit(0)) + 2)).alias("base"))
+    levels = base
+    for level in (_spread(suffixes, [], "sn", "sb", "ms"), _spread(domains, ["suffix"], "dn", "db", "md"), _spread(hosts, ["domain", "suffix"], "n", "bad", "mh")):
+        levels = levels.join(level)  # one row each
+    base, ms, md, mh, pages = levels.join(suffixes.agg(F.coalesce(F.sum("sn"), F.lit(0)).alias("pages"))).first()
+
+    def shrunk(bad: str, n: str, prior: Column, above: Column) -> list[Column]:
+        return [((F.col(bad) + prior * above) / (F.col(n) + prior)).alias("rate"), (F.col(n) + prior).alias("pages")]
+
+    def prior(m: float, above: Column) -> Column:
+        """The strength of a prior whose mean is known no better than from ``above`` pages: variances about the mean add up."""
+        return F.greatest(F.lit(0.5), 1 / (1 / (F.lit(m) + 1) + 1 / (above + 1)) - 1)
+
+    suffixes = suffixes.select("suffix", *shrunk("sb", "sn", prior(ms, F.lit(pages + 2.0)), F.lit(base)))
+    domains = domains.join(suffixes, "suffix").withColumn("prior", prior(md, F.col("pages"))).select("domain", "suffix", *shrunk("db", "dn", F.col("prior"), F.col("rate")))
+    out = hosts.join(domains, ["domain", "suffix"]).withColumn("prior", prior(mh, F.col("pages")))
+    out = out.select("host", "n", "bad", (F.col("bad") + F.col("prior") * F.col("rate")).alias("a"), (F.col("n") - F.col("bad") + F.col("prior") * (1 - F.col("rate"))).alias("b"))
+    return out.select("*", (F.col("a") / (F.col("a") + F.col("b"))).alias("rate"), beta_below(F.col("a"), F.col("b"), threshold).alias("below"))
 
 
-def judge(pages: DataFrame, outcomes: DataFrame, keep: dict[str, Column], url: str = "url", rules: list[tuple[str, str]] | None = None, threshold: float = 0.3, strength: float = 20.0, z: float = 2.33) -> DataFrame:
+def judge(pages: DataFrame, outcomes: DataFrame, keep: dict[str, Column], url: str = "url", rules: list[tuple[str, str]] | None = None, threshold: float = 0.3, alpha: float = 0.01) -> DataFrame:
     """Per page: ``keep``, host, path, rule, verdict (allow or block).
 
-    A rule's verdict holds; without one, block if the low bound of the host's rate of bad pages is over ``threshold``,
-    also for hosts that ``outcomes`` doesn't have.  Null
-    urls and urls without :// have empty host and path, and are allowed.  Only hosts that are blocked join with pages.
+    A rule's verdict holds; without one, block if the ``alpha`` quantile of the host's rate of bad pages is over
+    ``threshold``, also for hosts that ``outcomes`` doesn't have.  Null urls and urls without :// have empty host and
+    path, and are allowed.  Only hosts that are blocked join with pages.
     """
     u = F.col(url)
     df = pages.select(*[c.alias(n) for n, c in keep.items()], host_of(u).alias("host"), path_of(u).alias("path"))
     rule, verdict = rule_for(F.col("host"), F.col("path"), RULES if rules is None else rules)
     df = df.withColumn("rule", rule).withColumn("_verdict", verdict)
-    blocked = reputation(outcomes, strength, z, df.select("host")).where(F.col("low") > threshold).select("host", F.lit("block").alias("_host"))
+    blocked = reputation(outcomes, threshold, df.select("host")).where(F.col("below") < alpha).select("host", F.lit("block").alias("_host"))
     return df.join(blocked, "host", "left").select(*keep, "host", "path", "rule", F.coalesce("_verdict", "_host", F.lit("allow")).alias("verdict"))
