@@ -11,14 +11,16 @@ On it the driver
 2. packs what is left by best-fit decreasing, many equal sequences at a time.
 
 The outcome is a list of patterns with multiplicities, bounded by the capacity too.  Pieces then learn
-their rank among pieces of their length and so their sequence and place, without meeting in one task: lengths
-are salted, so a length that a third of all pieces have is spread as well.
+their rank among pieces of their length and so their sequence and place, without meeting in one task: n pieces
+of a length are dealt into about sqrt(n) groups, which are ranked each by itself, and counts of groups are summed
+up, so a length that a third of all pieces have is spread at any size.
 """
 
 from __future__ import annotations
 
 import bisect
 import json
+import math
 import os
 import re
 import zlib
@@ -270,30 +272,42 @@ def slots(patterns: list[tuple[int, dict[int, int]]]) -> dict[int, list[tuple[in
     return out
 
 
-def pack(cut: DataFrame, keys: list[str], capacity: int = 2048, salts: int = 64) -> DataFrame:
+#: Most bytes of the table of patterns that tasks get; it has rows by length, so the capacity bounds it.
+_MOST_BYTES = 64 << 20
+
+
+def pack(cut: DataFrame, keys: list[str], capacity: int = 2048) -> DataFrame:
     """``cut`` (from pieces) with sequence_id and offset.
 
     ``keys`` name a piece together with piece; rows that are alike in all columns may swap places.  No rows give no
-    sequences.  The driver holds ``salts`` counts for each length up to ``capacity``, and nothing else.
+    sequences.  The driver holds a count for each length up to ``capacity`` and the patterns, and nothing else.
     """
     spark = cut.sparkSession
-    cut = settle(cut.withColumn("_salt", F.pmod(F.xxhash64(*keys, "piece"), F.lit(salts)).cast("int")))
-    counted = cut.groupBy("length", "_salt").count().collect()
-    totals: Counter = Counter()
-    groups = []
-    for r in sorted(counted, key=lambda r: (r["length"], r["_salt"])):
-        groups.append((r["length"], r["_salt"], totals[r["length"]], r["count"]))
-        totals[r["length"]] += r["count"]
-    by_length = slots(plan(dict(totals), capacity))
-    rows = []
-    for length, salt, first, n in groups:
-        for a, b, sequence, copies, place in by_length[length]:
-            if a < first + n and b > first:
-                rows.append((length, salt, first, a, b, sequence, copies, place))
-    table = F.broadcast(spark.createDataFrame(rows, "length bigint, _salt int, _first bigint, _a bigint, _b bigint, _seq bigint, _copies bigint, _place bigint"))
-    rank = F.row_number().over(Window.partitionBy("length", "_salt").orderBy(*keys, "piece", "start", "ids_crc32")).cast("bigint") - 1
-    ranked = cut.withColumn("_rank", rank)
-    at = F.col("_rank") + F.col("_first")
-    placed = ranked.join(table, ["length", "_salt"]).where((at >= F.col("_a")) & (at < F.col("_b")))
-    q = at - F.col("_a")
-    return placed.select(*[c for c in cut.columns if c != "_salt"], (F.col("_seq") + F.expr("div(_rank + _first - _a, _copies)")).alias("sequence_id"), (F.col("_place") + q % F.col("_copies") * F.col("length")).alias("offset"))
+    cut = settle(cut)
+    totals = {r["length"]: r["count"] for r in cut.groupBy("length").count().collect()}
+    slot = slots(plan(totals, capacity))
+    rows = np.array([(length, a, sequence, copies, place) for length in sorted(slot) for a, _, sequence, copies, place in slot[length]], np.int64).reshape(-1, 5)
+    if rows.nbytes > _MOST_BYTES:
+        raise ValueError(f"{rows.nbytes} bytes of patterns are too many to send to tasks; the capacity is too large")
+    starts = rows[:, 0] << 44 | rows[:, 1]
+
+    groups = spark.createDataFrame([(n, math.isqrt(k) + 1) for n, k in totals.items()], "length bigint, _groups int")  # a row per length
+    dealt = cut.join(F.broadcast(groups), "length").withColumn("_group", F.pmod(F.xxhash64(*keys, "piece"), F.col("_groups")).cast("int")).drop("_groups")
+    counts = dealt.groupBy("length", "_group").count()
+    before = Window.partitionBy("length").orderBy("_group").rowsBetween(Window.unboundedPreceding, -1)
+    first = counts.select("length", "_group", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_first"))
+    rank = F.row_number().over(Window.partitionBy("length", "_group").orderBy(*keys, "piece", "start", "ids_crc32")).cast("bigint") - 1
+    ranked = dealt.withColumn("_rank", rank).join(first, ["length", "_group"]).withColumn("_rank", F.col("_rank") + F.col("_first"))
+    ranked = ranked.select(*cut.columns, "_rank")
+
+    def place(batches):
+        for batch in batches:
+            length, at = (batch.column(c).to_numpy() for c in ("length", "_rank"))
+            _, a, sequence, copies, offset = rows[np.searchsorted(starts, length << 44 | at, side="right") - 1].T
+            q = at - a
+            rest = batch.drop_columns(["_rank"])
+            yield pa.RecordBatch.from_arrays([*rest.columns, pa.array(sequence + q // np.maximum(copies, 1)), pa.array(offset + q % np.maximum(copies, 1) * length)], names=[*rest.schema.names, "sequence_id", "offset"])
+
+    from pyspark.sql.types import StructType
+
+    return ranked.mapInArrow(place, StructType(cut.schema.fields + StructType.fromDDL("sequence_id bigint, offset bigint").fields))

@@ -266,6 +266,37 @@ def test_reduction_keeps_the_optimum():
         assert total == Counter(items)
 
 
+def optima(items, cap):
+    """Fewest sequences of each row of items (0: none), by the best way to reach every subset, for all rows at once."""
+    rows, n = items.shape
+    best = np.full((1 << n, rows), 1 << 20, np.int64)  # sequences * 1024 + load of the last one
+    best[0] = 1024
+    for subset in range(1, 1 << n):
+        for i in range(n):
+            if subset >> i & 1:
+                b, w = best[subset ^ 1 << i], items[:, i]
+                best[subset] = np.minimum(best[subset], np.where(b % 1024 + w <= cap, b + w, (b // 1024 + 1) * 1024 + w))
+    return best[-1] // 1024 * (items.sum(1) > 0)
+
+
+def test_reduction_keeps_the_optimum_of_many():
+    rng = np.random.default_rng(18)
+    lost = 0
+    for cap, n, low in ((20, 11, 3), (20, 9, 1), (13, 8, 1), (40, 9, 4), (30, 7, 1)):
+        items = np.sort(rng.integers(low, cap + 1, (20_000, n)), 1)
+        items[:, 0] *= rng.integers(0, 2, 20_000)
+        rest, fixed = np.zeros_like(items), np.zeros(len(items), np.int64)
+        for k, row in enumerate(items.tolist()):
+            done, left = packing.reduce_instance(Counter(w for w in row if w), cap)
+            fixed[k] = sum(m for m, _ in done)
+            own = [w for w, m in left.items() for _ in range(m)]
+            rest[k, : len(own)] = own
+        some = fixed > 0
+        assert some.mean() > 0.3
+        lost += int((fixed + optima(rest, cap) != optima(items, cap)).sum())
+    assert lost == 0
+
+
 def test_reduction_fixes_only_dominating_sets():
     many = lambda counts, cap: sum(m for m, _ in packing.plan(counts, cap))
     assert many(Counter([10, 9, 8, 8, 7, 7, 5, 5]), 20) == 3
