@@ -36,11 +36,18 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+#: Fixed: schemes that Hadoop and pyarrow name differently.
+_SCHEMES = {"s3a": "s3", "s3n": "s3", "gcs": "gs"}
+
+
 def file_system(path: str):
     """The pyarrow file system and the path in it of a folder that Spark names with or without a scheme."""
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
+    scheme, mark, rest = path.partition(":")
+    if not mark or "/" in scheme:
+        return fs.FileSystem.from_uri(f"file://{path}")
+    return fs.FileSystem.from_uri(f"{_SCHEMES.get(scheme, scheme)}:{rest}")
 
 
 def settle(df: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ again makes the same bytes under the same name.  A manifest table lists the file
 
 Of equal payloads one record is the response and the others are revisits of it.  That is decided on ids and digests
 alone, and the verdicts travel to the shards as rows of their own that sort next to their pages, so payloads are
-shuffled once and never joined.
+read twice (for the digests, and to be written), shuffled once and never joined.
 """
 
 from __future__ import annotations
@@ -20,36 +20,43 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clausewright.llm.shared import file_system
+from clausewright.llm.shared import file_system, settle
 
 _NAMES = uuid.UUID("7d1c3f0e-5a54-4c8e-9b1b-0c6d2f1f8a11")
 #: Fixed: the profile of a revisit of an equal payload.
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _SAMPLES = 64
+#: Archives are read in as many tasks as there are shards, up to these; a task holds a record at a time.
+_MOST_TASKS = 20_000
 _MANIFEST = "file string, shard int, roll int, records bigint, bytes bigint, sha1 string, first_id bigint, last_id bigint"
 _RECORD = "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, file string"
 
 
-def revisits(pages: DataFrame, html: str = "html", page_id: str = "page_id", least_bytes: int = 1000) -> DataFrame:
-    """(page_id, digest, target): pages whose payload a page with a larger id has too.
+def digests(pages: DataFrame, html: str = "html", page_id: str = "page_id") -> DataFrame:
+    """(page_id, digest, n): SHA-1 and bytes of every payload."""
+    payload = F.encode(F.coalesce(F.col(html), F.lit("")), "UTF-8")
+    return pages.select(F.col(page_id).cast("bigint").alias("page_id"), F.sha1(payload).alias("digest"), F.octet_length(payload).cast("bigint").alias("n"))
+
+
+def revisits(digested: DataFrame, least_bytes: int = 1000) -> DataFrame:
+    """(page_id, digest, target) of ``digests``: pages whose payload a page with a larger id has too.
 
     Groups of equal payloads are counted before the shuffle; joins carry ids and digests only, and a digest that very
     many pages have is split by adaptive execution.
     """
-    payload = F.encode(F.coalesce(F.col(html), F.lit("")), "UTF-8")
-    small = pages.select(F.col(page_id).cast("bigint").alias("page_id"), F.sha1(payload).alias("digest"), F.octet_length(payload).alias("n")).where(F.col("n") >= least_bytes)
-    same = small.groupBy("digest").agg(F.count(F.lit(1)).alias("copies"), F.max("page_id").alias("target")).where("copies > 1").select("digest", "target")
-    return small.join(same, "digest").where("page_id <> target").select("page_id", "digest", "target").distinct()
+    large = digested.where(F.col("n") >= least_bytes).select("page_id", "digest")
+    same = large.groupBy("digest").agg(F.count(F.lit(1)).alias("copies"), F.max("page_id").alias("target")).where("copies > 1").select("digest", "target")
+    return large.join(same, "digest").where("page_id <> target").select("page_id", "digest", "target").distinct()
 
 
-def _bounds(pages: DataFrame, page_id: str, shards: int) -> list[int]:
+def _bounds(digested: DataFrame, rows: int, shards: int) -> list[int]:
     """Ids at which shards begin, from at most a few hundred sampled ids a shard."""
-    ids = pages.select(F.col(page_id).cast("bigint").alias("k")).where("k IS NOT NULL")
-    every = max(1, ids.count() // (_SAMPLES * shards))
-    keys = np.sort(ids.where(F.pmod(F.xxhash64("k"), F.lit(every)) == 0).toArrow().column("k").to_numpy())
+    every = max(1, rows // (_SAMPLES * shards))
+    keys = np.sort(digested.where("page_id IS NOT NULL").select("page_id").where(F.pmod(F.xxhash64("page_id"), F.lit(every)) == 0).toArrow().column("page_id").to_numpy())
     at = (np.arange(1, shards) * len(keys)) // shards
     return sorted({int(k) for k in keys[at]}) if len(keys) else []
 
@@ -63,15 +70,18 @@ def _digest(data: bytes) -> str:
     return "sha1:" + base64.b32encode(hashlib.sha1(data).digest()).decode()
 
 
-def _id(page: int | None, hexdigest: str) -> str:
-    return f"<urn:uuid:{uuid.uuid5(_NAMES, f'{page}:{hexdigest}')}>"
+def _id(page: int | None, hexdigest: str, copy: int = 0) -> str:
+    return f"<urn:uuid:{uuid.uuid5(_NAMES, f'{page}:{hexdigest}' + (f':{copy}' if copy else ''))}>"
 
 
-def page_record(page: int | None, url: str | None, payload: bytes, target: int | None, date: str) -> bytes:
-    """The bytes of a page's record before compression: a revisit if there is a target, else a response."""
+def page_record(page: int | None, url: str | None, payload: bytes, target: int | None, date: str, copy: int = 0) -> bytes:
+    """The bytes of a page's record before compression: a revisit if there is a target, else a response.
+
+    ``copy`` counts rows of one page_id and payload, whose records have ids of their own; a revisit refers to the first.
+    """
     hexdigest = hashlib.sha1(payload).hexdigest()
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
-    fields = [("WARC-Record-ID", _id(page, hexdigest)), ("WARC-Date", date)]
+    fields = [("WARC-Record-ID", _id(page, hexdigest, copy)), ("WARC-Date", date)]
     if url is not None:
         fields.append(("WARC-Target-URI", "".join(c if c > " " and c != "\x7f" else f"%{ord(c):02X}" for c in url)))
     fields += [("WARC-Payload-Digest", _digest(payload)), ("Content-Type", "application/http; msgtype=response")]
@@ -127,13 +137,17 @@ def write(pages: DataFrame, folder: str, page_id: str = "page_id", url: str = "u
 
     Null html is an empty payload, a null url leaves out the target URI, a null page_id sorts first and is a response.
     Rows with the same id and payload are written each, as records of the same kind.  No rows give an empty manifest.
+    A shard is sorted on disk and streamed, so its size isn't bound to memory: there is one for ``shard_bytes`` of html
+    up to ``most_shards``, as many as a shuffle can have without its own bookkeeping becoming the load, and with more
+    html than that shards are larger and have more files, each of ``roll_bytes``.
     """
     spark = pages.sparkSession
-    size = pages.agg(F.sum(F.octet_length(html))).first()[0] or 0
-    bounds = _bounds(pages, page_id, int(min(most_shards, max(1, -(-size // shard_bytes)))))
+    digested = settle(digests(pages, html, page_id))
+    rows, size = digested.agg(F.count("page_id"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    bounds = _bounds(digested, rows, int(min(most_shards, max(1, -(-size // shard_bytes)))))
     payload = F.coalesce(F.col(html), F.lit(""))
     rows = pages.select(F.col(page_id).cast("bigint").alias("page_id"), F.sha1(F.encode(payload, "UTF-8")).alias("digest"), F.lit(1).alias("kind"), F.lit(None).cast("bigint").alias("target"), F.col(url).alias("url"), payload.alias("html"))
-    flags = revisits(pages, html, page_id, least_bytes).select("page_id", "digest", F.lit(0).alias("kind"), "target", F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html"))
+    flags = revisits(digested, least_bytes).select("page_id", "digest", F.lit(0).alias("kind"), "target", F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html"))
     both = rows.unionByName(flags)
     edges = np.array(bounds, np.int64)
 
@@ -149,6 +163,7 @@ def write(pages: DataFrame, folder: str, page_id: str = "page_id", url: str = "u
 
     def save(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         attempt, roller, verdict, done = uuid.uuid4().hex[:12], None, (None, None, None), []
+        last, copy = None, 0
         for b in batches:
             for page, digest, kind, target, address, text, shard in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if kind == 0:
@@ -157,7 +172,9 @@ def write(pages: DataFrame, folder: str, page_id: str = "page_id", url: str = "u
                 if roller is None:
                     roller = _Roller(folder, shard, attempt, roll_bytes, date)
                 to = verdict[2] if verdict[:2] == (page, digest) else None
-                if row := roller.add(page, page_record(page, address, text.encode(), to, date)):
+                copy = copy + 1 if last == (page, digest) else 0
+                last = (page, digest)
+                if row := roller.add(page, page_record(page, address, text.encode(), to, date, copy)):
                     done.append(row)
         if roller and (row := roller.close()):
             done.append(row)
@@ -166,6 +183,9 @@ def write(pages: DataFrame, folder: str, page_id: str = "page_id", url: str = "u
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*done, strict=True), kinds, strict=True)], names=[x.split()[0] for x in _MANIFEST.split(", ")])
 
     dealt.mapInArrow(save, _MANIFEST).write.parquet(f"{folder}/manifest")
+    for left in system.get_file_info(fs.FileSelector(at)):  # what attempts that failed began
+        if left.base_name.startswith("_temporary-"):
+            system.delete_file(left.path)
     return spark.read.schema(_MANIFEST).parquet(f"{folder}/manifest")
 
 
@@ -197,12 +217,16 @@ def parse(record: bytes) -> tuple[dict[str, str], bytes]:
 def read(spark: SparkSession, folder: str) -> DataFrame:
     """A row per page record of the files in the manifest; a payload that doesn't fit its digest is an error."""
 
+    def as_batch(rows: list[tuple]) -> pa.RecordBatch:
+        kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string()]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=[x.split()[0] for x in _RECORD.split(", ")])
+
     def load(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, at = file_system(folder)
         for b in batches:
             for name in b.column(0).to_pylist():
-                rows = []
                 with system.open_input_stream(f"{at}/{name}", compression=None) as stream:
+                    rows = []
                     for record in members(stream):
                         fields, block = parse(record)
                         if fields["WARC-Type"] == "warcinfo":
@@ -214,9 +238,12 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
                         page, to = fields.get("X-Page-Id"), fields.get("X-Refers-To-Page-Id")
                         digest = base64.b32decode(fields["WARC-Payload-Digest"].partition(":")[2]).hex()
                         rows.append((page and int(page), n, digest, fields["WARC-Type"], to and int(to), name))
-                kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string()]
-                for i in range(0, len(rows), 10_000):
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows[i : i + 10_000], strict=True), kinds, strict=True)], names=[x.split()[0] for x in _RECORD.split(", ")])
-
-    files = spark.read.schema(_MANIFEST).parquet(f"{folder}/manifest").select("file")
-    return files.repartition("file").mapInArrow(load, _RECORD)
+                        if len(rows) == 10_000:
+                            yield as_batch(rows)
+                            rows = []
+                    if rows:
+                        yield as_batch(rows)
+
+    files = spark.read.schema(_MANIFEST).parquet(f"{folder}/manifest").select("shard", "file")
+    tasks = min(_MOST_TASKS, (files.agg(F.max("shard")).first()[0] or 0) + 1)
+    return files.repartitionById(tasks, F.pmod("shard", F.lit(tasks))).select("file").mapInArrow(load, _RECORD)

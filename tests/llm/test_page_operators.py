@@ -24,6 +24,8 @@ def test_warc(spark, tmp_path):
     outs = []
     for name in "ab":
         folder = str(tmp_path / name)
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "_temporary-0-shard-00000-00000.warc.gz").write_bytes(b"begun")
         manifest = warc.write(pages(spark, rows), folder, shard_bytes=100_000, roll_bytes=600).orderBy("file").collect()
         outs.append([(m.file, m.sha1, m.records, m.bytes) for m in manifest])
         got = warc.read(spark, folder).drop("file").collect()
@@ -37,6 +39,8 @@ def test_warc(spark, tmp_path):
         revisit = n >= 1000 and k is not None and k != top
         want.append((k, n, sha(t), "revisit" if revisit else "response", top if revisit else None))
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+    ids = [fields["WARC-Record-ID"] for m in outs[0] for record in warc.members(open(tmp_path / "a" / m[0], "rb")) for fields in [warc.parse(record)[0]]]
+    assert len(ids) == len(set(ids)) == len(rows) + len(outs[0])
     empty = str(tmp_path / "e")
     assert warc.write(pages(spark, rows).limit(0), empty).count() == 0 and warc.read(spark, empty).count() == 0
 
