@@ -6,19 +6,23 @@ jump when it sees that block at the window's end, and a full jump where no patte
 Shift 0 leads to the bucket of patterns that end in the block, and a direct comparison of all their
 words confirms.  Most positions of clean text are jumped over.
 
-Tables are built from the benchmark alone, in blocks of at most ``block_words`` benchmark words;
-each block is one more pass in the same stage, so what a worker holds doesn't grow with a benchmark.
+Tables are built from the benchmark alone, in blocks of about ``block_words`` words.  Spark writes the blocks to the
+shared folder and workers read them there, so the driver never holds a benchmark; a worker builds the tables of a block
+once and keeps those of a few blocks.  With more blocks than that it takes a larger stretch of documents through one
+block after the other, so what it holds doesn't grow with a benchmark either.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections import defaultdict
+import math
+from collections import OrderedDict, defaultdict
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from clausewright.llm.shared import CHUNK_BYTES, file_system, new_folder, text_map, with_text
 
 #: ASCII letters and digits and everything beyond ASCII are word bytes; A-Z is lower-cased.
 _TO_WORDS = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -80,75 +84,70 @@ def covered(spans: list[tuple[int, int]]) -> int:
     return total
 
 
-def _item_blocks(items: list, block_words: int) -> list[list]:
-    blocks, size = [[]], 0
-    for item in items:
-        n = len(words_of(item[1]))
-        if blocks[-1] and size + n > block_words:
-            blocks.append([])
-            size = 0
-        blocks[-1].append(item)
-        size += n
-    return blocks
+#: Blocks whose tables a worker keeps, and the bytes of texts that pass through one block after the other beyond that.
+HELD, STRETCH = 4, 32 << 20
+_built: OrderedDict[str, Patterns] = OrderedDict()
 
 
-def decontaminate(documents: DataFrame, benchmark: DataFrame, keep: dict[str, Column], text: str = "text", item: str = "item_id", item_text: str = "text", window: int = 13, block_words: int = 1_000_000) -> DataFrame:
-    """Per document: ``keep``, n_words, n_hit, n_items, items_sha256, spans, contaminated.
+def _write_blocks(benchmark: DataFrame, item: str, text: str, block_words: int) -> tuple[str, int]:
+    """The folder with a part for each block of items, and their number."""
+    rows = benchmark.select(F.col(item).cast("string").alias("item"), F.col(text).cast("string").alias("text")).where("text IS NOT NULL")
+    words = rows.agg(F.coalesce(F.sum(F.regexp_count("text", F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"))), F.lit(0))).first()[0]
+    blocks = max(1, math.ceil(words / block_words))
+    folder = new_folder(benchmark.sparkSession, "benchmark")
+    rows.withColumn("block", F.pmod(F.xxhash64("item", "text"), F.lit(blocks))).repartition("block").write.partitionBy("block").parquet(folder)
+    return folder, blocks
 
-    A null or empty text has no words and is clean; null or wordless items have no windows; repeated
-    items and documents count each; an empty benchmark leaves all clean.  Extra columns are ignored.
-    The benchmark is a stated query set, read by the driver in blocks of ``block_words`` words; all
-    documents are scanned whole, with no shuffle.  Item ids that are null are left out of ``n_items``.
-    """
-    rows = benchmark.select(F.col(item).cast("string").alias("item"), F.col(item_text).cast("binary").alias("text")).where("text is not null").orderBy("item").toLocalIterator()
-    blocks = _item_blocks([(r.item, bytes(r.text)) for r in rows], block_words)
-    df = documents.select(*[c.alias(n) for n, c in keep.items()], F.col(text).alias("_text"), F.lit(None).cast("array<struct<a:bigint,b:bigint>>").alias("spans"), F.lit(None).cast("array<string>").alias("items"))
-    for last, block in [(k == len(blocks) - 1, b) for k, b in enumerate(blocks)]:
-        df = _scan(df, block, window, last)
-    return df
 
+def _patterns(folder: str, block: int, window: int) -> Patterns:
+    """The tables of a block, from the worker's own or built from its file."""
+    import pyarrow.dataset as ds
 
-_OUT = "n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, spans array<struct<a:bigint,b:bigint>>, contaminated boolean"
-
+    at = f"{folder}/block={block}:{window}"
+    if at not in _built:
+        while len(_built) >= HELD:
+            _built.popitem(last=False)
+        system, path = file_system(folder)
+        kinds = pa.schema([("item", pa.string()), ("text", pa.string()), ("block", pa.int64())])
+        rows = ds.dataset(path, schema=kinds, filesystem=system, format="parquet", partitioning=ds.partitioning(pa.schema([kinds.field("block")]), flavor="hive")).to_table(columns=["item", "text"], filter=ds.field("block") == block)
+        _built[at] = Patterns([(k, t.encode()) for k, t in zip(rows.column("item").to_pylist(), rows.column("text").to_pylist(), strict=True)], window)
+    _built.move_to_end(at)
+    return _built[at]
 
-def _scan(df: DataFrame, items: list, window: int, last: bool) -> DataFrame:
-    """One pass with one block of items; the last pass turns the spans and items so far into the result."""
-    from pyspark.sql.types import StructType
 
-    from clausewright.llm.shared import as_bytes
-    from clausewright.llm.wordhash import chunks
+def decontaminate(documents: DataFrame, benchmark: DataFrame, keep: dict[str, Column], text: str = "text", item: str = "item_id", item_text: str = "text", window: int = 13, block_words: int = 200_000) -> DataFrame:
+    """Per document: ``keep``, n_words, n_hit, n_items, items_sha256, spans, contaminated.
 
-    kept = [f for f in df.schema.fields if f.name not in ("_text", "spans", "items")]
-    schema = StructType(kept + StructType.fromDDL(_OUT).fields) if last else df.schema
+    A null or empty text has no words and is clean; null or wordless items have no windows; repeated
+    items and documents count each; an empty benchmark leaves all clean.  Extra columns are ignored.
+    All documents are scanned whole in one pass, with no shuffle.  Item ids that are null are left out of ``n_items``.
+    """
+    folder, blocks = _write_blocks(benchmark, item, item_text, block_words)
+    stretch = STRETCH if blocks > HELD else CHUNK_BYTES
     span_type = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
 
-    def run(batches):
-        patterns = Patterns(items, window)
-        for batch in batches:
-            whole = as_bytes(batch.column("_text"))
-            for a, b in chunks(whole):
-                part = batch.slice(a, b - a)
-                spans, names, counts = part.column("spans").to_pylist(), part.column("items").to_pylist(), []
-                for i, text in enumerate(whole[a:b]):
-                    words = words_of(text)
-                    hit, found = patterns.search(words)
-                    counts.append(len(words))
-                    spans[i] = [*((x["a"], x["b"]) for x in spans[i] or ()), *hit]
-                    names[i] = sorted({*(names[i] or ()), *(x for x in found if x is not None)})
-                listed = pa.array([[{"a": x, "b": y} for x, y in s] for s in spans], span_type)
-                front = [part.column(f.name) for f in kept]
-                if not last:
-                    yield pa.RecordBatch.from_arrays([*front, part.column("_text"), listed, pa.array(names, pa.list_(pa.string()))], names=[*(f.name for f in kept), "_text", "spans", "items"])
-                    continue
-                hits = [covered(s) for s in spans]
-                more = {
-                    "n_words": pa.array(counts, pa.int64()),
-                    "n_hit": pa.array(hits, pa.int64()),
-                    "n_items": pa.array(map(len, names), pa.int64()),
-                    "items_sha256": pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in names], pa.string()),
-                    "spans": listed,
-                    "contaminated": pa.array([h > 0 and 20 * h >= n for h, n in zip(hits, counts, strict=True)], pa.bool_()),
-                }
-                yield pa.RecordBatch.from_arrays([*front, *more.values()], names=[*(f.name for f in kept), *more])
-
-    return df.mapInArrow(run, schema)
+    def scan(texts: list[bytes]) -> dict[str, pa.Array]:
+        spans, names, counts = [[] for _ in texts], [set() for _ in texts], [0] * len(texts)
+        for block in range(blocks):
+            patterns = _patterns(folder, block, window)
+            for i, t in enumerate(texts):
+                words = words_of(t)
+                counts[i] = len(words)
+                hit, found = patterns.search(words)
+                spans[i] += hit
+                names[i] |= found
+        listed = [sorted(x for x in n if x is not None) for n in names]
+        hits = [covered(s) for s in spans]
+        return {
+            "n_words": pa.array(counts, pa.int64()),
+            "n_hit": pa.array(hits, pa.int64()),
+            "n_items": pa.array(map(len, listed), pa.int64()),
+            "items_sha256": pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in listed], pa.string()),
+            "spans": pa.array([[{"a": x, "b": y} for x, y in sorted(s)] for s in spans], span_type),
+            "contaminated": pa.array([h > 0 and 20 * h >= n for h, n in zip(hits, counts, strict=True)], pa.bool_()),
+        }
+
+    return text_map(with_text(documents, text, keep), "_text", scan, _OUT, stretch)
+
+
+_OUT = "n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, spans array<struct<a:bigint,b:bigint>>, contaminated boolean"

@@ -28,6 +28,13 @@ def op2_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.apply_policy(rules.ledger(_table(spark, sf_dir, "documents"), {"doc_id": F.col("doc_id")}))
 
 
+def rules_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of policy v2 removes, alone and with others, from a stored ledger; texts are read once, to make it."""
+    folder = new_folder(spark, "ledger")
+    rules.ledger(_table(spark, sf_dir, "documents"), {"doc_id": F.col("doc_id")}).write.parquet(folder)
+    return rules.ablation(spark.read.parquet(folder), "v2")
+
+
 def _byte_tokenizer() -> str:
     import public_tokenizers
 
@@ -100,6 +107,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secrets": op8_secrets,
     "op9_url_filter": op9_url_filter,
     "op10_decontaminate": op10_decontaminate,
+    "rules_ablation": rules_ablation,
 }
 
 #: The strength of a level of _URL_FILTER: members (n, bad) of groups (g).
@@ -147,8 +155,7 @@ _URL_FILTER = f"""
                CASE WHEN rule IN ('example.com/en/7', 'net/de/') THEN 'allow' WHEN rule IS NOT NULL OR bad THEN 'block' ELSE 'allow' END AS verdict
         FROM v"""
 
-ORACLES: dict[str, str] = {
-    "op2_rules": """
+_RULES = """
         WITH t AS (
             SELECT doc_id, coalesce(text, '') AS t,
                    list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS w,
@@ -165,14 +172,20 @@ ORACLES: dict[str, str] = {
             SELECT t.doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
                    (length(t) - length(translate(t, '#*$%&|<>', '')))::BIGINT AS n_symbols,
                    (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines,
-                   coalesce(rep.r, 0)::BIGINT AS n_repeat_words, len(string_split(t, chr(10))) AS n_lines
+                   coalesce(rep.r, 0)::BIGINT AS n_repeat_words, len(string_split(t, chr(10)))::BIGINT AS n_lines
             FROM t LEFT JOIN rep ON t.doc_id = rep.doc_id),
         f AS (
-            SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+            SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines,
                    ((n_words < 20)::BIGINT + 2 * (100 * n_repeat_words > 30 * n_words)::BIGINT
                     + 4 * (100 * n_symbols > 5 * word_chars)::BIGINT + 8 * (100 * n_dup_lines > 50 * n_lines)::BIGINT
                     + 16 * (word_chars < 2 * n_words)::BIGINT + 32 * (word_chars > 15 * n_words)::BIGINT)::BIGINT AS failed FROM m)
-        SELECT *, failed & 3 <> 0 AS base_failed, failed & 15 = 0 AS kept FROM f""",
+        SELECT *, failed & 3 <> 0 AS base_failed, failed & 15 = 0 AS kept FROM f"""
+
+ORACLES: dict[str, str] = {
+    "op2_rules": _RULES,
+    "rules_ablation": f"""
+        WITH led AS ({_RULES}), r AS (SELECT * FROM (VALUES ('few_words', 0), ('repeated_windows', 1), ('symbols', 2), ('duplicate_lines', 3), ('short_words', 4), ('long_words', 5)) t(rule, bit))
+        SELECT rule, bit, coalesce(sum(failed >> bit & 1), 0)::BIGINT AS failed, count_if(failed = 1 << bit) AS alone FROM r, led GROUP BY rule, bit""",
     "op9_url_filter": _URL_FILTER,
     "op4_warc": """
         WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),

@@ -58,10 +58,10 @@ def _window_hashes(words: Column) -> Column:
 
 
 def ledger(documents: DataFrame, keep: dict[str, Column], text: str = "text") -> DataFrame:
-    """Per document: ``keep``, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed (bits).
+    """Per document: ``keep``, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, failed (bits).
 
     Words are ``[^\\x20\\x09-\\x0D]+``; null and empty texts have none and fail few_words.  Whole texts are measured where
-    they are; nothing is shuffled, and extra columns never get into the plan.
+    they are, equal rows alike; nothing is shuffled, and extra columns never get into the plan.
     """
     t = F.coalesce(F.col(text), F.lit(""))
     df = documents.select(*[c.alias(n) for n, c in keep.items()], t.alias("_t"))
@@ -86,7 +86,7 @@ def ledger(documents: DataFrame, keep: dict[str, Column], text: str = "text") ->
         "long_words": c > 15 * w,
     }
     bits = sum((F.when(x, F.lit(1 << RULES[name])).otherwise(F.lit(0)) for name, x in fails.items()), F.lit(0))
-    return df.select(*keep, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", bits.cast("bigint").alias("failed"))
+    return df.select(*keep, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", bits.cast("bigint").alias("failed"))
 
 
 def apply_policy(rows: DataFrame, policy: str = "v1") -> DataFrame:

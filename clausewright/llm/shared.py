@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import ctypes
-import gc
-import sys
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -56,14 +53,6 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def release_memory() -> None:
-    """Gives memory that Python and Arrow hold for reuse back to the system, after something large was let go."""
-    gc.collect()
-    pa.default_memory_pool().release_unused()
-    if sys.platform == "linux":
-        ctypes.CDLL(None).malloc_trim(0)
-
-
 def fold(key: Column, folds: int) -> Column:
     """crc32 of the key's decimal text modulo ``folds``; a null key counts as the empty text."""
     return F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % folds
@@ -87,10 +76,10 @@ def as_bytes(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
-def text_map(df: DataFrame, column: str, scan: Callable[[list[bytes]], dict[str, pa.Array]], schema: str) -> DataFrame:
+def text_map(df: DataFrame, column: str, scan: Callable[[list[bytes]], dict[str, pa.Array]], schema: str, most: int = CHUNK_BYTES) -> DataFrame:
     """``df`` without ``column`` but with what ``scan`` returns for it, a value for each text.
 
-    ``scan`` gets the UTF-8 of a few texts at a time, so memory is bounded by CHUNK_BYTES or the longest text.
+    ``scan`` gets the UTF-8 of a few texts at a time, so memory is bounded by ``most`` bytes or the longest text.
     """
     from pyspark.sql.types import StructType
 
@@ -103,7 +92,7 @@ def text_map(df: DataFrame, column: str, scan: Callable[[list[bytes]], dict[str,
         for batch in batches:
             texts = as_bytes(batch.column(batch.schema.get_field_index(column)))
             rest = batch.select([f.name for f in kept])
-            for a, b in chunks(texts, CHUNK_BYTES):
+            for a, b in chunks(texts, most):
                 got = scan(texts[a:b])
                 part = rest.slice(a, b - a)
                 yield pa.RecordBatch.from_arrays([*part.columns, *got.values()], names=[*rest.schema.names, *got])

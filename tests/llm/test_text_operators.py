@@ -1,6 +1,7 @@
 """Operators on documents against brute force, with nulls, empty and long texts, repeated rows and clashing columns."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -9,6 +10,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import public_tokenizers
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from clausewright.llm import decontaminate, langid, linededup, neardup, packing, quality, rules, secrets
@@ -198,6 +200,8 @@ def test_decontamination(spark):
                     found.add(str(100 - k))
         return len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit) and 20 * len(hit) >= len(w)
 
+    empty = spark.createDataFrame([(7, None), (8, "")], "doc_id bigint, text string")
+    assert decontaminate.decontaminate(empty.limit(0), bench, keep()).count() == 0 and {r.n_words for r in decontaminate.decontaminate(empty, bench, keep()).collect()} == {0}
     for size in (1_000_000, 20):
         got = decontaminate.decontaminate(frame(spark, texts), bench, keep(), block_words=size).collect()
         assert [(r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in sorted(got, key=lambda r: r.doc_id)] == [brute(t) for t in texts]
@@ -323,19 +327,57 @@ def test_quality(spark):
     assert np.mean([got[k].predicted == labels[k] for k in held]) > 0.95
     assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) for r in got.values()) and len(got) == len(texts)
     assert quality.score(docs.limit(0), model, keep()).count() == 0
+    by = [zstandard.ZstdCompressor(level=12, dict_data=zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False, write_dict_id=False) for d in (model.good, model.bad)]
+    for k, r in got.items():  # every text by a loop over its blocks
+        t = (texts[k] or "").encode()
+        sizes = [sum(len(c.compress(t[i : i + 2048])) for i in range(0, len(t), 2048)) for c in by]
+        d = (sizes[1] - sizes[0]) / (len(t) + 64)
+        z = model.weights[0] + 20 * model.weights[1] * d + 20 * model.weights[2] * (sizes[1] - sizes[0]) / (sum(sizes) + 64)
+        want = 1 / (1 + math.exp(-min(30, max(-30, z)))) if t else model.prior
+        assert abs(r.score - want) < 1e-9 and (not t or abs(r.difference - d) < 1e-12)
+    kept = [q for k, q in enumerate(labels) if fold(k, 5)]
+    assert model.prior == sum(kept) / len(kept) and len(model.good) == 8 << 10
+    twice = quality.fit(docs.union(docs), marks, rows=200, dictionary=8 << 10)
+    assert twice.good == model.good and np.allclose(twice.weights, model.weights)
     nothing = quality.fit(docs, marks.limit(0))
     assert {r.score for r in quality.score(docs, nothing, keep()).collect()} == {0.5}
 
 
+def subwords(t):
+    """Rows of all n-grams of a text's words, which have a boundary on either side, one by one."""
+    s, out = b" " + b" ".join(re.findall(rb"[a-z\x80-\xff]+", t.encode().lower())) + b" ", []
+    for n in (1, 2, 3, 4):
+        for i in range(len(s) - n + 1):
+            h = 0
+            for b in s[i : i + n]:
+                h = (h * 16777619 + b + 1) % 2**32
+            if b" " not in s[i + 1 : i + n - 1] or n < 3:
+                out.append(((h ^ h >> 15) * 2246822519 + n) % 2**32 >> 17)
+    return out
+
+
 def test_language(spark):
     rng = random.Random(10)
     parts = {"en": ["th", "ing", "er", "on"], "de": ["sch", "ü", "ung", "ei"], "es": ["ción", "ñ", "os", "la"]}
     make = lambda x: " ".join("".join(rng.choices(parts[x], k=3)) for _ in range(rng.randrange(5, 60)))
     langs = [rng.choice(list(parts)) for _ in range(300)]
-    docs = spark.createDataFrame([*((k, make(x), x, 0.1) for k, x in enumerate(langs)), (900, None, "en", 0.1), (901, "12 !?", None, 0.1), (902, "ß" * 600_000, None, 0.1), (903, "", "de", 0.1)], "doc_id bigint, text string, lang string, score double")
+    made = [make(x) for x in langs]
+    docs = spark.createDataFrame([*((k, made[k], x, 0.1) for k, x in enumerate(langs)), (900, None, "en", 0.1), (901, "12 !?", None, 0.1), (902, "ß" * 600_000, None, 0.1), (903, "", "de", 0.1)], "doc_id bigint, text string, lang string, score double")
     model = langid.fit(docs)
     got = {r.doc_id: r for r in langid.identify(docs, model, keep()).collect()}
     assert np.mean([got[k].lang_pred == x for k, x in enumerate(langs) if fold(k, 3) == 1]) > 0.95
     assert [got[k].lang_pred for k in (900, 901, 903)] == ["und"] * 3 and got[902].lang_pred in parts
     assert all(0 <= r.score <= 1 for r in got.values()) and got[900].rejected
+    for k, r in got.items():  # the mean of the subwords' rows, one by one
+        t = {900: None, 901: "12 !?", 902: "ß" * 600_000, 903: ""}.get(k) if k >= 900 else None
+        t = (t if k >= 900 else made[k]) or ""
+        if k == 902 or not re.search("[A-Za-zß]", t):
+            continue
+        z = (np.mean([model.weights[x] for x in subwords(t)], 0) + model.bias) / model.temperature
+        p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+        assert r.lang_pred == model.languages[int(p.argmax())] and abs(r.score - p.max()) < 1e-4
+    odd = spark.createDataFrame([(1, "²³½ ①"), (2, "٣ 12_"), (3, "ª"), (4, "Ω")], "doc_id bigint, text string")
+    assert [r.lang_pred == "und" for r in langid.identify(odd, model, keep()).orderBy("doc_id").collect()] == [True, True, False, False]
+    rare = spark.createDataFrame([*((k, "the king sings " + make("en"), "en") for k in range(3000)), *((k, make("es"), "es") for k in range(3000, 3006))], "doc_id bigint, text string, lang string")
+    assert set(langid.fit(rare, rows=50).languages) == {"en", "es"}
     assert {r.lang_pred for r in langid.identify(docs, langid.fit(docs.limit(0)), keep()).collect()} == {"und"}
