@@ -1,16 +1,17 @@
-"""Line dedup: documents probe a sharded minimal perfect hash over frequent line hashes.
-
-1. One pass over the texts gives each document's distinct line keys as 128-bit hashes, summed within the
-   worker's chunk before the shuffle; the sums by hash are the numbers of documents.
-2. Hashes found in ``min_docs`` documents or more go to shards.  Each shard becomes a minimal perfect
-   hash (hash and displace: keys of a bucket share a seed that sends them to free slots), an array of
-   64-bit fingerprints and an array of counts, both in slot order.  Shards are files in the shared folder.
-3. Documents probe: slot from the seed, then the fingerprint must be equal.  Slot and fingerprint
-   come from independent halves of the hash, so a line that was never counted isn't taken for one.
-
-Up to ``resident_bytes`` of index, each worker keeps the shards it has opened and documents never move.
-A larger index is probed the other way round: line hashes go to the shards' tasks, and what was found
-comes back to the documents by the hash of their text.
+"""Line dedup: line hashes probe a sharded minimal perfect hash over all distinct ones, and the hits go back to the texts.
+
+1. Documents are dealt into buckets of about a megabyte by a hash of the whole row.  One pass over the texts gives
+   each bucket's distinct line keys as 128-bit hashes with the number of its documents that have them.
+2. Sums by hash are the index's counts.  The distinct hashes go to shards; each becomes a minimal perfect hash (hash
+   and displace: keys of a bin share a seed that sends them to free slots), an array of 64-bit fingerprints and an
+   array of counts, both in slot order, in a file of the shared folder.
+3. A task per shard opens that one file and probes for all buckets: slot from the seed, then the fingerprint must be
+   equal, then the count must reach ``min_docs``.  Slot and fingerprint come from independent halves of the hash.
+   A line that a third of all documents have is one row per bucket here, not one per document.
+4. Hits and texts meet by bucket, a megabyte at a time.
+
+There is one plan for every size: no worker holds more than one shard or one bucket, and nothing comes to the driver
+but sums.  Texts are shuffled once.
 """
 
 from __future__ import annotations
@@ -21,19 +22,20 @@ import math
 from collections.abc import Iterable
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clausewright.llm.shared import as_bytes, file_system, new_folder, settle, text_map, with_text
+from clausewright.llm.shared import as_bytes, file_system, new_folder, settle, with_text
 from clausewright.llm.wordhash import chunks, mix
 
 _STRIP = b" \t\n\x0b\x0c\r"
-#: Keys of one shard, about; a shard's index takes some 14 bytes a key.
-SHARD_KEYS = 1 << 19
-_BUCKET = 4
+#: Keys of one shard, about, until there are MOST_SHARDS, and more beyond; a shard's arrays take some 14 bytes a key.
+SHARD_KEYS, MOST_SHARDS = 1 << 17, 20_000
+#: Bytes of text in a bucket of documents, about; a longer text is in a larger one.
+BUCKET_BYTES = 1 << 20
+_BIN = 4
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -54,18 +56,18 @@ def _slot(low: np.ndarray, seed: np.ndarray, n: int) -> np.ndarray:
     return (mix(low + (seed.astype(np.uint64) + np.uint64(1)) * _GOLD) % np.uint64(n)).astype(np.int64)
 
 
-def _bucket(low: np.ndarray, buckets: int) -> np.ndarray:
-    return (mix(low ^ _GOLD) % np.uint64(buckets)).astype(np.int64)
+def _bin(low: np.ndarray, bins: int) -> np.ndarray:
+    return (mix(low ^ _GOLD) % np.uint64(bins)).astype(np.int64)
 
 
 def build_shard(low: np.ndarray, high: np.ndarray, counts: np.ndarray) -> bytes:
     """Seeds, fingerprints and counts of distinct keys whose halves are ``low`` and ``high``."""
     n = len(low)
-    buckets = max(1, -(-n // _BUCKET))
-    by = _bucket(low, buckets)
+    bins = max(1, -(-n // _BIN))
+    by = _bin(low, bins)
     order = np.argsort(by, kind="stable")
-    ends = np.searchsorted(by[order], np.arange(buckets + 1))
-    seeds, taken, slots = np.zeros(buckets, np.uint32), np.zeros(n, bool), np.empty(n, np.int64)
+    ends = np.searchsorted(by[order], np.arange(bins + 1))
+    seeds, taken, slots = np.zeros(bins, np.uint32), np.zeros(n, bool), np.empty(n, np.int64)
     sizes = np.diff(ends)
     for b in np.argsort(-sizes, kind="stable").tolist():
         own = order[ends[b] : ends[b + 1]]
@@ -102,85 +104,93 @@ class Shard:
         """Number of documents of each key, 0 for keys that aren't indexed."""
         if not len(self.fingerprints):
             return np.zeros(len(low), np.int64)
-        at = _slot(low, self.seeds[_bucket(low, len(self.seeds))], len(self.fingerprints))
+        at = _slot(low, self.seeds[_bin(low, len(self.seeds))], len(self.fingerprints))
         return np.where(self.fingerprints[at] == high, self.counts[at].astype(np.int64), 0)
 
 
-def _shard_of(high: np.ndarray, shards: int) -> np.ndarray:
-    return (mix(high ^ np.uint64(0x5851F42D4C957F2D)) % np.uint64(shards)).astype(np.int64)
+def _long(key: bytes, min_chars: int) -> bool:
+    return len(key) >= min_chars and (min_chars <= 1 or len(key.decode("utf-8", "replace")) >= min_chars)
+
+
+def _keys(text: bytes, min_chars: int) -> list[bytes]:
+    """Hashes of a text's distinct keys."""
+    return [key_hash(k) for k in {line_key(x) for x in text.split(b"\n")} if _long(k, min_chars)]
 
 
-def line_counts(documents: DataFrame, text: str = "text", min_chars: int = 1) -> DataFrame:
-    """(low, high, n): the number of documents of each line key, by the halves of its hash."""
+def bucket_lines(bucketed: DataFrame, min_chars: int = 1) -> DataFrame:
+    """(bucket, low, high, n): the number of a bucket's documents that have a line key, by the halves of its hash."""
 
     def count(batches: Iterable[pa.RecordBatch]):
         for batch in batches:
-            texts = as_bytes(batch.column(0))
+            buckets, texts = batch.column(0).to_numpy(), as_bytes(batch.column(1))
             for a, b in chunks(texts, 8 << 20):
-                each: list[bytes] = []
-                for t in texts[a:b]:
-                    each.extend(map(key_hash, {k for k in map(line_key, t.split(b"\n")) if _long(k, min_chars)}))
-                if each:
-                    got, n = _unique(each)
-                    yield pa.RecordBatch.from_arrays([pa.array(got[:, 0].view(np.int64)), pa.array(got[:, 1].view(np.int64)), pa.array(n)], names=["low", "high", "n"])
+                each = [_keys(t, min_chars) for t in texts[a:b]]
+                flat = [k for ks in each for k in ks]
+                if flat:
+                    halves = _pair(flat).view(np.int64)
+                    owner = np.repeat(buckets[a:b], [len(ks) for ks in each])
+                    order = np.lexsort((halves[:, 1], halves[:, 0], owner))
+                    halves, owner = halves[order], owner[order]
+                    at = np.flatnonzero(np.concatenate(([True], (owner[1:] != owner[:-1]) | (halves[1:] != halves[:-1]).any(1))))
+                    yield pa.RecordBatch.from_arrays([pa.array(owner[at]), pa.array(halves[at, 0]), pa.array(halves[at, 1]), pa.array(np.diff(np.concatenate((at, [len(owner)]))))], names=["bucket", "low", "high", "n"])
 
-    rows = documents.select(F.col(text).alias("t")).mapInArrow(count, "low bigint, high bigint, n bigint")
-    return rows.groupBy("low", "high").agg(F.sum("n").alias("n"))
+    rows = bucketed.select("_bucket", "_text").mapInArrow(count, "bucket bigint, low bigint, high bigint, n bigint")
+    return rows.groupBy("bucket", "low", "high").agg(F.sum("n").alias("n"))
 
 
-def _long(key: bytes, min_chars: int) -> bool:
-    return len(key) >= min_chars and (min_chars <= 1 or len(key.decode("utf-8", "replace")) >= min_chars)
+def build_index(lines: DataFrame) -> tuple[str, int]:
+    """Writes an index over the distinct hashes of ``bucket_lines``; returns (folder, number of shards)."""
+    counted = settle(lines.groupBy("low", "high").agg(F.sum("n").alias("n")))
+    shards = max(1, min(MOST_SHARDS, math.ceil(counted.count() / SHARD_KEYS)))
+    folder = new_folder(counted.sparkSession, "lines")
 
+    def build(batches: Iterable[pa.RecordBatch]):
+        rows = [b for b in batches if b.num_rows]
+        if rows:
+            low, high, n, shard = (np.concatenate([b.column(c).to_numpy() for b in rows]) for c in range(4))
+            yield pa.RecordBatch.from_arrays([pa.array(shard[:1]), pa.array([build_shard(low.view(np.uint64), high.view(np.uint64), n)], pa.binary())], names=["shard", "data"])
 
-def _unique(digests: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    pairs = _pair(digests)
-    order = np.lexsort((pairs[:, 1], pairs[:, 0]))
-    pairs = pairs[order]
-    new = np.concatenate(([True], (pairs[1:] != pairs[:-1]).any(1)))
-    at = np.flatnonzero(new)
-    return pairs[at], np.diff(np.concatenate((at, [len(pairs)])))
+    dealt = counted.withColumn("shard", _shard(shards)).repartitionById(shards, F.col("shard"))
+    dealt.mapInArrow(build, "shard int, data binary").write.partitionBy("shard").parquet(folder)
+    return folder, shards
 
 
-def build_index(documents: DataFrame, text: str = "text", min_docs: int = 10, min_chars: int = 1) -> tuple[str, int, int]:
-    """Writes the shards; returns (folder, number of shards, bytes)."""
-    spark = documents.sparkSession
-    frequent = settle(line_counts(documents, text, min_chars).where(F.col("n") >= min_docs))
-    shards = max(1, math.ceil(frequent.count() / SHARD_KEYS))
-    folder = new_folder(spark, "lines")
+def _shard(shards: int) -> Column:
+    return F.pmod(F.xxhash64("high"), F.lit(shards)).cast("int")
 
-    def build(rows: pd.DataFrame) -> pd.DataFrame:
-        low, high = rows["low"].to_numpy().view(np.uint64), rows["high"].to_numpy().view(np.uint64)
-        return pd.DataFrame({"shard": [int(_shard_of(high[:1], shards)[0])], "data": [build_shard(low, high, rows["n"].to_numpy())]})
 
-    def number(batches):
-        for p in batches:
-            yield p.assign(shard=_shard_of(p["high"].to_numpy().view(np.uint64), shards))
+def open_shard(folder: str, shard: int) -> Shard:
+    """A shard, read by whichever file system its folder names."""
+    import pyarrow.dataset as ds
 
-    numbered = frequent.mapInPandas(number, "low bigint, high bigint, n bigint, shard bigint")
-    numbered.groupBy("shard").applyInPandas(build, "shard bigint, data binary").write.parquet(folder)
-    size = spark.read.parquet(folder).agg(F.coalesce(F.sum(F.length("data")), F.lit(0))).first()[0]
-    return folder, shards, size
+    system, path = file_system(folder)
+    data = ds.dataset(f"{path}/shard={shard}", filesystem=system, format="parquet").to_table(columns=["data"]).column("data")
+    return Shard(data[0].as_py())
 
 
-def open_shards(folder: str) -> dict[int, Shard]:
-    """All shards of a folder, read by whichever file system its path names."""
-    import pyarrow.dataset as ds
+def frequent_lines(lines: DataFrame, folder: str, shards: int, min_docs: int) -> DataFrame:
+    """(bucket, low, high) of the lines that the index has in ``min_docs`` documents or more; a task probes one shard."""
 
-    system, path = file_system(folder)
-    out = {}
-    for batch in ds.dataset(path, filesystem=system, format="parquet").to_batches(batch_size=1):
-        for k, data in zip(batch.column("shard").to_pylist(), batch.column("data").to_pylist(), strict=True):
-            out[k] = Shard(data)
-    return out
+    def probe(batches: Iterable[pa.RecordBatch]):
+        shard = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            shard = shard or open_shard(folder, batch.column("shard")[0].as_py())
+            n = shard.probe(batch.column("low").to_numpy().view(np.uint64), batch.column("high").to_numpy().view(np.uint64))
+            yield batch.select(["bucket", "low", "high"]).filter(pa.array(n >= min_docs))
+
+    dealt = lines.select("bucket", "low", "high", _shard(shards).alias("shard")).repartitionById(shards, F.col("shard"))
+    return dealt.mapInArrow(probe, "bucket bigint, low bigint, high bigint")
 
 
 _RESULT = "text string, n_lines bigint, n_dropped bigint, kept_sha256 string"
 
 
-def _result(texts: list[bytes], dropped: list[set[bytes]], min_chars: int) -> dict[str, pa.Array]:
-    """Texts without the lines whose key hash is among ``dropped``."""
+def _result(texts: list[bytes], drop: set[bytes], min_chars: int) -> dict[str, pa.Array]:
+    """Texts without the lines whose key hash is in ``drop``."""
     left, n, gone = [], [], []
-    for t, drop in zip(texts, dropped, strict=True):
+    for t in texts:
         lines = t.split(b"\n")
         n.append(len(lines))
         if drop:
@@ -190,77 +200,27 @@ def _result(texts: list[bytes], dropped: list[set[bytes]], min_chars: int) -> di
     return {"text": pa.array(left, pa.binary()).cast(pa.string()), "n_lines": pa.array(n, pa.int64()), "n_dropped": pa.array(gone, pa.int64()), "kept_sha256": pa.array([hashlib.sha256(x).hexdigest() for x in left], pa.string())}
 
 
-def _keys(text: bytes, min_chars: int) -> list[bytes]:
-    return [key_hash(k) for k in {line_key(x) for x in text.split(b"\n")} if _long(k, min_chars)]
-
-
-def drop_lines(documents: DataFrame, keep: dict[str, Column], text: str = "text", min_docs: int = 10, min_chars: int = 1, resident_bytes: int = 256 << 20) -> DataFrame:
+def drop_lines(documents: DataFrame, keep: dict[str, Column], text: str = "text", min_docs: int = 10, min_chars: int = 1) -> DataFrame:
     """Per document: ``keep``, text (without frequent lines), n_lines, n_dropped, kept_sha256.
 
     Frequent: a key of ``min_chars`` code points or more in ``min_docs`` documents or more; each row counts as
-    a document.  A null or empty text is one empty line.  A document that loses all lines has an empty text.
+    a document, also one that repeats another.  A null or empty text is one empty line.  A document that loses all lines
+    has an empty text.  Extra columns are ignored.
     """
-    folder, shards, size = build_index(documents, text, min_docs, min_chars)
-    if size > resident_bytes:
-        return _drop_routed(documents, keep, text, folder, shards, min_chars)
-    opened: dict[int, Shard] = {}
-    first: list[bool] = []
-
-    def scan(texts: list[bytes]) -> dict[str, pa.Array]:
-        if not first:
-            opened.update(open_shards(folder))
-            first.append(True)
-        each = [_keys(t, min_chars) for t in texts]
-        flat = [k for ks in each for k in ks]
-        hit = np.zeros(len(flat), bool)
-        if flat:
-            pairs = _pair(flat)
-            by = _shard_of(pairs[:, 1], shards)
-            for k, shard in opened.items():
-                own = np.flatnonzero(by == k)
-                hit[own] = shard.probe(pairs[own, 0], pairs[own, 1]) >= min_docs
-        dropped, at = [], 0
-        for ks in each:
-            dropped.append({k for k, h in zip(ks, hit[at : at + len(ks)].tolist(), strict=True) if h})
-            at += len(ks)
-        return _result(texts, dropped, min_chars)
-
-    return text_map(with_text(documents, text, keep), "_text", scan, _RESULT)
-
-
-def _drop_routed(documents: DataFrame, keep: dict[str, Column], text: str, folder: str, shards: int, min_chars: int, salts: int = 64) -> DataFrame:
-    """As drop_lines, for an index larger than a worker may hold: hashes go to (shard, salt), hits come back."""
-    spark = documents.sparkSession
-    rows = with_text(documents, text, keep).withColumn("_text", F.coalesce("_text", F.lit(""))).withColumn("_own", F.md5("_text"))
-
-    def send(batches: Iterable[pa.RecordBatch]):
-        for batch in batches:
-            for own, t in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1)), strict=True):
-                if ks := _keys(t, min_chars):
-                    pairs = _pair(ks)
-                    n = len(ks)
-                    yield pa.RecordBatch.from_arrays([pa.array([own] * n, pa.string()), pa.array(pairs[:, 0].view(np.int64)), pa.array(pairs[:, 1].view(np.int64)), pa.array(_shard_of(pairs[:, 1], shards)), pa.array([int(own[:8], 16) % salts] * n, pa.int64())], names=["own", "low", "high", "shard", "salt"])
-
-    def probe(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if left.empty or right.empty:
-            return left[["own", "low", "high"]].head(0)
-        n = Shard(right["data"].iloc[0]).probe(left["low"].to_numpy().view(np.uint64), left["high"].to_numpy().view(np.uint64))
-        return left.loc[n > 0, ["own", "low", "high"]]
-
-    sent = rows.select("_own", "_text").dropDuplicates(["_own"]).mapInArrow(send, "own string, low bigint, high bigint, shard bigint, salt bigint")
-    index = spark.read.parquet(folder).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))))
-    hits = sent.groupBy("shard", "salt").cogroup(index.groupBy("shard", "salt")).applyInPandas(probe, "own string, low bigint, high bigint")
-    by_text = hits.groupBy("own").agg(F.collect_list(F.struct("low", "high")).alias("_hits"))
-    joined = rows.join(by_text.withColumnRenamed("own", "_own"), "_own", "left").drop("_own")
-    kept = [f for f in joined.schema.fields if f.name not in ("_text", "_hits")]
-
-    def finish(batches: Iterable[pa.RecordBatch]):
-        for batch in batches:
-            texts = as_bytes(batch.column("_text"))
-            hits = [{np.array([h["low"], h["high"]], np.int64).tobytes() for h in hs or ()} for hs in batch.column("_hits").to_pylist()]
-            got = _result(texts, hits, min_chars)
-            yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in kept), *got.values()], names=[*(f.name for f in kept), *got])
-
     from pyspark.sql.types import StructType
 
-    return joined.mapInArrow(finish, StructType(kept + StructType.fromDDL(_RESULT).fields))
+    rows = with_text(documents, text, keep).withColumn("_text", F.coalesce("_text", F.lit("")))
+    kept = [f for f in rows.schema.fields if f.name != "_text"]
+    size = rows.agg(F.coalesce(F.sum(F.octet_length("_text")), F.lit(0))).first()[0]
+    buckets = max(1, math.ceil(size / BUCKET_BYTES))
+    rows = rows.withColumn("_bucket", F.pmod(F.xxhash64("_text", *keep), F.lit(buckets)).cast("bigint"))
+    lines = settle(bucket_lines(rows, min_chars))
+    hits = frequent_lines(lines, *build_index(lines), min_docs)
+
+    def finish(left: pa.Table, right: pa.Table) -> pa.Table:
+        drop = {x.tobytes() for x in np.column_stack([right.column("low").to_numpy(), right.column("high").to_numpy()])}
+        texts = left.column("_text").combine_chunks()
+        got = _result(as_bytes(texts), drop, min_chars)
+        return pa.Table.from_arrays([*(left.column(f.name) for f in kept), *got.values()], names=[*(f.name for f in kept), *got])
+
+    return rows.groupBy("_bucket").cogroup(hits.groupBy("bucket")).applyInArrow(finish, StructType(kept + StructType.fromDDL(_RESULT).fields))

@@ -98,15 +98,18 @@ def test_secrets(spark):
     assert found
 
 
-@pytest.mark.parametrize("resident", [1 << 28, 0])
-def test_line_dedup(spark, resident):
+@pytest.mark.parametrize("small", [False, True])
+def test_line_dedup(spark, small, monkeypatch):
+    if small:  # many buckets and shards
+        monkeypatch.setattr(linededup, "BUCKET_BYTES", 500)
+        monkeypatch.setattr(linededup, "SHARD_KEYS", 5)
     rng = random.Random(3)
     lines = [" Common Line\t", "common line", "rare", "", "  ", "É x", "é x", *(f"l{k}" for k in range(12))]
     texts = [*EDGES, *("\n".join(rng.choices(lines, k=rng.randrange(6))) for _ in range(80))]
     key = lambda x: x.strip(" \t\n\x0b\x0c\r").translate(LOW)
     count = Counter(k for t in texts for k in {key(x) for x in (t or "").split("\n")} if k)
     dropped = 0
-    for r in linededup.drop_lines(frame(spark, texts), keep(), resident_bytes=resident).collect():
+    for r in linededup.drop_lines(frame(spark, texts), keep()).collect():
         all_ = (texts[r.doc_id] or "").split("\n")
         left = [x for x in all_ if count[key(x)] < 10]
         assert (r.text, r.n_lines, r.n_dropped, r.kept_sha256) == ("\n".join(left), len(all_), len(all_) - len(left), hashlib.sha256("\n".join(left).encode()).hexdigest())
