@@ -5,7 +5,8 @@ shingles and stores the smallest value as its count of leading zeros (6 bits) an
 first one.  Four registers are one 64-bit band key, so 32 bands miss a pair at similarity 0.75 with probability
 (1 - 0.75^4)^32, 5 in a million, and pairs above it less.
 
-1. Documents of equal sets are one class, found by two 64-bit sums over the set; classes are linked, not copies.
+1. Documents of equal sets are one class, found by the size and two 64-bit sums over the set's hashes: other sets
+   agree in all three with a probability of 2^-128, far less than two shingles have one hash.  Classes are linked, not copies.
 2. Every class sends its band keys to buckets.  In a bucket each member pairs with the smallest one; these pairs,
    linear in the input however large a bucket is, are confirmed on full sets, and their components taken.
 3. Buckets that still join several components are searched in blocks of bounded size.  Pairs across components,
@@ -144,13 +145,13 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _blocks(rows: DataFrame) -> DataFrame:
-    """``rows`` (bucket, ...) with the group that each is searched in and the side it is on.
+    """``rows`` (bucket, _n, ...) with the group that each is searched in and the side it is on.
 
-    A bucket of more than BLOCK members is cut into blocks by the hash of rep, and every pair of blocks is a group.
+    A bucket of more than BLOCK members (_n of them) is cut into blocks by the hash of rep, and every pair of blocks is a
+    group: so each member is copied once per BLOCK members of its bucket, which only buckets with several components cost.
     """
-    size = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("_n"))
     n = F.ceil(F.col("_n") / BLOCK).cast("int")
-    cut = rows.join(size, "bucket").withColumn("_blocks", n).withColumn("_block", F.expr("pmod(xxhash64(rep, 17), _blocks)").cast("int"))
+    cut = rows.withColumn("_blocks", n).withColumn("_block", F.expr("pmod(xxhash64(rep, 17), _blocks)").cast("int"))
     cut = cut.withColumn("_with", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
     low, high = F.least("_block", "_with"), F.greatest("_block", "_with")
     return cut.withColumn("g", F.xxhash64("bucket", low, high)).withColumn("side", F.when(low == high, -1).otherwise(F.col("_block"))).drop("_n", "_blocks", "_block", "_with")
@@ -285,10 +286,10 @@ def near_duplicates(documents: DataFrame, doc_id: str = "doc_id", text: str = "t
     cut = share - sigmas * (share * (1 - share) / REGISTERS) ** 0.5
     sig = settle(signatures(documents, doc_id, text, width))
     filled = sig.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = filled.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"))
-    nodes = settle(filled.withColumnRenamed("doc_id", "rep").join(classes, ["rep", "k1", "k2"], "left_semi").select("rep", "n_shingles", "registers").dropDuplicates(["rep", "registers"]))
+    classes = filled.groupBy("k1", "k2", "n_shingles").agg(F.min("doc_id").alias("rep"))
+    nodes = settle(filled.withColumnRenamed("doc_id", "rep").join(classes, ["rep", "k1", "k2", "n_shingles"], "left_semi").select("rep", "n_shingles", "registers").dropDuplicates(["rep", "registers"]))
     bands = _band_rows(nodes)
-    sizes = bands.groupBy("bucket").agg(F.count(F.lit(1)).alias("_n"), F.min("rep").alias("hub")).where("_n > 1").drop("_n")
+    sizes = bands.groupBy("bucket").agg(F.count(F.lit(1)).alias("_n"), F.min("rep").alias("hub")).where("_n > 1")
     members = settle(bands.join(sizes, "bucket"))
     ids = members.select("rep").distinct()
     sets = settle(_full_sets(documents, ids, doc_id, text, width).dropDuplicates(["rep", "items"]))
@@ -297,11 +298,12 @@ def near_duplicates(documents: DataFrame, doc_id: str = "doc_id", text: str = "t
     several = placed.groupBy("bucket").agg(F.min("comp").alias("_low"), F.max("comp").alias("_high")).where("_low <> _high").select("bucket")
     open_ = placed.join(several, "bucket", "left_semi").join(nodes, "rep")
     flagged = _by_group(_blocks(open_), _search_open(cut), "bucket bigint, rep bigint").distinct()
-    rest = open_.join(settle(flagged), ["bucket", "rep"], "left_semi").join(sets, "rep")
+    flagged = settle(flagged)
+    rest = open_.drop("_n").join(flagged, ["bucket", "rep"], "left_semi").join(flagged.groupBy("bucket").agg(F.count(F.lit(1)).alias("_n")), "bucket").join(sets, "rep")
     more = _by_group(_blocks(rest), _search_links(cut, percent), "a bigint, b bigint")
     second = components(more).toDF("comp", "_next")
     merged = classes.join(first.toDF("rep", "comp"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
-    merged = merged.join(second, "comp", "left").select("k1", "k2", F.coalesce("_next", "comp").alias("comp"))
-    out = sig.withColumn("_set", F.col("n_shingles") > 0).join(merged.withColumn("_set", F.lit(True)), ["k1", "k2", "_set"], "left")
+    merged = merged.join(second, "comp", "left").select("k1", "k2", "n_shingles", F.coalesce("_next", "comp").alias("comp"))
+    out = sig.join(merged, ["k1", "k2", "n_shingles"], "left")  # sets of no shingles are in no class
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("comp", "doc_id")).alias("component_id")
     return out.select("doc_id", "n_shingles", component, F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
