@@ -80,10 +80,7 @@ class Workspace:
 
     def comparisons(self) -> DataFrame:
         """Latest first; a comparison that ran again keeps its first created_at."""
-        log = self._read("comparisons", schemas.COMPARISONS)
-        first = log.groupBy("comparison_id").agg(F.min("created_at").alias("_at"))
-        last = R.latest_by(log, ["comparison_id"], [F.desc("completed_at")])
-        return last.join(first, "comparison_id").withColumn("created_at", F.col("_at")).drop("_at").orderBy(F.desc("created_at"), "comparison_id")
+        return R.comparisons(self._read("comparisons", schemas.COMPARISONS))
 
     def comparison(self, comparison_id: str) -> DataFrame:
         return self.comparisons().where(F.col("comparison_id") == comparison_id)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from difflib import SequenceMatcher
 
 import pandas as pd
@@ -10,8 +11,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from clausewright import lexicon
+from clausewright.functions import extract as E
 
 DIFF = "struct<has_changes:boolean,added_words:array<string>,removed_words:array<string>,modified_segments:array<struct<old:string,new:string,type:string>>,similarity_ratio:double,change_density:double,diff_ops:array<struct<type:string,old_text:string,new_text:string>>>"
+MATCHES = "array<struct<field:string,old_value:string,new_value:string,old_numeric:double,new_numeric:double,unit:string>>"
 NUMBERS = "array<struct<field:string,old_value:string,new_value:string,old_numeric:double,new_numeric:double,unit:string,direction:string,magnitude_percent:double>>"
 
 
@@ -19,6 +22,15 @@ def ratio_of(a: str | None, b: str | None) -> float:
     return SequenceMatcher(None, a, b).ratio() if a and b else 0.0
 
 
+def ratio_bound(a: str | None, b: str | None) -> float:
+    """At least ratio_of: by the characters that both texts have, wherever they stand."""
+    if not a or not b:
+        return 0.0
+    if 2 * min(len(a), len(b)) / (len(a) + len(b)) < 0.3:
+        return 2 * min(len(a), len(b)) / (len(a) + len(b))
+    return 2 * (Counter(a) & Counter(b)).total() / (len(a) + len(b))
+
+
 def _udf(schema: str):
     """A pandas UDF made when it is first used, as schemas in words need a session."""
 
@@ -87,7 +99,7 @@ def _found(text: str, patterns: list[str], kind: str) -> list[dict]:
     return out
 
 
-def number_changes_of(old: str | None, new: str | None) -> list[dict]:
+def number_matches_of(old: str | None, new: str | None) -> list[dict]:
     """Amounts, percentages and durations of equal unit and most similar context whose values differ."""
     out = []
     for kind, patterns in (("monetary", lexicon.MONEY), ("percentage", lexicon.PERCENT), ("duration", lexicon.DURATION)):
@@ -101,15 +113,30 @@ def number_changes_of(old: str | None, new: str | None) -> list[dict]:
             y = after[-best[1]]
             free.remove(-best[1])
             if x["value"] != y["value"]:
-                size = abs((y["value"] - x["value"]) / x["value"] * 100) if x["value"] else None
-                way = "INCREASE" if y["value"] > x["value"] else "DECREASE"
-                out.append({"field": kind, "old_value": x["text"], "new_value": y["text"], "old_numeric": x["value"], "new_numeric": y["value"], "unit": x["unit"], "direction": way, "magnitude_percent": size})
+                out.append({"field": kind, "old_value": x["text"], "new_value": y["text"], "old_numeric": x["value"], "new_numeric": y["value"], "unit": x["unit"]})
     return out
 
 
-@_udf(NUMBERS)
-def number_changes(old: pd.Series, new: pd.Series) -> pd.Series:
-    return pd.Series([number_changes_of(a, b) for a, b in zip(old, new, strict=True)])
+@_udf(MATCHES)
+def _number_matches(old: pd.Series, new: pd.Series) -> pd.Series:
+    return pd.Series([number_matches_of(a, b) for a, b in zip(old, new, strict=True)])
+
+
+@_udf(f"struct<diff:{DIFF},matches:{MATCHES}>")
+def compared(old: pd.Series, new: pd.Series) -> pd.DataFrame:
+    """The word diff and the matched numbers of two texts, in one pass."""
+    pairs = list(zip(old, new, strict=True))
+    return pd.DataFrame({"diff": [diff_of(a, b) for a, b in pairs], "matches": [number_matches_of(a, b) for a, b in pairs]})
+
+
+def with_direction(matches: Column) -> Column:
+    """Matched numbers with the way and the size of their change."""
+    return F.transform(matches, lambda m: F.struct(*[m[c].alias(c) for c in ("field", "old_value", "new_value", "old_numeric", "new_numeric", "unit")], E.direction(m["old_numeric"], m["new_numeric"]).alias("direction"), E.magnitude(m["old_numeric"], m["new_numeric"]).alias("magnitude_percent")))
+
+
+def number_changes(old, new) -> Column:
+    """Numbers matched by unit and context whose values differ, with direction and magnitude."""
+    return with_direction(_number_matches(old, new))
 
 
 def _flat(text: Column) -> Column:

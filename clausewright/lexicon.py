@@ -21,6 +21,27 @@ CATEGORIES = {
     "C17": "Editorial Change",
 }
 
+# The dashboard's shorter names.
+UI_LABELS = {
+    "C01": "Added Requirement",
+    "C02": "Removed Requirement",
+    "C03": "Modified Requirement",
+    "C04": "Threshold / Limit",
+    "C05": "Timeline Change",
+    "C06": "Eligibility",
+    "C07": "Compliance",
+    "C08": "Reporting",
+    "C09": "Documentation",
+    "C10": "Penalty / Consequence",
+    "C11": "Scope Change",
+    "C12": "Definition",
+    "C13": "Exception / Exemption",
+    "C14": "Procedural",
+    "C15": "Reference",
+    "C16": "Clarification",
+    "C17": "Editorial",
+}
+
 # Impact levels from the highest, and each category's base score.
 IMPACTS = ["CRITICAL", "HIGH", "MEDIUM", "LOW", "INFORMATIONAL"]
 BASE_IMPACT = {"C01": 3, "C02": 3, "C03": 2, "C04": 3, "C05": 3, "C06": 3, "C07": 4, "C08": 3, "C09": 2, "C10": 4, "C11": 3, "C12": 2, "C13": 3, "C14": 2, "C15": 1, "C16": 1, "C17": 0}

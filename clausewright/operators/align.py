@@ -10,9 +10,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from clausewright.functions.compare import ratio_of, text_ratio
+from clausewright.functions.compare import ratio_bound, ratio_of, text_ratio
 from clausewright.sources import tables
 
+#: Ratios and scores from which nodes are aligned, and terms that count.
 EXACT_RATIO, HEADING_RATIO, ACCEPT, FEATURES = 0.3, 0.7, 0.5, 5000
 #: About so many nodes of a side meet in a task; larger comparisons are dealt into blocks, and every pair of blocks is compared.
 BLOCK = 1000
@@ -66,8 +67,10 @@ def structural_layer(old: DataFrame, new: DataFrame) -> DataFrame:
         for a in o.sort_values(["order", "node_id"]).itertuples():
             best, at = 0.0, None
             for k, b in enumerate(free):
+                if ratio_bound(a.heading.lower(), b.heading.lower()) < HEADING_RATIO:
+                    continue
                 h = ratio_of(a.heading.lower(), b.heading.lower())
-                if h >= HEADING_RATIO:
+                if h >= HEADING_RATIO and 0.6 * h + 0.4 * ratio_bound(a.normalized_text, b.normalized_text) > best:
                     score = 0.6 * h + 0.4 * ratio_of(a.normalized_text, b.normalized_text)
                     if score > best:
                         best, at = score, k
@@ -194,9 +197,22 @@ def lexical_scores(old: DataFrame, new: DataFrame, least: float = ACCEPT, stop_w
     return _blocked(v.where("side = 'old'"), v.where("side = 'new'"), _cosines, least, block)
 
 
+def distinct_texts(nodes: DataFrame) -> DataFrame:
+    """(comparison_id, node_id, rep): the smallest node of each text in a comparison stands for its copies."""
+    key = ["comparison_id", F.md5("normalized_text").alias("_text")]
+    reps = nodes.groupBy(*key).agg(F.min("node_id").alias("rep"))
+    return nodes.select("node_id", *key).join(reps, ["comparison_id", "_text"]).select("comparison_id", "node_id", "rep")
+
+
 def lexical_links(nodes: DataFrame, least: float = ACCEPT, stop_words: list[str] | None = None, block: int = BLOCK) -> DataFrame:
-    """As lexical_scores, for each two nodes of a comparison whatever their side; ``node_id`` is a number, the smaller one is old."""
-    v = _vectors(_tfidf(nodes.where(F.length("normalized_text") > 20), stop_words=stop_words)).drop("side")
+    """As lexical_scores, for each two different texts of a comparison whatever their side.
+
+    ``node_id`` is a number; the representatives of distinct_texts are linked, the smaller one as old, and copies, which
+    all count in the weights, have their representative's links.
+    """
+    long_ = nodes.where(F.length("normalized_text") > 20)
+    reps = distinct_texts(long_).where("node_id = rep").select("comparison_id", "node_id")
+    v = _vectors(_tfidf(long_, stop_words=stop_words).join(reps, ["comparison_id", "node_id"], "left_semi")).drop("side")
     return _blocked(v, v, _cosines, least, block, within=True)
 
 
@@ -283,3 +299,9 @@ def align(old: DataFrame, new: DataFrame, embed: Callable[[DataFrame], DataFrame
     for layer in found:
         out = layer.withColumn("alignment_type", F.lit("ONE_TO_ONE")).unionByName(out)
     return out
+
+
+def alignment_counts(aligned: DataFrame) -> DataFrame:
+    """Per comparison: added, removed, matched."""
+    kind = F.col("alignment_type")
+    return aligned.groupBy("comparison_id").agg(F.count_if(kind == "ADDED").alias("added"), F.count_if(kind == "REMOVED").alias("removed"), F.count_if(kind == "ONE_TO_ONE").alias("matched"))

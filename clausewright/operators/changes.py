@@ -36,8 +36,8 @@ def classify(alignments: DataFrame, nodes: DataFrame) -> DataFrame:
     both = both.where(~paired | ~F.col("o.normalized_text").eqNullSafe(F.col("w.normalized_text"))).where(~paired | ~F.col("o.text").eqNullSafe(F.col("w.text")))
     pairs, single = both.where(paired), both.where(~paired)
     old, new = F.col("o.text"), F.col("w.text")
-    pairs = pairs.withColumn("diff", D.word_diff(old, new)).withColumn("_numbers", D.number_changes(old, new))
-    pairs = pairs.withColumn("numerical_changes", F.concat("_numbers", E.date_changes(old, new))).withColumn("_ob", E.obligation_change(old, new))
+    pairs = pairs.withColumn("_compared", D.compared(old, new)).withColumn("diff", F.col("_compared.diff"))
+    pairs = pairs.withColumn("numerical_changes", F.concat(D.with_direction(F.col("_compared.matches")), E.date_changes(old, new))).withColumn("_ob", E.obligation_change(old, new))
     pairs = pairs.withColumn("_diff_sub", D.is_substantive(old, new, F.col("diff")))
     words = F.concat_ws(" ", F.array_join(F.transform(F.col("diff.modified_segments"), lambda s: F.concat_ws(" ", s["old"], s["new"])), " "), F.array_join(F.col("diff.added_words"), " "), F.array_join(F.col("diff.removed_words"), " "))
     is_def = (F.col("o.content_type") == "definition") | (F.col("w.content_type") == "definition")

@@ -27,6 +27,16 @@ def category_distribution(changes: DataFrame, substantive_only: bool = True) ->
     return df.groupBy("category").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "category")
 
 
+def mean_confidence(column: str) -> Column:
+    """The mean of an aggregate's rows, 0 without any."""
+    return F.coalesce(F.avg(column), F.lit(0.0))
+
+
+def with_bars(counts: DataFrame) -> DataFrame:
+    """Counts with their share of the largest one, for bars; counts are few, one for each category."""
+    return counts.withColumn("share", F.col("n") / F.max("n").over(Window.partitionBy(F.lit(0))))
+
+
 def impact_heatmap(changes: DataFrame) -> DataFrame:
     return changes.where("is_substantive").groupBy("category", "impact").agg(F.count(F.lit(1)).alias("n"))
 
@@ -70,6 +80,18 @@ def latest_comparison(comparisons: DataFrame) -> DataFrame:
     return comparisons.orderBy(F.when(F.col("status") == "completed", 0).otherwise(1), F.desc("created_at"), "comparison_id").limit(1)
 
 
+def comparisons(log: DataFrame) -> DataFrame:
+    """The last row of each comparison with its first created_at, newest first."""
+    first = log.groupBy("comparison_id").agg(F.min("created_at").alias("_at"))
+    last = latest_by(log, ["comparison_id"], [F.desc("completed_at")])
+    return last.join(first, "comparison_id").withColumn("created_at", F.col("_at")).drop("_at").orderBy(F.desc("created_at"), "comparison_id")
+
+
+def missing_keys(rows: DataFrame, others: DataFrame, key: str) -> DataFrame:
+    """Values of ``key`` in ``rows`` that no row of ``others`` has."""
+    return rows.select(key).where(F.col(key).isNotNull()).distinct().join(others.select(key), key, "left_anti")
+
+
 def with_progress(comparisons: DataFrame, live: DataFrame) -> DataFrame:
     """Stored comparisons with progress, stage and status of those that run."""
     own = live.select("comparison_id", *[F.col(c).alias(f"_{c}") for c in ("progress", "current_stage", "status")])
@@ -143,5 +165,6 @@ def export_rows_script(changes: DataFrame) -> DataFrame:
     )
 
 
-def categories(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(lexicon.CATEGORIES.items()), "code string, name string")
+def categories(spark: SparkSession, names: dict[str, str] | None = None) -> DataFrame:
+    """Codes and names: the server's, unless others are given, as the dashboard's."""
+    return spark.createDataFrame(list((names or lexicon.CATEGORIES).items()), "code string, name string")

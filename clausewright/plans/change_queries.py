@@ -13,7 +13,9 @@ from clausewright.functions import extract as E
 from clausewright.functions import scores as S
 from clausewright.operators import align as A
 from clausewright.operators import reports as R
+from clausewright.plans import aligned as L
 from clausewright.plans import clauses as C
+from clausewright.sources import enrich, sinks, tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -37,38 +39,46 @@ def _pairs(sql: str) -> str:
     return f"WITH {C.SQL_PAIRS} {sql}"
 
 
-# --- alignment by section
+# --- alignment: nodes whose ratios are known, through all layers
 
 
-@query("align_exact", f"WITH {C.SQL} SELECT o.section, o.text AS old_text, n.text AS new_text FROM olds o JOIN news n ON o.section = n.section")
+def _align_sql(columns: str, where: str = "true") -> str:
+    return f"WITH {L.SQL} SELECT {columns} FROM aligned WHERE {where}"
+
+
+_ALIGNED = "comparison_id, old_node_id, new_node_id, alignment_type, match_method, round(confidence, 6) AS confidence"
+
+
+@query("align_all", _align_sql(_ALIGNED))
 def _(spark, d):
-    return C.old_clauses(spark, d).select("section", F.col("text").alias("old_text")).join(C.new_clauses(spark, d).select("section", F.col("text").alias("new_text")), "section")
+    return L.aligned(spark, d).select("comparison_id", "old_node_id", "new_node_id", "alignment_type", "match_method", F.round("confidence", 6).alias("confidence"))
 
 
-@query("align_removed", f"WITH {C.SQL} SELECT section, text FROM olds WHERE section NOT IN (SELECT section FROM news)")
+@query("align_exact", _align_sql("old_node_id, new_node_id, round(confidence, 6) AS confidence, round(score, 6) AS text_similarity", "match_method = 'exact'"))
 def _(spark, d):
-    return C.old_clauses(spark, d).select("section", "text").join(C.new_clauses(spark, d).select("section"), "section", "left_anti")
+    return A.exact_layer(*L.nodes(spark, d)).select("old_node_id", "new_node_id", F.round("confidence", 6).alias("confidence"), F.round(F.try_element_at("similarity_scores", F.lit("text_similarity")), 6).alias("text_similarity"))
 
 
-@query("align_added", f"WITH {C.SQL} SELECT section, text FROM news WHERE section NOT IN (SELECT section FROM olds)")
+@query("align_structural", _align_sql("old_node_id, new_node_id, round(confidence, 6) AS confidence", "match_method = 'structural'"))
 def _(spark, d):
-    return C.new_clauses(spark, d).select("section", "text").join(C.old_clauses(spark, d).select("section"), "section", "left_anti")
+    """Headings of the nodes that have no section number; the exact layer leaves them all."""
+    o, n = (df.where("section_number = ''") for df in L.nodes(spark, d))
+    return A.structural_layer(o, n).select("old_node_id", "new_node_id", F.round("confidence", 6).alias("confidence"))
 
 
-@query("align_counts", _changes("SELECT comparison_id, count(*) FILTER (WHERE change_type = 'ADDED') AS added, count(*) FILTER (WHERE change_type = 'REMOVED') AS removed, count(*) FILTER (WHERE change_type = 'MODIFIED') AS matched FROM changes GROUP BY comparison_id"))
+@query("align_removed", _align_sql("comparison_id, old_node_id", "alignment_type = 'REMOVED'"))
 def _(spark, d):
-    kind = F.col("change_type")
-    return C.changes(spark, d).groupBy("comparison_id").agg(F.count_if(kind == "ADDED").alias("added"), F.count_if(kind == "REMOVED").alias("removed"), F.count_if(kind == "MODIFIED").alias("matched"))
+    return L.aligned(spark, d).where("alignment_type = 'REMOVED'").select("comparison_id", "old_node_id")
 
 
-def _nodes(df: DataFrame) -> DataFrame:
-    return df.select(F.concat(F.lit("CMP_"), (F.col("k") % 64).cast("string")).alias("comparison_id"), F.concat(F.lit("N"), "section").alias("node_id"), F.col("section").alias("section_number"), F.lit("").alias("heading"), F.lower("text").alias("normalized_text"), F.col("k").cast("int").alias("order"))
+@query("align_added", _align_sql("comparison_id, new_node_id", "alignment_type = 'ADDED'"))
+def _(spark, d):
+    return L.aligned(spark, d).where("alignment_type = 'ADDED'").select("comparison_id", "new_node_id")
 
 
-@query("align_exact_ratio")
+@query("align_counts", f"WITH {L.SQL} SELECT comparison_id, count(*) FILTER (WHERE alignment_type = 'ADDED') AS added, count(*) FILTER (WHERE alignment_type = 'REMOVED') AS removed, count(*) FILTER (WHERE alignment_type = 'ONE_TO_ONE') AS matched FROM aligned GROUP BY comparison_id")
 def _(spark, d):
-    """The exact layer with text ratios, which only difflib gives."""
-    return A.exact_layer(_nodes(C.old_clauses(spark, d)), _nodes(C.new_clauses(spark, d))).drop("similarity_scores")
+    return A.alignment_counts(L.aligned(spark, d))
 
 
 # --- numbers, dates, obligations
@@ -107,19 +117,30 @@ def _(spark, d):
     return spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey", F.explode(E.limits(text)).alias("amount"))
 
 
-@query("numeric_change", _pairs("""SELECT o_section AS section, field, old_numeric, new_numeric, CASE WHEN new_numeric > old_numeric THEN 'INCREASE' ELSE 'DECREASE' END AS direction, round(abs((new_numeric - old_numeric) / old_numeric * 100), 6) AS magnitude_percent
-    FROM (SELECT o_section, 'monetary' AS field, o_lakh * 100000.0::DOUBLE AS old_numeric, n_lakh * 100000.0::DOUBLE AS new_numeric FROM pairs
-          UNION ALL SELECT o_section, 'percentage', o_pct::DOUBLE, n_pct::DOUBLE FROM pairs UNION ALL SELECT o_section, 'duration', o_days::DOUBLE, n_days::DOUBLE FROM pairs) WHERE old_numeric <> new_numeric"""))
-def _(spark, d):
-    rows = C.pairs(spark, d).select(F.col("o_section").alias("section"), F.explode(C.number_rows(F.col("o_text"), F.col("n_text"))).alias("n"))
-    return rows.select("section", "n.field", "n.old_numeric", "n.new_numeric", "n.direction", F.round("n.magnitude_percent", 6).alias("magnitude_percent"))
+_NUMBERS = _pairs("""SELECT o_section AS section, 'monetary' AS field, 'INR ' || o_lakh || ' lakh' AS old_value, 'INR ' || n_lakh || ' lakh' AS new_value, o_lakh * 100000.0::DOUBLE AS old_numeric, n_lakh * 100000.0::DOUBLE AS new_numeric, 'lakh' AS unit FROM pairs
+    UNION ALL SELECT o_section, 'monetary', o_lakh || ' lakh', n_lakh || ' lakh', o_lakh * 100000.0::DOUBLE, n_lakh * 100000.0::DOUBLE, 'lakh' FROM pairs
+    UNION ALL SELECT o_section, 'percentage', o_pct || ' percent', n_pct || ' percent', o_pct, n_pct, '%' FROM pairs
+    UNION ALL SELECT o_section, 'duration', 'within ' || o_days || ' days', 'within ' || n_days || ' days', o_days, n_days, 'day' FROM pairs""")
+_CHANGED = f"SELECT *, CASE WHEN new_numeric > old_numeric THEN 'INCREASE' ELSE 'DECREASE' END AS direction, round(abs((new_numeric - old_numeric) / old_numeric * 100), 6) AS magnitude_percent FROM ({_NUMBERS}) WHERE old_numeric <> new_numeric"
 
 
-@query("number_changes")
+@query("number_changes", _CHANGED)
 def _(spark, d):
-    """Values matched by unit and context, which only difflib gives."""
+    """Values matched by unit and context."""
     rows = C.pairs(spark, d).select(F.col("o_section").alias("section"), F.explode(D.number_changes(F.col("o_text"), F.col("n_text"))).alias("n"))
-    return rows.select("section", "n.*")
+    return rows.select("section", "n.*").withColumn("magnitude_percent", F.round("magnitude_percent", 6))
+
+
+@query("numeric_change", f"SELECT section, field, old_numeric, new_numeric, direction, magnitude_percent FROM ({_CHANGED})")
+def _(spark, d):
+    return QUERIES["number_changes"](spark, d).drop("old_value", "new_value", "unit")
+
+
+@query("all_numbers", f"WITH {C.SQL} SELECT section, 2 AS monetary, 1 AS percentages, 1 AS durations, day || ' March ' || year AS dates, round(2 * lakh * 100000.0::DOUBLE + pct + days, 6) AS total FROM olds")
+def _(spark, d):
+    n = C.old_clauses(spark, d).select("section", E.numbers(F.col("text")).alias("n"))
+    sums = F.aggregate(F.flatten(F.array(F.col("n.monetary.value"), F.col("n.percentages.value"), F.col("n.durations.value"))), F.lit(0.0), lambda acc, x: acc + x)
+    return n.select("section", *[F.size(f"n.{c}").alias(c) for c in ("monetary", "percentages", "durations")], F.array_join("n.dates", "; ").alias("dates"), F.round(sums, 6).alias("total"))
 
 
 @query("date_cross", _pairs("SELECT o_section AS section, cast(o_day AS STRING) || ' March ' || cast(o_year AS STRING) AS old_value, cast(n_day AS STRING) || ' March ' || cast(n_year AS STRING) AS new_value FROM pairs WHERE o_day <> n_day OR o_year <> n_year"))
@@ -134,11 +155,11 @@ def _(spark, d):
     return C.old_clauses(spark, d).select("section", F.array_join(terms, ", ").alias("terms"), E.strength(terms).alias("strength"))
 
 
-@query("obligation_change", _pairs(f"""SELECT o_section AS section, {C.direction_sql("a", "b")} AS direction, {C._strength_sql("a")} AS old_strength, {C._strength_sql("b")} AS new_strength
-    FROM (SELECT o_section, {C._terms_sql("o_text")} AS a, {C._terms_sql("n_text")} AS b FROM pairs)"""))
+@query("obligation_change", _pairs(f"""SELECT o_section AS section, {C.direction_sql("a", "b")} AS direction, {C._strength_sql("a")} AS old_strength, {C._strength_sql("b")} AS new_strength, {C.explanation_sql("a", "b", "ca", "cb")} AS explanation
+    FROM (SELECT o_section, {C._terms_sql("o_text")} AS a, {C._terms_sql("n_text")} AS b, {C._conditions_sql("o_text")} AS ca, {C._conditions_sql("n_text")} AS cb FROM pairs)"""))
 def _(spark, d):
     ob = E.obligation_change(F.col("o_text"), F.col("n_text"))
-    return C.pairs(spark, d).select(F.col("o_section").alias("section"), ob.alias("ob")).select("section", "ob.direction", "ob.old_strength", "ob.new_strength")
+    return C.pairs(spark, d).select(F.col("o_section").alias("section"), ob.alias("ob")).select("section", "ob.direction", "ob.old_strength", "ob.new_strength", "ob.explanation")
 
 
 @query("conditionals", f"WITH {C.SQL} SELECT section, array_to_string(list_filter([{', '.join('CASE WHEN regexp_matches(text, ' + chr(39) + '(?i)' + p.replace(' ', '[[:space:]]+') + chr(39) + ') THEN ' + chr(39) + p + chr(39) + ' END' for p in lexicon.CONDITIONALS)}], lambda x: x IS NOT NULL), ', ') AS phrases FROM news")
@@ -149,18 +170,25 @@ def _(spark, d):
 # --- diffs
 
 
-@query("word_diff")
+@query("word_diff", f"WITH {C.SQL_DIFFS} SELECT o_section AS section, round(ratio, 6) AS similarity_ratio, round(density, 6) AS change_density, added, removed, diff_sub AS is_substantive FROM diffs")
 def _(spark, d):
     rows = C.pairs(spark, d).select(F.col("o_section").alias("section"), "o_text", "n_text", D.word_diff("o_text", "n_text").alias("diff"))
     return rows.select("section", F.round("diff.similarity_ratio", 6).alias("similarity_ratio"), F.round("diff.change_density", 6).alias("change_density"), F.array_join("diff.added_words", " ").alias("added"), F.array_join("diff.removed_words", " ").alias("removed"), D.is_substantive(F.col("o_text"), F.col("n_text"), F.col("diff")).alias("is_substantive"))
 
 
-@query("html_diff")
+@query("html_diff", f"WITH {C.SQL_DIFFS} SELECT o_section AS section, old_html, new_html FROM diffs")
 def _(spark, d):
     rows = C.pairs(spark, d).select(F.col("o_section").alias("section"), D.word_diff("o_text", "n_text").alias("diff"))
     return rows.select("section", D.html_diff(F.col("diff")).alias("h")).select("section", "h.old_html", "h.new_html")
 
 
+@query("char_ratio", "SELECT o_orderkey, round(2.0::DOUBLE * least(p, q) / (p + q), 6) AS ratio FROM (SELECT o_orderkey, 1 + o_orderkey % 23 AS p, 1 + o_custkey % 29 AS q FROM orders)")
+def _(spark, d):
+    """Runs of one letter have the shorter run in common, and no more."""
+    runs = spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey", *[F.repeat(F.lit("a"), (F.lit(1) + F.col(c) % m).cast("int")).alias(n) for n, c, m in (("a", "o_orderkey", 23), ("b", "o_custkey", 29))])
+    return runs.select("o_orderkey", F.round(D.text_ratio("a", "b"), 6).alias("ratio"))
+
+
 # --- classification and scores
 
 
@@ -181,9 +209,28 @@ def _(spark, d):
     return spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey", S.change_type(F.lit("1"), new, ratio, F.col("o_custkey") % 2 != 0).alias("change_type"))
 
 
+_REF = lambda p, there: ", ".join(f"CASE WHEN {there} THEN {v} END AS {p}_{n}" for n, v in (("page", "k % 90 + 1"), ("page_end", "k % 90 + 1 + k % 2"), ("section", {"old": "os", "new": "ns"}[p]), ("clause", {"old": "os", "new": "ns"}[p]), ("heading", C._HEADING), ("text", f"substr({p}_text, 1, 500)"), ("node", f"'{p[0].upper()}' || section")))
+
+
+@query("classified_changes", _changes(f"""SELECT comparison_id, change_id, change_type, category, is_substantive, impact, change_summary, old_requirement, new_requirement, negation_changed,
+    round(structural, 6) AS structural_match, round(lexical, 6) AS lexical_similarity, round(semantic, 6) AS semantic_similarity, numerical AS numerical_agreement, evidence_quality, confidence_overall,
+    CASE WHEN direction <> 'UNCHANGED' THEN explanation END AS explanation, coalesce(plain_numbers, '') AS numbers, old_html, new_html, {_REF("old", "old_text IS NOT NULL")}, {_REF("new", "new_text IS NOT NULL")},
+    concat_ws(' | ', substr(old_text, 1, CASE WHEN new_text IS NULL THEN 300 ELSE 200 END), substr(new_text, 1, CASE WHEN old_text IS NULL THEN 300 ELSE 200 END)) AS evidence FROM changes"""))
+def _(spark, d):
+    """Everything that a classified change has."""
+    ref = lambda p: [F.col(f"{p}_reference.{x}").alias(f"{p}_{y}") for x, y in (("page", "page"), ("page_end", "page_end"), ("section", "section"), ("clause", "clause"), ("heading", "heading"), ("text", "text"), ("node_id", "node"))]
+    html = F.get("diff_highlights", F.lit(0))
+    signals = [F.round(f"confidence.{x}", 6).alias(x) for x in ("structural_match", "lexical_similarity", "semantic_similarity", "numerical_agreement", "evidence_quality")]
+    return C.changes(spark, d).select(
+        "comparison_id", "change_id", "change_type", "category", "is_substantive", "impact", "change_summary", "old_requirement", "new_requirement", "negation_changed", *signals, "confidence_overall",
+        F.col("obligation_change.explanation").alias("explanation"), S.number_text(F.col("numerical_changes"), titled=False).alias("numbers"), html["old_html"].alias("old_html"), html["new_html"].alias("new_html"), *ref("old"), *ref("new"), F.array_join("evidence", " | ").alias("evidence"),
+    )
+
+
 @query("impact_score", _changes("SELECT section, category, score, impact FROM changes"))
 def _(spark, d):
-    return C.changes(spark, d).select("section", "category", "score", "impact")
+    score = S.impact_score(F.col("category"), F.col("direction"), F.col("numerical_changes"), F.col("change_type"))
+    return C.changes(spark, d).select("section", "category", score.alias("score"), "impact")
 
 
 @query("confidence_score", _changes("SELECT section, confidence_overall, CASE WHEN round_even(confidence_overall * 100, 0) >= 80 THEN 'high' WHEN round_even(confidence_overall * 100, 0) >= 50 THEN 'medium' ELSE 'low' END AS band FROM changes"))
@@ -244,7 +291,7 @@ def _(spark, d):
     return R.filtered(C.changes(spark, d), category="C04", impact="HIGH", is_substantive=True, change_type="MODIFIED", review_status=None).select("comparison_id", "change_id", "section")
 
 
-@query("changes_search", _changes("SELECT comparison_id, change_id FROM changes WHERE contains(lower(category_text), 'penalty') OR contains(lower(old_requirement), 'penalty') OR contains(lower(new_requirement), 'penalty')"))
+@query("changes_search", _changes("SELECT comparison_id, change_id FROM changes WHERE contains(lower(change_summary), 'penalty') OR contains(lower(old_requirement), 'penalty') OR contains(lower(new_requirement), 'penalty')"))
 def _(spark, d):
     return R.filtered(C.changes(spark, d), search="PENALTY").select("comparison_id", "change_id")
 
@@ -267,36 +314,85 @@ def _(spark, d):
     return R.change(C.changes(spark, d), "CMP_2", "CHG-0007").select("comparison_id", "change_id", "category", "new_requirement")
 
 
-def _referenced(spark: SparkSession, d: str) -> DataFrame:
-    ref = lambda there: F.when(there.isNotNull(), F.struct((F.col("k") % 90 + 1).cast("int").alias("page"), F.col("section").alias("section"), F.col("section").alias("clause")))
-    df = C.changes(spark, d).withColumn("old_reference", ref(F.col("old_text"))).withColumn("new_reference", ref(F.col("new_text")))
-    return df.withColumn("confidence", F.struct(F.col("confidence_overall").alias("overall"))).withColumn("obligation_change", F.struct(F.col("direction"), F.lit("changed").alias("explanation")))
-
-
 _NAMES = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in lexicon.CATEGORIES.items())
-_EXPORT = f"""SELECT change_id AS "Change ID", impact AS "Impact Level", change_type AS "Change Type", category AS "Category Code", CASE category {_NAMES} END AS "Category Name",
-    CASE WHEN is_substantive THEN 'Yes' ELSE 'No' END AS "Substantive", CASE WHEN direction = 'UNCHANGED' THEN '' ELSE direction || ': changed' END AS "Obligation Analysis",
+_EXPORT = f"""SELECT change_id AS "Change ID", impact AS "Impact Level", change_type AS "Change Type", category AS "Category Code", CASE category {_NAMES} END AS "Category Name", change_summary AS "Change Summary",
+    CASE WHEN is_substantive THEN 'Yes' ELSE 'No' END AS "Substantive", CASE WHEN direction = 'UNCHANGED' THEN '' ELSE direction || ': ' || explanation END AS "Obligation Analysis",
     old_requirement AS "Old Requirement Text", new_requirement AS "New Requirement Text", """
+_LOCATION = lambda text, section: f"'Page ' || CASE WHEN {text} IS NULL THEN 'N/A' ELSE (k % 90 + 1) || CASE WHEN {section} <> '' THEN ' (' || {section} || ')' ELSE '' END END"
+_ROWS = _EXPORT + f"""cast(round_even(overall * 100, 0) AS INT) || '%' AS "Confidence", numbers AS "Numerical Changes", '' AS "AI Impact Explanation",
+    {_LOCATION("old_text", "os")} AS "Old Location", {_LOCATION("new_text", "ns")} AS "New Location", 'PENDING' AS "Review Status", '' AS "Reviewer Comment" FROM changes"""
+
+
+@query("export_rows", _changes(_ROWS))
+def _(spark, d):
+    return R.export_rows(C.changes(spark, d))
+
+
+_SCRIPT = _EXPORT + """cast(round_even(overall * 100, 0) AS INT)::STRING AS "Confidence (%)", coalesce(plain_numbers, '') AS "Numerical Changes",
+    CASE WHEN old_text IS NULL THEN '' ELSE cast(k % 90 + 1 AS STRING) END AS "Old Document Location (Page)", CASE WHEN old_text IS NULL THEN '' ELSE os END AS "Old Document Section",
+    CASE WHEN new_text IS NULL THEN '' ELSE cast(k % 90 + 1 AS STRING) END AS "New Document Location (Page)", CASE WHEN new_text IS NULL THEN '' ELSE ns END AS "New Document Section", '' AS "Impact Explanation" FROM changes"""
+
+
+@query("export_rows_script", _changes(_SCRIPT))
+def _(spark, d):
+    return R.export_rows_script(C.changes(spark, d))
+
+
+def _one(d: DataFrame) -> DataFrame:
+    return R.ranked(R.filtered(d, comparison_id="CMP_1"))
+
+
+@query("export_csv", _changes(_SCRIPT + " WHERE comparison_id = 'CMP_1'"))
+def _(spark, d):
+    """The script's CSV of a comparison, written and read again."""
+    folder = tables.new_folder(spark, "csv")
+    sinks.export_csv(R.export_rows_script(_one(C.changes(spark, d))), folder)
+    return spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(folder).na.fill("")
+
+
+@query("export_xlsx", _changes(_ROWS + " WHERE comparison_id = 'CMP_1'"))
+def _(spark, d):
+    """The workbook of a comparison, written and read again."""
+    return sinks.read_xlsx(spark, sinks.xlsx_bytes(R.export_rows(_one(C.changes(spark, d)))))
+
+
+@query("export_json", _changes("SELECT change_id, category, impact, change_summary, confidence_overall, (SELECT count(*) FROM changes WHERE comparison_id = 'CMP_1') AS total FROM changes WHERE comparison_id = 'CMP_1'"))
+def _(spark, d):
+    """The JSON of a comparison, written and read again."""
+    own = C.changes(spark, d).where("comparison_id = 'CMP_1'")
+    text = sinks.export_json(own, R.statistics(own), "CMP_1")
+    back = spark.createDataFrame([(text,)], "j string").select(F.from_json("j", "struct<statistics:struct<total:bigint>,changes:array<struct<change_id:string,category:string,impact:string,change_summary:string,confidence_overall:double>>>").alias("j"))
+    return back.select("j.statistics.total", F.inline("j.changes"))
+
+
+@query("export_numbers", f"WITH {C.SQL_PAIRS} SELECT o_section AS section, {C.numbers_sql(': ', '; ')} AS numbers FROM pairs")
+def _(spark, d):
+    rows = C.pairs(spark, d).select(F.col("o_section").alias("section"), F.concat(D.number_changes("o_text", "n_text"), E.date_changes(F.col("o_text"), F.col("n_text"))).alias("n"))
+    return rows.select("section", S.number_text(F.col("n")).alias("numbers"))
 
 
-@query("export_rows", _changes(_EXPORT + """cast(round_even(confidence_overall * 100, 0) AS INT) || '%' AS "Confidence",
-    'Page ' || CASE WHEN old_text IS NULL THEN 'N/A' ELSE cast(k % 90 + 1 AS STRING) || ' (' || section || ')' END AS "Old Location",
-    'Page ' || CASE WHEN new_text IS NULL THEN 'N/A' ELSE cast(k % 90 + 1 AS STRING) || ' (' || section || ')' END AS "New Location", 'PENDING' AS "Review Status", '' AS "Reviewer Comment" FROM changes"""))
+@query("summary_means", _changes("SELECT comparison_id, round(avg(confidence_overall), 6) AS mean FROM changes GROUP BY comparison_id UNION ALL SELECT 'none', 0.0"))
 def _(spark, d):
-    return R.export_rows(_referenced(spark, d)).drop("Change Summary", "Numerical Changes", "AI Impact Explanation")
+    """Mean confidence by comparison, and of no changes at all."""
+    df = C.changes(spark, d)
+    some = df.groupBy("comparison_id").agg(F.round(R.mean_confidence("confidence_overall"), 6).alias("mean"))
+    return some.unionByName(df.where("false").agg(R.mean_confidence("confidence_overall").alias("mean")).withColumn("comparison_id", F.lit("none")))
 
 
-@query("export_rows_script", _changes(_EXPORT + """cast(round_even(confidence_overall * 100, 0) AS INT)::STRING AS "Confidence (%)",
-    CASE WHEN old_text IS NULL THEN '' ELSE cast(k % 90 + 1 AS STRING) END AS "Old Document Location (Page)", CASE WHEN old_text IS NULL THEN '' ELSE section END AS "Old Document Section",
-    CASE WHEN new_text IS NULL THEN '' ELSE cast(k % 90 + 1 AS STRING) END AS "New Document Location (Page)", CASE WHEN new_text IS NULL THEN '' ELSE section END AS "New Document Section", '' AS "Impact Explanation" FROM changes"""))
+@query("category_bars", _changes("SELECT category, n, round(n / max(n) OVER (), 6) AS share FROM (SELECT category, count(*) AS n FROM changes WHERE is_substantive GROUP BY category)"))
 def _(spark, d):
-    return R.export_rows_script(_referenced(spark, d)).drop("Change Summary", "Numerical Changes")
+    return R.with_bars(R.category_distribution(C.changes(spark, d))).withColumn("share", F.round("share", 6))
 
 
-@query("export_numbers", _pairs("""SELECT o_section AS section, concat_ws('; ', CASE WHEN o_lakh <> n_lakh THEN 'Monetary: INR ' || o_lakh || ' lakh -> INR ' || n_lakh || ' lakh (' || CASE WHEN n_lakh > o_lakh THEN 'INCREASE' ELSE 'DECREASE' END || ', ' || cast(round_even(abs(n_lakh - o_lakh) * 100.0::DOUBLE / o_lakh, 0) AS BIGINT) || '%)' END,
-    CASE WHEN o_days <> n_days THEN 'Duration: within ' || o_days || ' days -> within ' || n_days || ' days (' || CASE WHEN n_days > o_days THEN 'INCREASE' ELSE 'DECREASE' END || ', ' || cast(round_even(abs(n_days - o_days) * 100.0::DOUBLE / o_days, 0) AS BIGINT) || '%)' END) AS numbers FROM pairs"""))
+@query("llm_enrich", _changes("""SELECT comparison_id, change_id, is_substantive AND impact IN ('CRITICAL', 'HIGH') AS llm_available, CASE WHEN is_substantive AND impact IN ('CRITICAL', 'HIGH') THEN 'about ' || category END AS llm_explanation,
+    CASE WHEN is_substantive AND impact IN ('CRITICAL', 'HIGH') THEN 'v1' END AS prompt_version, CASE WHEN is_substantive AND impact IN ('CRITICAL', 'HIGH') THEN 'echo' END AS model_version FROM changes"""))
 def _(spark, d):
-    return C.pairs(spark, d).select(F.col("o_section").alias("section"), S.number_text(C.number_rows(F.col("o_text"), F.col("n_text"))).alias("numbers"))
+    """A model that only repeats the category it is asked about, as a stand-in for one that a caller supplies."""
+    def ask(p: str) -> str:
+        return '{"explanation": "about ' + p.partition("CATEGORY: ")[2][:3] + '"}'
+
+    out = enrich.enrich(C.changes(spark, d), ask, "echo")
+    return out.select("comparison_id", "change_id", "llm_available", "llm_explanation", "prompt_version", "model_version")
 
 
 # --- comparisons, reviews, documents
@@ -308,9 +404,11 @@ def _(spark, d):
     return R.latest_comparison(runs).drop("status")
 
 
-@query("comparisons_list", "SELECT o_orderkey AS comparison_id, o_orderdate AS created_at FROM orders ORDER BY o_orderdate DESC")
+@query("comparisons_list", "SELECT o_custkey AS comparison_id, max(o_orderstatus) AS status, min(o_orderdate) AS created_at FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) AS r FROM orders) WHERE r = 1 GROUP BY o_custkey".replace("min(o_orderdate) AS created_at FROM", "(SELECT min(o.o_orderdate) FROM orders o WHERE o.o_custkey = q.o_custkey) AS created_at FROM").replace(") WHERE r = 1", ") q WHERE r = 1"))
 def _(spark, d):
-    return spark.read.parquet(f"{d}/orders.parquet").select(F.col("o_orderkey").alias("comparison_id"), F.col("o_orderdate").alias("created_at")).orderBy(F.desc("created_at"), "comparison_id")
+    """A log with several rows a comparison: the last one's status, the first one's date, newest first."""
+    log = spark.read.parquet(f"{d}/orders.parquet").select(F.col("o_custkey").alias("comparison_id"), F.col("o_orderstatus").alias("status"), F.col("o_orderdate").alias("created_at"), F.col("o_orderkey").alias("completed_at"))
+    return R.comparisons(log).select("comparison_id", "status", "created_at")
 
 
 @query("progress_overlay", "SELECT o_orderkey AS comparison_id, coalesce(l.v, o_totalprice) AS progress, coalesce(l.t, o_orderpriority) AS current_stage, coalesce(l.t, o_orderstatus) AS status FROM orders LEFT JOIN (SELECT user_id AS k, max(value) AS v, max(event_type) AS t FROM events GROUP BY user_id) l ON o_orderkey = l.k")
@@ -333,10 +431,15 @@ def _(spark, d):
     return R.upsert(docs, docs.where("doc_id % 3 = 0").withColumn("source", F.lit("revised")).withColumn("n_chars", F.col("n_chars") + 1), ["doc_id"])
 
 
-@query("foreign_keys", "SELECT l.doc_id FROM labels l WHERE l.doc_id NOT IN (SELECT doc_id FROM documents WHERE lang = 'en')")
+@query("foreign_keys", "SELECT DISTINCT l.doc_id FROM labels l WHERE l.doc_id NOT IN (SELECT doc_id FROM documents WHERE lang = 'en')")
+def _(spark, d):
+    """Keys that the other table doesn't have."""
+    return R.missing_keys(spark.read.parquet(f"{d}/labels.parquet"), spark.read.parquet(f"{d}/documents.parquet").where("lang = 'en'"), "doc_id")
+
+
+@query("ui_labels", "SELECT code, name FROM (VALUES " + ", ".join(f"('{k}', '{v}')" for k, v in lexicon.UI_LABELS.items()) + ") t(code, name)")
 def _(spark, d):
-    """Rows whose document isn't there."""
-    return spark.read.parquet(f"{d}/labels.parquet").select("doc_id").join(spark.read.parquet(f"{d}/documents.parquet").where("lang = 'en'").select("doc_id"), "doc_id", "left_anti")
+    return R.categories(spark, lexicon.UI_LABELS)
 
 
 @query("categories", "SELECT code, name FROM (VALUES " + ", ".join(f"('{k}', '{v}')" for k, v in lexicon.CATEGORIES.items()) + ") t(code, name)")

@@ -45,9 +45,13 @@ def _(spark, d):
     return _lines(spark, d).where(ST.keeps_block(F.col("text"), F.col("i") % 2 == 0)).select("doc_id", "i")
 
 
-@query("toc_pages", "SELECT doc_id FROM documents WHERE len(regexp_extract_all(coalesce(text, ''), '\\.{4,}')) >= 3")
+_CONTENTS = "'Scope ' || repeat('.', cast(k % 7 AS INT)) || ' 1' || chr(10) || 'Terms ' || repeat('.', cast(c % 8 AS INT)) || ' 2' || chr(10) || 'Forms ' || repeat('.', cast((k + c) % 6 AS INT)) || ' 3' || chr(10) || 'Annex ' || repeat('.', cast(c % 11 AS INT)) || ' 4'"
+
+
+@query("toc_pages", f"SELECT k FROM (SELECT k, {_CONTENTS} AS text FROM (SELECT o_orderkey AS k, o_custkey AS c FROM orders)) WHERE len(regexp_extract_all(text, '\\.{{4,}}')) >= 3")
 def _(spark, d):
-    return _read(spark, d, "documents").where(ST.is_toc_page(F.col("text"))).select("doc_id")
+    pages = _read(spark, d, "orders").selectExpr("o_orderkey AS k", "o_custkey AS c").selectExpr("k", f"{_CONTENTS} AS text")
+    return pages.where(ST.is_toc_page(F.col("text"))).select("k")
 
 
 #: A block for each order, of a kind by its key; documents are runs of 40 keys.
@@ -116,10 +120,17 @@ def _(spark, d):
     return _placed(spark, d).select("k", "parent_id", "depth")
 
 
-@query("node_numbering", f"WITH {_BLOCKS} SELECT k, 'DOC_' || doc || '_N' || lpad(cast(row_number() OVER (PARTITION BY doc ORDER BY k) - 1 AS STRING), 4, '0') AS node_id FROM blocks")
+@query("node_numbering", f"""WITH {C.SQL}, made AS (SELECT k, k // 240 AS doc, k // 40 % 6 AS p, row_number() OVER (PARTITION BY k // 240 ORDER BY k) - 1 AS place FROM olds)
+    SELECT format('DOC_old_{{}}_N{{:04d}}', doc, place) AS node_id, p + 1 AS page_start, place AS "order" FROM made""")
+def _(spark, d):
+    """Ids, pages and places of the nodes that pages become."""
+    return ST.nodes(_pages(spark, d, "old"), compose=False).select("node_id", "page_start", "order")
+
+
+@query("first_sections", "SELECT 'DOC_old_' || doc AS document_id, section FROM (SELECT k // 240 AS doc, k // 40 % 9 + 1 AS section, row_number() OVER (PARTITION BY k // 240 ORDER BY k) AS r FROM (SELECT o_orderkey AS k FROM orders) WHERE k % 11 <> 0 AND k % 40 = 1) WHERE r <= 3")
 def _(spark, d):
-    order = F.row_number().over(Window.partitionBy("doc").orderBy("k")) - 1
-    return _blocks(spark, d).select("k", F.format_string("DOC_%s_N%04d", F.col("doc").cast("string"), order).alias("node_id"))
+    rows = ST.first_sections(ST.nodes(_pages(spark, d, "old"), compose=False), 3)
+    return rows.select("document_id", F.col("section_number").cast("bigint").alias("section"))
 
 
 @query("clause_units", f"WITH {_CLASSIFIED} SELECT k, content_type FROM classified WHERE content_type IN ('clause', 'sub_clause', 'paragraph', 'definition') AND length(text) > 10")
@@ -165,15 +176,22 @@ def _(spark, d):
     return pages.select("k", DOC.metadata(F.col("text")).alias("m")).select("k", "m.circular_number", "m.title", "m.issue_date", F.array_join("m.update_dates", ",").alias("update_dates"))
 
 
+@query("doc_metadata_contains", "SELECT o_orderkey AS k, CASE WHEN o_orderkey % 3 = 0 THEN 'RBI/late/' || o_orderkey ELSE 'RBI/' || (2000 + o_custkey % 25) || '-' || (10 + o_custkey % 25) || '/' || o_orderkey END AS circular_number, 'The Master Direction on topic ' || o_orderkey % 9 AS title, 'March ' || (1 + o_orderkey % 28) || ', ' || (1990 + o_orderkey % 30) AS issue_date FROM orders")
+def _(spark, d):
+    """Titles that don't begin their line."""
+    pages = _read(spark, d, "orders").selectExpr("o_orderkey AS k", "o_custkey AS c").selectExpr("k", f"replace({_FIRST_PAGE}, 'Master', 'The Master') AS text")
+    return pages.select("k", DOC.metadata_contains(F.col("text")).alias("m")).select("k", "m.*")
+
+
 @query("version_order", "SELECT o_orderkey AS k, 2000 + o_custkey % 25 AS year, row_number() OVER (PARTITION BY o_orderkey // 10 ORDER BY 2000 + o_custkey % 25, o_orderkey) AS version FROM orders")
 def _(spark, d):
-    pages = _read(spark, d, "orders").selectExpr("o_orderkey AS k", "o_custkey AS c").selectExpr("k", f"{_FIRST_PAGE} AS text").select("k", DOC.circular_year(F.col("text")).cast("bigint").alias("year"))
-    return pages.withColumn("version", F.row_number().over(Window.partitionBy(F.expr("k div 10")).orderBy("year", "k")).cast("bigint"))
+    pages = _read(spark, d, "orders").selectExpr("o_orderkey AS k", "o_custkey AS c").selectExpr("k", "k div 10 AS set", f"{_FIRST_PAGE} AS text")
+    return DOC.version_order(pages, ["set"], tie="k").select("k", F.col("year").cast("bigint").alias("year"), F.col("version").cast("bigint").alias("version"))
 
 
 @query("llm_prompt", f"WITH {C.SQL_CHANGES} SELECT comparison_id, change_id, CASE WHEN old_requirement = '' THEN '(No old text - newly added)' ELSE old_requirement END AS old_text, CASE WHEN new_requirement = '' THEN '(No new text - removed)' ELSE new_requirement END AS new_text FROM changes WHERE is_substantive AND impact IN ('CRITICAL', 'HIGH')")
 def _(spark, d):
-    rows = C.changes(spark, d).where(F.col("is_substantive") & F.col("impact").isin("CRITICAL", "HIGH"))
+    rows = C.changes(spark, d).where(enrich.wanted())
     rows = rows.withColumn("p", enrich.prompt(rows))
     return rows.select("comparison_id", "change_id", F.regexp_extract("p", r"OLD TEXT: (.*)", 1).alias("old_text"), F.regexp_extract("p", r"NEW TEXT: (.*)", 1).alias("new_text"))
 

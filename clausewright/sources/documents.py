@@ -12,6 +12,7 @@ from clausewright import schemas
 from clausewright.functions import text as T
 
 MAX_BYTES = 50 * 1024 * 1024
+#: Fixed: month names in dates of circulars.
 _MONTH = "(?:January|February|March|April|May|June|July|August|September|October|November|December)"
 #: An extractor turns a file's bytes into pages: dicts with blocks (or spans) and tables.
 Extractor = Callable[[bytes], list[dict]]
@@ -22,6 +23,14 @@ def scan_files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").option("pathGlobFilter", "*.[pP][dD][fF]").option("recursiveFileLookup", True).load(path)
 
 
+def scan_versions(spark: SparkSession, path: str) -> DataFrame:
+    """As scan_files, of a folder that must have two files or more to compare."""
+    files = scan_files(spark, path)
+    if len(files.select("path").limit(2).collect()) < 2:
+        raise FileNotFoundError(f"two PDF files or more are needed in {path}")
+    return files
+
+
 def accepted(files: DataFrame, version: str) -> tuple[DataFrame, DataFrame]:
     """Files that may be ingested, with their document ids, and those that may not, with the reason."""
     if version not in ("old", "new"):
@@ -83,7 +92,10 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
 
 
 def metadata(text: Column) -> Column:
-    """Struct (circular_number, title, issue_date, update_dates) of a first page; the last line that fits wins."""
+    """Struct (circular_number, title, issue_date, update_dates) of a first page; the last line that fits wins.
+
+    The words and patterns of lines are fixed values.
+    """
     lines = F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), T.strip)
     circular = lambda x: x.rlike("^RBI/")
     title = lambda x: ~circular(x) & x.rlike("(?i)^Master Direction")
@@ -112,6 +124,14 @@ def circular_year(first_page: Column) -> Column:
     return F.coalesce(number, dated, F.lit(0))
 
 
+def version_order(first_pages: DataFrame, keys: list[str], text: str = "text", tie: str = "filename") -> DataFrame:
+    """``first_pages`` with year and version: 1 is the oldest of those that share ``keys``, equal years by ``tie``."""
+    from pyspark.sql import Window
+
+    rows = first_pages.withColumn("year", circular_year(F.col(text)))
+    return rows.withColumn("version", F.row_number().over(Window.partitionBy(*keys).orderBy("year", tie)))
+
+
 def find_document(documents: DataFrame, files: DataFrame, document_id: str) -> DataFrame:
     """The stored path of a document, else of a file whose name starts with the id."""
     stored = documents.where(F.col("document_id") == document_id).select(F.col("file_path").alias("path"), F.lit(0).alias("k"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Callable, Iterator
+from importlib.resources import files
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -32,17 +33,18 @@ def embed_texts(df: DataFrame, load: Callable[[], Callable[[list[str]], list[lis
     return keyed.join(vectors, "_cut").drop("_cut")
 
 
-def prompt(changes: DataFrame) -> Column:
+def load_template(name: str) -> str:
+    """A prompt of this package by its file's name; empty where there is none."""
+    at = files("clausewright").joinpath("prompts", name)
+    return at.read_text(encoding="utf-8") if at.is_file() else ""
+
+
+def prompt(changes: DataFrame, template: str = "change_v1.txt") -> Column:
     """What a model is asked about a change; only the change's own texts are in it."""
     shown = lambda c, none: F.substring(F.coalesce(F.nullif(F.col(c), F.lit("")), F.lit(none)), 1, 800)
-    return F.concat_ws(
-        "\n",
-        F.lit("Two versions of a clause follow. Use nothing but them, say so where you are unsure, and answer with one JSON object that has the keys explanation, impact_explanation, is_substantive and confidence_note."),
-        F.concat(F.lit("OLD TEXT: "), shown("old_requirement", "(No old text - newly added)")),
-        F.concat(F.lit("NEW TEXT: "), shown("new_requirement", "(No new text - removed)")),
-        F.concat(F.lit("CHANGE TYPE: "), F.col("change_type")),
-        F.concat(F.lit("CATEGORY: "), F.col("category")),
-    )
+    values = {"old_text": shown("old_requirement", "(No old text - newly added)"), "new_text": shown("new_requirement", "(No new text - removed)"), "change_type": F.col("change_type"), "category": F.col("category")}
+    parts = re.split(r"\{(" + "|".join(values) + r")\}", load_template(template).rstrip("\n"))
+    return F.concat(*[values[x] if k % 2 else F.lit(x) for k, x in enumerate(parts)])
 
 
 def parse_reply(reply: str) -> dict:
@@ -57,10 +59,13 @@ def parse_reply(reply: str) -> dict:
     return {"explanation": reply}
 
 
+def wanted() -> Column:
+    """Changes that a model is asked about."""
+    return F.col("is_substantive") & F.col("impact").isin("CRITICAL", "HIGH")
+
+
 def enrich(changes: DataFrame, ask: Callable[[str], str], model: str) -> DataFrame:
     """Substantive changes of critical or high impact with the model's answer; a failed call leaves a row as it is."""
-    wanted = F.col("is_substantive") & F.col("impact").isin("CRITICAL", "HIGH")
-
     @F.pandas_udf("string")
     def answers(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for prompts in batches:
@@ -73,7 +78,7 @@ def enrich(changes: DataFrame, ask: Callable[[str], str], model: str) -> DataFra
             yield pd.Series(out, dtype=object)
 
     keys = ["comparison_id", "change_id"]
-    told = changes.where(wanted).select(*keys, answers(prompt(changes)).alias("llm_classification"))
+    told = changes.where(wanted()).select(*keys, answers(prompt(changes)).alias("llm_classification"))
     out = changes.join(told, keys, "left").withColumn("llm_available", F.col("llm_classification").isNotNull())
     when = lambda c: F.when(F.col("llm_available"), c)
     return out.withColumn("llm_explanation", F.get_json_object("llm_classification", "$.explanation")).withColumn("impact_explanation", F.coalesce(F.get_json_object("llm_classification", "$.impact_explanation"), F.lit(""))).withColumn("prompt_version", when(F.lit(PROMPT_VERSION))).withColumn("model_version", when(F.lit(model)))

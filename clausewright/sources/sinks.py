@@ -6,24 +6,28 @@ import csv
 import io
 import json
 import zipfile
+from collections.abc import Iterator
 from datetime import UTC, datetime
+from xml.etree import ElementTree
 from xml.sax.saxutils import escape
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from clausewright import schemas
 
 
 def bootstrap(spark: SparkSession, path: str) -> None:
-    """Empty documents, comparisons and reviews tables where there are none."""
+    """Empty documents, comparisons, reviews and changes tables where there are none."""
     for name, schema in (("documents", schemas.DOCUMENTS), ("comparisons", schemas.COMPARISONS), ("reviews", schemas.REVIEWS)):
         spark.createDataFrame([], schema).write.mode("ignore").parquet(f"{path}/{name}")
+    spark.createDataFrame([], schemas.CHANGES).write.mode("ignore").partitionBy("comparison_id").parquet(f"{path}/changes")
 
 
 def save_changes(changes: DataFrame, path: str) -> None:
-    """Writes each comparison of ``changes`` as a partition, replacing that partition only."""
-    changes.write.partitionBy("comparison_id").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
+    """Writes each comparison of ``changes`` as a partition of one file, replacing that partition only."""
+    changes.repartition("comparison_id").write.partitionBy("comparison_id").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
 
 
 def save_keyed(stored: DataFrame, rows: DataFrame, keys: list[str], path: str) -> None:
@@ -45,7 +49,7 @@ def _need_rows(rows: DataFrame) -> DataFrame:
 def export_csv(rows: DataFrame, path: str, parts: int | None = 1) -> None:
     """CSV with a header, in one file unless ``parts`` is None."""
     rows = _need_rows(rows)
-    (rows.coalesce(parts) if parts else rows).write.mode("overwrite").option("header", True).option("escape", '"').option("multiLine", True).csv(path)
+    (rows.coalesce(parts) if parts else rows).write.mode("overwrite").option("header", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
 
 
 def csv_bytes(rows: DataFrame) -> bytes:
@@ -58,13 +62,22 @@ def csv_bytes(rows: DataFrame) -> bytes:
     return b"\xef\xbb\xbf" + out.getvalue().encode()
 
 
-def export_json(changes: DataFrame, stats: DataFrame, comparison_id: str) -> str:
-    """{comparison_id, statistics, changes, exported_at} of one comparison."""
+def json_parts(changes: DataFrame, stats: DataFrame, comparison_id: str) -> Iterator[str]:
+    """{comparison_id, statistics, changes, exported_at} of one comparison, a change at a time."""
     own = changes.where(F.col("comparison_id") == comparison_id)
-    rows = [json.loads(r[0]) for r in own.select(F.to_json(F.struct("*"))).toLocalIterator()]
-    return json.dumps({"comparison_id": comparison_id, "statistics": stats.first().asDict(), "changes": rows, "exported_at": datetime.now(UTC).isoformat()}, ensure_ascii=False)
+    yield f'{{"comparison_id": {json.dumps(comparison_id)}, "statistics": {json.dumps(stats.first().asDict())}, "changes": ['
+    for k, row in enumerate(own.select(F.to_json(F.struct("*"))).toLocalIterator()):
+        yield ("," if k else "") + row[0]
+    yield f'], "exported_at": {json.dumps(datetime.now(UTC).isoformat())}}}'
+
+
+def export_json(changes: DataFrame, stats: DataFrame, comparison_id: str) -> str:
+    """json_parts as one text, for comparisons of document size."""
+    return "".join(json_parts(changes, stats, comparison_id))
 
 
+#: Fixed: the name space of a workbook's sheets.
+_SHEET_NS = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
 _TYPES = '<?xml version="1.0" encoding="UTF-8"?><Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="xml" ContentType="application/xml"/><Override PartName="/xl/workbook.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.sheet.main+xml"/><Override PartName="/xl/worksheets/sheet1.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.worksheet+xml"/><Override PartName="/xl/styles.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.styles+xml"/></Types>'
 _RELS = '<?xml version="1.0" encoding="UTF-8"?><Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="rId1" Type="http://schemas.openxmlformats.org/officeDocument/2006/relationships/officeDocument" Target="xl/workbook.xml"/></Relationships>'
 _BOOK_RELS = '<?xml version="1.0" encoding="UTF-8"?><Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="rId1" Type="http://schemas.openxmlformats.org/officeDocument/2006/relationships/worksheet" Target="worksheets/sheet1.xml"/><Relationship Id="rId2" Type="http://schemas.openxmlformats.org/officeDocument/2006/relationships/styles" Target="styles.xml"/></Relationships>'
@@ -93,3 +106,19 @@ def xlsx_bytes(rows: DataFrame, sheet: str = "Regulatory Changes") -> bytes:
                 f.write(("<row>" + "".join(map(_cell, row)) + "</row>").encode())
             f.write(b"</sheetData></worksheet>")
     return out.getvalue()
+
+
+def read_xlsx(spark: SparkSession, data: bytes) -> DataFrame:
+    """The first sheet of a workbook that ``xlsx_bytes`` made: the header's columns, all of text."""
+    names, rows, at = None, [], f"{{{_SHEET_NS}}}"
+    with zipfile.ZipFile(io.BytesIO(data)) as z, z.open("xl/worksheets/sheet1.xml") as f:
+        for _, node in ElementTree.iterparse(f):
+            if node.tag == f"{at}row":
+                cells = ["".join(t.text or "" for t in c.iter(f"{at}t")) for c in node]
+                if names is None:
+                    names = cells
+                else:
+                    rows.append(cells)
+                node.clear()
+    kinds = StructType([StructField(n, StringType()) for n in names or []])
+    return spark.createDataFrame(rows, kinds)
