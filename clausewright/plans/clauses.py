@@ -36,14 +36,26 @@ def new_clauses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _side(spark.read.parquet(f"{sf_dir}/orders.parquet"), _NEW, 13)
 
 
-def _side_sql(exprs: list[str], without: int) -> str:
-    return f"SELECT cast(k AS STRING) AS section, {', '.join(_COLS)}, {_TEXT} AS text FROM (SELECT {', '.join(exprs)} FROM (SELECT o_orderkey AS k, o_custkey AS c FROM orders) WHERE k % {without} <> 0)"
+#: In pages every clause has its number before the text, and one that only one side has is too short to be like another.
+_NUMBERED = "cast(k AS STRING) || '. ' || CASE WHEN k % {other} = 0 THEN 'One side' ELSE " + _TEXT + " END"
 
 
-SQL = f"olds AS ({_side_sql(_OLD, 11)}), news AS ({_side_sql(_NEW, 13)})"
+def _side_sql(exprs: list[str], without: int, other: int, numbered: bool = False) -> str:
+    text, where = (_NUMBERED.format(other=other), " AND k % 40 <> 1") if numbered else (_TEXT, "")
+    return f"SELECT cast(k AS STRING) AS section, {', '.join(_COLS)}, {text} AS text FROM (SELECT {', '.join(exprs)} FROM (SELECT o_orderkey AS k, o_custkey AS c FROM orders) WHERE k % {without} <> 0{where})"
+
+
+def numbered_clauses(spark: SparkSession, sf_dir: str, side: str) -> DataFrame:
+    """A side's clauses with their numbers, as they stand in pages."""
+    rows = (old_clauses if side == "old" else new_clauses)(spark, sf_dir)
+    return rows.withColumn("text", F.expr(_NUMBERED.format(other=13 if side == "old" else 11)))
+
+
+SQL = f"olds AS ({_side_sql(_OLD, 11, 13)}), news AS ({_side_sql(_NEW, 13, 11)})"
 _NAMED = [c for c in ["section", *_COLS, "text"] if c not in ("k", "c")]
 _PAIRED = ", ".join(f"o.{x} AS o_{x}, n.{x} AS n_{x}" for x in _NAMED)
-SQL_PAIRS = f"{SQL}, pairs AS (SELECT o.k, o.c, {_PAIRED} FROM olds o JOIN news n ON o.section = n.section WHERE o.text <> n.text)"
+_PAIRS = f"pairs AS (SELECT o.k, o.c, {_PAIRED} FROM olds o JOIN news n ON o.section = n.section WHERE o.text <> n.text)"
+SQL_PAIRS = f"{SQL}, {_PAIRS}"
 
 
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -168,15 +180,18 @@ def _words_sql(text: str) -> str:
     return f"CASE WHEN {text} = '' THEN 0 ELSE len(string_split(trim({text}), ' ')) END"
 
 
-def _html_sql(side: str, css: str) -> str:
+def _html_sql(side: str, css: str, head: str) -> str:
     tag = lambda field: f"CASE WHEN o_{field} <> n_{field} THEN '<span class=\"{css}\">' || {side}_{field} || '</span>' ELSE {side}_{field}::STRING END"
     tail = f"CASE WHEN {side}_tail = '' THEN '' WHEN o_tail <> n_tail THEN ' <span class=\"{css}\">' || trim({side}_tail) || '</span>' ELSE {side}_tail END"
-    return f"'The entity ' || {tag('modal')} || ' ' || {side}_verb || ' within ' || {tag('days')} || ' days and pay INR ' || {tag('lakh')} || ' lakh at ' || {side}_pct || ' percent by ' || {tag('day')} || ' March ' || {side}_year || {tail}"
+    return f"{head}'The entity ' || {tag('modal')} || ' ' || {side}_verb || ' within ' || {tag('days')} || ' days and pay INR ' || {tag('lakh')} || ' lakh at ' || {side}_pct || ' percent by ' || {tag('day')} || ' March ' || {side}_year || {tail}"
 
 
 _DIFFER = ["modal", "days", "lakh", "day"]
-#: Pairs with what a word diff says of them.
-SQL_DIFFS = f"""{SQL_PAIRS},
+
+
+def _diffs_sql(head: str = "") -> str:
+    """Pairs with what a word diff says of them; ``head`` is SQL of what stands before their text."""
+    return f"""
     counted AS (
         SELECT *, len(string_split(o_text, ' ')) AS wo, len(string_split(n_text, ' ')) AS wn,
                {' + '.join(f"CASE WHEN o_{x} <> n_{x} THEN {_words_sql(f'o_{x}::STRING')} ELSE 0 END" for x in [*_DIFFER, 'tail'])} AS gone,
@@ -192,9 +207,12 @@ SQL_DIFFS = f"""{SQL_PAIRS},
         SELECT *, CASE WHEN density < 0.08 AND NOT {_marked_sql('lower(changed)')} THEN false
                        WHEN {' OR '.join(f'o_{x} <> n_{x}' for x in _DIFFER)} OR (tail_replaced AND ({' OR '.join(f"contains(o_tail, '{w}') <> contains(n_tail, '{w}')" for w in lexicon.INDICATORS)})) THEN true
                        ELSE density > 0.20 OR ratio < 0.80 END AS diff_sub,
-               {_html_sql('o', 'diff-removed')} AS old_html, {_html_sql('n', 'diff-added')} AS new_html
+               {_html_sql('o', 'diff-removed', head)} AS old_html, {_html_sql('n', 'diff-added', head)} AS new_html
         FROM ratios)"""
 
+
+SQL_DIFFS = f"{SQL_PAIRS}, {_diffs_sql()}"
+
 _way = lambda x: f"CASE WHEN n_{x} > o_{x} THEN 'INCREASE' ELSE 'DECREASE' END"
 _size = lambda x: f"abs(n_{x} - o_{x}) * 100.0::DOUBLE / o_{x}"
 #: (field, old value, new value, direction, magnitude or null), each where its condition holds.
@@ -223,10 +241,14 @@ _both_scores = {c: f"({_changed_scores[c]} + {_full_scores[c]})" for c in _full_
 _best = f"greatest({', '.join(_both_scores.values())})"
 _pair_category = f"CASE WHEN {_best} = 0 THEN 'C03' " + " ".join(f"WHEN {x} = {_best} THEN '{c}'" for c, x in _both_scores.items()) + " END"
 _by_size = lambda x: f"CASE WHEN o_{x} = n_{x} THEN 0 WHEN {_size(x)} >= 100 THEN 2 WHEN {_size(x)} >= 50 THEN 1 ELSE 0 END"
-SQL_CHANGES = f"""{SQL_DIFFS},
+
+
+def _changes_sql(old_section: str, new_section: str, heading: str, layer: str, definition: str, size: int) -> str:
+    """Classified changes of diffs; the arguments are SQL of what nodes and alignments have besides the texts."""
+    return f"""
     told AS (
-        SELECT *, {_O_SECTION.replace('section', 'o_section')} AS os, {_N_SECTION.replace('section', 'n_section')} AS ns, {_terms_sql("o_text")} AS a, {_terms_sql("n_text")} AS b,
-               {_conditions_sql("o_text")} AS ca, {_conditions_sql("n_text")} AS cb, k % 3 AS layer, k % 23 = 0 AS definition FROM diffs),
+        SELECT *, {old_section.replace('section', 'o_section')} AS os, {new_section.replace('section', 'n_section')} AS ns, {_terms_sql("o_text")} AS a, {_terms_sql("n_text")} AS b,
+               {_conditions_sql("o_text")} AS ca, {_conditions_sql("n_text")} AS cb, {layer} AS layer, {definition} AS definition FROM diffs),
     way_ AS (SELECT *, {direction_sql("a", "b")} AS direction, {explanation_sql("a", "b", "ca", "cb")} AS explanation FROM told),
     sub_ AS (SELECT *, o_lakh <> n_lakh OR o_days <> n_days OR o_day <> n_day OR direction <> 'UNCHANGED' OR diff_sub AS is_substantive FROM way_),
     cat_ AS (
@@ -246,14 +268,19 @@ SQL_CHANGES = f"""{SQL_DIFFS},
                {numbers_sql(': ', '; ')} AS numbers, {numbers_sql(': ', '; ', False)} AS plain_numbers, old_html, new_html, regexp_matches(o_text, '\\bnot\\b') <> regexp_matches(n_text, '\\bnot\\b') AS negation_changed FROM sum_),
     alone AS (
         SELECT coalesce(o.k, n.k) AS k, coalesce(o.c, n.c) AS c, coalesce(o.section, n.section) AS section, o.text AS old_text, n.text AS new_text FROM olds o FULL JOIN news n ON o.section = n.section WHERE o.text IS NULL OR n.text IS NULL),
-    labelled AS (SELECT *, {_O_SECTION} AS os, {_N_SECTION} AS ns, CASE WHEN old_text IS NULL THEN {_N_SECTION} ELSE {_O_SECTION} END AS own, coalesce(old_text, new_text) AS text, {_HEADING} AS heading FROM alone),
+    labelled AS (SELECT *, {old_section} AS os, {new_section} AS ns, CASE WHEN old_text IS NULL THEN {new_section} ELSE {old_section} END AS own, coalesce(old_text, new_text) AS text, {heading} AS heading FROM alone),
     single AS (
-        SELECT *, CASE WHEN old_text IS NULL THEN CASE WHEN {added_category_sql('new_text')} <> 'C01' THEN {added_category_sql('new_text')} WHEN k % 23 = 0 THEN 'C12' ELSE 'C01' END ELSE 'C02' END AS category FROM labelled),
+        SELECT *, CASE WHEN old_text IS NULL THEN CASE WHEN {added_category_sql('new_text')} <> 'C01' THEN {added_category_sql('new_text')} WHEN {definition} THEN 'C12' ELSE 'C01' END ELSE 'C02' END AS category FROM labelled),
     everything AS (
         SELECT * FROM paired UNION ALL
         SELECT k, c, section, old_text, new_text, os, ns, 'UNCHANGED', NULL, true, category, CASE WHEN old_text IS NULL THEN 5 ELSE 4 END, k, 0, CASE WHEN old_text IS NULL THEN 'ADDED' ELSE 'REMOVED' END, CASE category {_base} END + 1,
                0.9, 0.0, 0.0, 0.0, 1.0, 0.9, CASE WHEN old_text IS NULL THEN 'New content added: ' ELSE 'Content removed: ' END || CASE WHEN heading <> '' THEN heading WHEN own <> '' THEN own ELSE substr(text, 1, 80) END, '', '', NULL, NULL, false FROM single),
     changes AS (
         SELECT *, CASE WHEN NOT is_substantive THEN 'INFORMATIONAL' WHEN score >= 6 THEN 'CRITICAL' WHEN score >= 4 THEN 'HIGH' WHEN score >= 3 THEN 'MEDIUM' WHEN score >= 1 THEN 'LOW' ELSE 'INFORMATIONAL' END AS impact,
-               'CMP_' || (k // 480) AS comparison_id, coalesce(substr(old_text, 1, 500), '') AS old_requirement, coalesce(substr(new_text, 1, 500), '') AS new_requirement, round(overall, 6) AS confidence_overall,
-               format('CHG-{{:04d}}', row_number() OVER (PARTITION BY k // 480 ORDER BY layer, rank, tie)) AS change_id FROM everything)"""
+               'CMP_' || (k // {size}) AS comparison_id, coalesce(substr(old_text, 1, 500), '') AS old_requirement, coalesce(substr(new_text, 1, 500), '') AS new_requirement, round(overall, 6) AS confidence_overall,
+               format('CHG-{{:04d}}', row_number() OVER (PARTITION BY k // {size} ORDER BY layer, rank, tie)) AS change_id FROM everything)"""
+
+
+SQL_CHANGES = f"{SQL_DIFFS}, {_changes_sql(_O_SECTION, _N_SECTION, _HEADING, 'k % 3', 'k % 23 = 0', 480)}"
+#: The changes that pages of numbered clauses make, each in the section of its number.
+SQL_PAGES = f"olds AS ({_side_sql(_OLD, 11, 13, True)}), news AS ({_side_sql(_NEW, 13, 11, True)}), {_PAIRS}, " + _diffs_sql("k || '. ' || ") + ", " + _changes_sql("section", "section", "''", "0", "false", 240)

@@ -196,20 +196,30 @@ def _(spark, d):
     return rows.select("comparison_id", "change_id", F.regexp_extract("p", r"OLD TEXT: (.*)", 1).alias("old_text"), F.regexp_extract("p", r"NEW TEXT: (.*)", 1).alias("new_text"))
 
 
-def _pages(spark: SparkSession, d: str, side: str) -> DataFrame:
-    """Pages of 40 blocks made from the generated clauses, six pages a document."""
-    rows = (C.old_clauses if side == "old" else C.new_clauses)(spark, d)
-    text = F.concat(F.lit("("), F.element_at(F.array(*[F.lit(x) for x in "abefgh"]), (F.col("k") % 6 + 1).cast("int")), F.lit(") "), F.col("text"))
+def _pages(spark: SparkSession, d: str, side: str, numbered: bool = False) -> DataFrame:
+    """Pages of 40 blocks made from the generated clauses, six pages a document; clauses have letters that repeat, or numbers."""
+    rows = C.numbered_clauses(spark, d, side) if numbered else (C.old_clauses if side == "old" else C.new_clauses)(spark, d)
+    text = F.col("text") if numbered else F.concat(F.lit("("), F.element_at(F.array(*[F.lit(x) for x in "abefgh"]), (F.col("k") % 6 + 1).cast("int")), F.lit(") "), F.col("text"))
     block = F.struct(F.when(F.col("k") % 40 == 1, F.concat((F.expr("k div 40 % 9") + 1).cast("string"), F.lit(". Title of section"))).otherwise(text).alias("text"), F.array().cast("array<double>").alias("bbox"), F.lit(10.0).alias("font_size"), (F.col("k") % 40 == 1).alias("is_bold"), F.lit("F").alias("font_name"), F.lit("text").alias("block_type"))
     pages = rows.groupBy(F.expr("k div 240").alias("doc"), F.expr("k div 40 % 6").alias("p")).agg(F.transform(F.sort_array(F.collect_list(F.struct("k", block.alias("b")))), lambda x: x["b"]).alias("blocks"))
     return pages.select(F.format_string(f"DOC_{side}_%d", "doc").alias("document_id"), F.lit("f").alias("filename"), F.lit(side).alias("version"), F.lit(6).alias("total_pages"), F.lit(1.0).alias("doc_quality"), (F.col("p") + 1).cast("int").alias("page_number"), ST.page_text(F.col("blocks")).alias("text"), F.lit(1.0).alias("quality_score"), "blocks", F.array().cast("array<array<array<string>>>").alias("tables"))
 
 
+def _compared(spark: SparkSession, d: str, numbered: bool) -> DataFrame:
+    old, new = _pages(spark, d, "old", numbered), _pages(spark, d, "new", numbered)
+    sides = [df.select(F.regexp_extract("document_id", r"(\d+)$", 1).alias("n")).distinct() for df in (old, new)]
+    comparisons = sides[0].join(sides[1], "n").select(F.concat(F.lit("CMP_"), "n").alias("comparison_id"), F.concat(F.lit("DOC_old_"), "n").alias("old_document_id"), F.concat(F.lit("DOC_new_"), "n").alias("new_document_id"))
+    out = CH.compare(old, new, comparisons, compose=False)
+    return out.select("comparison_id", "change_id", "change_type", "category", "is_substantive", "impact", F.round("confidence.overall", 6).alias("confidence_overall"), "change_summary", "old_requirement", "new_requirement")
+
+
 @query("compare_documents")
 def _(spark, d):
     """The whole comparison of generated documents: nodes, alignment, diff, classification and scores."""
-    old, new = _pages(spark, d, "old"), _pages(spark, d, "new")
-    ids = old.select("document_id").distinct().select(F.regexp_extract("document_id", r"(\d+)$", 1).alias("n"))
-    comparisons = ids.select(F.concat(F.lit("CMP_"), "n").alias("comparison_id"), F.concat(F.lit("DOC_old_"), "n").alias("old_document_id"), F.concat(F.lit("DOC_new_"), "n").alias("new_document_id"))
-    out = CH.compare(old, new, comparisons, compose=False)
-    return out.select("comparison_id", "change_id", "change_type", "category", "is_substantive", "impact", F.round("confidence.overall", 6).alias("confidence_overall"), "change_summary", "old_requirement", "new_requirement")
+    return _compared(spark, d, False)
+
+
+@query("compare_pages", f"WITH {C.SQL_PAGES} SELECT comparison_id, change_id, change_type, category, is_substantive, impact, confidence_overall, change_summary, old_requirement, new_requirement FROM changes")
+def _(spark, d):
+    """As compare_documents, of documents whose clauses have numbers, so that SQL can follow the whole way."""
+    return _compared(spark, d, True)

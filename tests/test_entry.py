@@ -11,10 +11,9 @@ from clausewright.plans import registry
 ROOT = Path(__file__).resolve().parent.parent
 DATA = Path("/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not DATA.exists(), reason="no test data")
-SOME = ["text_normalize", "text_quality", "sentence_split", "lexical_pairs", "block_classify", "hierarchy_parent", "paragraph_merge", "numeric_change", "obligation_change", "change_ids", "stats_row", "review_latest"]
 
 
-@pytest.mark.parametrize("name", SOME)
+@pytest.mark.parametrize("name", sorted(registry.ORACLES))
 def test_query_equals_its_sql(spark, name):
     import duckdb
 
