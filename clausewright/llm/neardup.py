@@ -9,7 +9,8 @@ first one.  Four registers are one 64-bit band key, so 32 bands miss a pair at s
    agree in all three with a probability of 2^-128, far less than two shingles have one hash.  Classes are linked, not copies.
 2. Every class sends its band keys to buckets.  In a bucket each member pairs with the smallest one; these pairs,
    linear in the input however large a bucket is, are confirmed on full sets, and their components taken.
-3. Buckets that still join several components are searched in blocks of bounded size.  Pairs across components,
+3. Buckets that still join several components are searched in blocks of bounded size.  Members of the component that
+   the smallest one is in, in large buckets nearly all, meet only members of others.  Pairs across components,
    each in the first band that they share, are estimated from the registers, corrected for registers that are
    equal by chance; those that may reach the threshold are confirmed on full sets, until connected.
    Nothing emits a bucket's pairs: blocks return members, and then links between components, a forest of them.
@@ -31,7 +32,7 @@ from clausewright.llm.wordhash import chunks, mix, shingle_sets
 REGISTERS, ROWS, MANTISSA = 128, 4, 10
 BANDS = REGISTERS // ROWS
 #: Most members of a block; a larger bucket is searched as pairs of blocks.
-BLOCK = 1024
+BLOCK = 512
 _RNG = np.random.default_rng(7_919)
 _MULTIPLY = _RNG.integers(0, 2**63, REGISTERS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = _RNG.integers(0, 2**63, REGISTERS, dtype=np.uint64)
@@ -145,16 +146,25 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _blocks(rows: DataFrame) -> DataFrame:
-    """``rows`` (bucket, _n, ...) with the group that each is searched in and the side it is on.
+    """``rows`` (bucket, comp, main, n_main, n_other, ...) with the group that each is searched in and the side it is on.
 
-    A bucket of more than BLOCK members (_n of them) is cut into blocks by the hash of rep, and every pair of blocks is a
-    group: so each member is copied once per BLOCK members of its bucket, which only buckets with several components cost.
+    In a bucket the members of the component ``main`` and the others are cut into blocks of at most BLOCK by the hash of
+    rep.  Every pair of blocks of others is a group, and every pair of a block of others and one of main members, which
+    are linked among themselves already.  So a main member is copied once per BLOCK others, and each of the others once
+    per BLOCK members of its bucket.
     """
-    n = F.ceil(F.col("_n") / BLOCK).cast("int")
-    cut = rows.withColumn("_blocks", n).withColumn("_block", F.expr("pmod(xxhash64(rep, 17), _blocks)").cast("int"))
-    cut = cut.withColumn("_with", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
-    low, high = F.least("_block", "_with"), F.greatest("_block", "_with")
-    return cut.withColumn("g", F.xxhash64("bucket", low, high)).withColumn("side", F.when(low == high, -1).otherwise(F.col("_block"))).drop("_n", "_blocks", "_block", "_with")
+    blocks = lambda n: F.greatest(F.ceil(F.col(n) / BLOCK), F.lit(1)).cast("int")
+    upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    is_main = F.col("comp") == F.col("main")
+    cut = rows.withColumn("_o", blocks("n_other")).withColumn("_m", blocks("n_main"))
+    cut = cut.withColumn("_own", F.pmod(F.xxhash64("rep", F.lit(17)), F.when(is_main, F.col("_m")).otherwise(F.col("_o"))).cast("int"))
+    own = F.col("_own")
+    group = lambda kind, x, y, side: F.struct(F.lit(kind).alias("k"), x.alias("x"), y.alias("y"), side.cast("int").alias("side"))
+    across = F.transform(upto("_o"), lambda i: group(1, own, i, F.lit(0)))
+    among = F.transform(upto("_o"), lambda i: group(0, F.least(own, i), F.greatest(own, i), F.when(own == i, -1).otherwise(own)))
+    to_main = F.transform(upto("_m"), lambda j: group(1, j, own, F.lit(1)))
+    cut = cut.withColumn("_g", F.explode(F.when(is_main, across).otherwise(F.concat(among, to_main))))
+    return cut.withColumn("g", F.xxhash64("bucket", "_g.k", "_g.x", "_g.y")).withColumn("side", F.col("_g.side")).drop("_o", "_m", "_own", "_g", "main", "n_main", "n_other")
 
 
 def _by_group(rows: DataFrame, search, schema: str) -> DataFrame:
@@ -289,17 +299,19 @@ def near_duplicates(documents: DataFrame, doc_id: str = "doc_id", text: str = "t
     classes = filled.groupBy("k1", "k2", "n_shingles").agg(F.min("doc_id").alias("rep"))
     nodes = settle(filled.withColumnRenamed("doc_id", "rep").join(classes, ["rep", "k1", "k2", "n_shingles"], "left_semi").select("rep", "n_shingles", "registers").dropDuplicates(["rep", "registers"]))
     bands = _band_rows(nodes)
-    sizes = bands.groupBy("bucket").agg(F.count(F.lit(1)).alias("_n"), F.min("rep").alias("hub")).where("_n > 1")
+    sizes = bands.groupBy("bucket").agg(F.count(F.lit(1)).alias("_n"), F.min("rep").alias("hub")).where("_n > 1").drop("_n")
     members = settle(bands.join(sizes, "bucket"))
     ids = members.select("rep").distinct()
     sets = settle(_full_sets(documents, ids, doc_id, text, width).dropDuplicates(["rep", "items"]))
     first = components(_confirm(members.where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct(), sets, percent))
     placed = members.join(first.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
-    several = placed.groupBy("bucket").agg(F.min("comp").alias("_low"), F.max("comp").alias("_high")).where("_low <> _high").select("bucket")
-    open_ = placed.join(several, "bucket", "left_semi").join(nodes, "rep")
-    flagged = _by_group(_blocks(open_), _search_open(cut), "bucket bigint, rep bigint").distinct()
-    flagged = settle(flagged)
-    rest = open_.drop("_n").join(flagged, ["bucket", "rep"], "left_semi").join(flagged.groupBy("bucket").agg(F.count(F.lit(1)).alias("_n")), "bucket").join(sets, "rep")
+    by_comp = placed.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("low"))
+    several = by_comp.groupBy("bucket").agg(F.count(F.lit(1)).alias("comps"), F.min_by("comp", "low").alias("main"), F.min_by("n", "low").alias("n_main"), F.sum("n").alias("n")).where("comps > 1")
+    open_ = settle(placed.join(several.select("bucket", "main", "n_main", (F.col("n") - F.col("n_main")).alias("n_other")), "bucket"))
+    flagged = settle(_by_group(_blocks(open_.join(nodes, "rep")), _search_open(cut), "bucket bigint, rep bigint").distinct())
+    left = open_.drop("n_main", "n_other").join(flagged, ["bucket", "rep"], "left_semi")
+    sizes = left.groupBy("bucket").agg(F.count_if(F.col("comp") == F.col("main")).alias("n_main"), F.count_if(F.col("comp") != F.col("main")).alias("n_other"))
+    rest = left.join(sizes, "bucket").join(nodes, "rep").join(sets, "rep")
     more = _by_group(_blocks(rest), _search_links(cut, percent), "a bigint, b bigint")
     second = components(more).toDF("comp", "_next")
     merged = classes.join(first.toDF("rep", "comp"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
