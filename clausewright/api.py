@@ -8,7 +8,7 @@ from datetime import UTC, datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clausewright import schemas
+from clausewright import lexicon, schemas
 from clausewright.operators import changes as CH
 from clausewright.operators import reports as R
 from clausewright.sources import documents as DOC
@@ -39,9 +39,14 @@ class Workspace:
         return DOC.read_pages(self.spark, f"{self.path}/pages")
 
     def ingest(self, glob: str, version: str, extractor: DOC.Extractor) -> tuple[DataFrame, DataFrame]:
-        """Stores the documents and pages of PDF files; returns what was taken and what was refused, with reasons."""
+        """Stores the documents and pages of PDF files; returns what was taken and what was refused, with reasons.
+
+        Of a file that the extractor fails on nothing is stored.
+        """
         good, bad = DOC.accepted(DOC.scan_files(self.spark, glob), version)
-        return self.ingest_pages(DOC.extract(good, extractor), good.select("document_id", F.col("path").alias("file_path"))), bad
+        taken = self.ingest_pages(DOC.extract(good, extractor), good.select("document_id", F.col("path").alias("file_path")))
+        unread = good.drop("content").join(taken.select("document_id"), "document_id", "left_anti").withColumn("reason", F.lit("could not be read"))
+        return taken, bad.unionByName(unread)
 
     def ingest_pages(self, pages: DataFrame, files: DataFrame | None = None) -> DataFrame:
         """As ingest, of pages that are extracted already."""
@@ -63,9 +68,13 @@ class Workspace:
         asked = self.spark.createDataFrame([(comparison_id, old_document_id, new_document_id)], "comparison_id string, old_document_id string, new_document_id string")
         try:
             pages = self.pages()
-            out = CH.compare(pages.where(F.col("document_id") == old_document_id), pages.where(F.col("document_id") == new_document_id), asked, embed)
+            note = lambda stage, percent: self._log(asked, "processing", began, percent, None, None, None, False, None, stage)
+            note("extraction", 5.0)
+            out = CH.compare(pages.where(F.col("document_id") == old_document_id), pages.where(F.col("document_id") == new_document_id), asked, embed, progress=note)
             if ask:
+                note("llm", 82.0)
                 out = EN.enrich(out, ask, model)
+            note("saving", 95.0)
             sinks.save_changes(out.withColumn("confidence_overall", F.col("confidence.overall")), f"{self.path}/changes")
             s = self.statistics(comparison_id).first()
             self._log(asked, "completed", began, 100.0, s.total, s.substantive, s.editorial, bool(ask), None)
@@ -74,8 +83,10 @@ class Workspace:
             raise
         return self.comparison(comparison_id)
 
-    def _log(self, asked: DataFrame, status: str, began: str, progress: float, total, substantive, editorial, llm: bool, error: str | None) -> None:
-        rows = asked.select("*", *[F.lit(v).cast(t).alias(n) for n, v, t in (("status", status, "string"), ("progress", progress, "double"), ("current_stage", status, "string"), ("total_changes", total, "int"), ("substantive_changes", substantive, "int"), ("editorial_changes", editorial, "int"), ("statistics", None, "string"), ("llm_available", llm, "boolean"), ("error_message", error, "string"), ("created_at", began, "string"), ("completed_at", datetime.now(UTC).isoformat(), "string"))])
+    def _log(self, asked: DataFrame, status: str, began: str, progress: float, total, substantive, editorial, llm: bool, error: str | None, stage: str | None = None) -> None:
+        """A row of the log; a comparison is what its last row says, also while it runs."""
+        now = datetime.now(UTC).isoformat()
+        rows = asked.select("*", *[F.lit(v).cast(t).alias(n) for n, v, t in (("status", status, "string"), ("progress", progress, "double"), ("current_stage", stage or status, "string"), ("total_changes", total, "int"), ("substantive_changes", substantive, "int"), ("editorial_changes", editorial, "int"), ("statistics", None, "string"), ("llm_available", llm, "boolean"), ("error_message", error, "string"), ("created_at", began, "string"), ("completed_at", None if stage else now, "string"), ("logged_at", now, "string"))])
         self._append("comparisons", rows)
 
     def comparisons(self) -> DataFrame:
@@ -105,6 +116,12 @@ class Workspace:
     def impact_heatmap(self, comparison_id: str) -> DataFrame:
         return R.heatmap_pivot(self._changes(comparison_id))
 
+    def dashboard(self, comparison_id: str) -> dict[str, DataFrame]:
+        """What the dashboard shows: the cards' numbers, a bar for each category, and the heatmap of the four upper levels."""
+        labels = R.categories(self.spark, lexicon.UI_LABELS).withColumnRenamed("code", "category")
+        bars = R.with_bars(self.category_distribution(comparison_id)).join(F.broadcast(labels), "category", "left").orderBy(F.desc("n"), "category")
+        return {"cards": self.statistics(comparison_id), "bars": bars, "heatmap": self.impact_heatmap(comparison_id)}
+
     def export_csv(self, comparison_id: str) -> bytes:
         return sinks.csv_bytes(R.export_rows(self.changes(comparison_id)))
 

@@ -19,7 +19,10 @@ NUMBERS = "array<struct<field:string,old_value:string,new_value:string,old_numer
 
 
 def ratio_of(a: str | None, b: str | None) -> float:
-    return SequenceMatcher(None, a, b).ratio() if a and b else 0.0
+    """Twice the characters that matching blocks have, over all; 0 if either text is empty."""
+    if not a or not b:
+        return 0.0
+    return 1.0 if a == b else SequenceMatcher(None, a, b).ratio()
 
 
 def ratio_bound(a: str | None, b: str | None) -> float:

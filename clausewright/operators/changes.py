@@ -94,9 +94,10 @@ def number(df: DataFrame) -> DataFrame:
     return df.withColumn("change_id", F.format_string("CHG-%04d", F.row_number().over(w)))
 
 
-def compare(old_pages: DataFrame, new_pages: DataFrame, comparisons: DataFrame, embed: Callable[[DataFrame], DataFrame] | None = None, compose: bool = True) -> DataFrame:
+def compare(old_pages: DataFrame, new_pages: DataFrame, comparisons: DataFrame, embed: Callable[[DataFrame], DataFrame] | None = None, compose: bool = True, progress: Callable[[str, float], None] = lambda stage, percent: None) -> DataFrame:
     """Changes between the documents of ``comparisons`` (comparison_id, old_document_id, new_document_id).
 
+    ``progress`` is told each stage as it begins.
     Unknown documents are an error, as they can only give wrong ADDED or REMOVED rows.
     """
     known = old_pages.select("document_id").union(new_pages.select("document_id")).distinct()
@@ -104,7 +105,10 @@ def compare(old_pages: DataFrame, new_pages: DataFrame, comparisons: DataFrame,
     missing = asked.join(known, "document_id", "left_anti").limit(5).collect()
     if missing:
         raise ValueError(f"unknown documents: {[r.document_id for r in missing]}")
+    progress("parsing", 15.0)
     old, new = (settle(structure.nodes(p, compose)) for p in (old_pages, new_pages))
     unit = lambda df, side: structure.clause_units(df).join(comparisons.select("comparison_id", F.col(f"{side}_document_id").alias("document_id")), "document_id")
+    progress("alignment", 30.0)
     aligned = A.align(unit(old, "old"), unit(new, "new"), embed)
+    progress("classification", 55.0)
     return classify(aligned, old.unionByName(new).dropDuplicates(["node_id"]))

@@ -83,7 +83,7 @@ def latest_comparison(comparisons: DataFrame) -> DataFrame:
 def comparisons(log: DataFrame) -> DataFrame:
     """The last row of each comparison with its first created_at, newest first."""
     first = log.groupBy("comparison_id").agg(F.min("created_at").alias("_at"))
-    last = latest_by(log, ["comparison_id"], [F.desc("completed_at")])
+    last = latest_by(log, ["comparison_id"], [F.desc("logged_at")])
     return last.join(first, "comparison_id").withColumn("created_at", F.col("_at")).drop("_at").orderBy(F.desc("created_at"), "comparison_id")
 
 

@@ -407,7 +407,7 @@ def _(spark, d):
 @query("comparisons_list", "SELECT o_custkey AS comparison_id, max(o_orderstatus) AS status, min(o_orderdate) AS created_at FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) AS r FROM orders) WHERE r = 1 GROUP BY o_custkey".replace("min(o_orderdate) AS created_at FROM", "(SELECT min(o.o_orderdate) FROM orders o WHERE o.o_custkey = q.o_custkey) AS created_at FROM").replace(") WHERE r = 1", ") q WHERE r = 1"))
 def _(spark, d):
     """A log with several rows a comparison: the last one's status, the first one's date, newest first."""
-    log = spark.read.parquet(f"{d}/orders.parquet").select(F.col("o_custkey").alias("comparison_id"), F.col("o_orderstatus").alias("status"), F.col("o_orderdate").alias("created_at"), F.col("o_orderkey").alias("completed_at"))
+    log = spark.read.parquet(f"{d}/orders.parquet").select(F.col("o_custkey").alias("comparison_id"), F.col("o_orderstatus").alias("status"), F.col("o_orderdate").alias("created_at"), F.col("o_orderkey").alias("logged_at"))
     return R.comparisons(log).select("comparison_id", "status", "created_at")
 
 

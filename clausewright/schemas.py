@@ -5,7 +5,7 @@ PAGES = f"document_id string, filename string, version string, total_pages int,
 NODES = "node_id string, document_id string, document_version string, page_start int, page_end int, section_number string, heading string, parent_id string, text string, normalized_text string, content_type string, depth int, `order` int, raw_text string, font_info struct<size:double,is_bold:boolean,name:string>, table_data array<array<string>>"
 ALIGNMENTS = "comparison_id string, alignment_type string, old_node_id string, new_node_id string, confidence double, match_method string, similarity_scores map<string,double>"
 DOCUMENTS = "document_id string, filename string, title string, circular_number string, issue_date string, update_date string, total_pages int, version string, quality_score double, file_path string, parsed_data string, created_at string"
-COMPARISONS = "comparison_id string, old_document_id string, new_document_id string, status string, progress double, current_stage string, total_changes int, substantive_changes int, editorial_changes int, statistics string, llm_available boolean, error_message string, created_at string, completed_at string"
+COMPARISONS = "comparison_id string, old_document_id string, new_document_id string, status string, progress double, current_stage string, total_changes int, substantive_changes int, editorial_changes int, statistics string, llm_available boolean, error_message string, created_at string, completed_at string, logged_at string"
 REFERENCE = "struct<document_id:string,page:int,page_end:int,section:string,clause:string,heading:string,text:string,node_id:string>"
 CONFIDENCE = "struct<structural_match:double,lexical_similarity:double,semantic_similarity:double,numerical_agreement:double,evidence_quality:double,overall:double>"
 OBLIGATION = "struct<old_terms:array<string>,new_terms:array<string>,old_strength:int,new_strength:int,direction:string,explanation:string>"

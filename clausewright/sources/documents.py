@@ -64,12 +64,18 @@ def clean_tables(tables: list[list[list[str | None]]]) -> list[list[list[str]]]:
 
 
 def extract(files: DataFrame, extractor: Extractor) -> DataFrame:
-    """Pages (schemas.PAGES) of accepted files; the extractor is the caller's, as no PDF library is a dependency."""
+    """Pages (schemas.PAGES) of accepted files; the extractor is the caller's, as no PDF library is a dependency.
+
+    A file that the extractor fails on has no pages.
+    """
 
     def run(batches):
         for batch in batches:
             for f in batch.itertuples(index=False):
-                pages = extractor(bytes(f.content))
+                try:
+                    pages = extractor(bytes(f.content))
+                except Exception:
+                    pages = []
                 rows = []
                 for k, p in enumerate(pages, 1):
                     blocks = p.get("blocks") or [b for s in p.get("spans", []) if (b := block_of(s))]
