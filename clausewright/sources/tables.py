@@ -21,9 +21,26 @@ def shared_dir(spark: SparkSession) -> str:
     return at
 
 
+_made: list[str] = []
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
-    """A new path below the shared folder; whoever fills it makes it."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new path below the shared folder; whoever fills it makes it, and clear_folders removes it."""
+    _made.append(f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}")
+    return _made[-1]
+
+
+def clear_folders(spark: SparkSession) -> int:
+    """Removes what this program has put into new_folder's paths so far, and returns how many there were.
+
+    For when all DataFrames that read from them have been written or shown; checkpoints go with the session, where
+    spark.cleaner.referenceTracking.cleanCheckpoints is on.
+    """
+    n = 0
+    while _made:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_made.pop())
+        n += path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return n
 
 
 def settle(df: DataFrame) -> DataFrame:

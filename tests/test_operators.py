@@ -2,6 +2,7 @@
 
 import random
 import zipfile
+from pathlib import Path
 
 import pytest
 from hypothesis import given, settings
@@ -177,3 +178,14 @@ def test_stream(spark, tmp_path):
     for _ in range(2):
         ingest.ingest(spark, source, out, str(tmp_path / "cp")).awaitTermination()
     assert spark.read.parquet(out).count() == 1
+
+
+def test_folders_are_cleared(spark):
+    from clausewright.sources import tables
+
+    tables.clear_folders(spark)
+    folder = tables.new_folder(spark, "kept")
+    spark.range(3).write.parquet(folder)
+    tables.new_folder(spark, "never made")
+    assert spark.read.parquet(folder).count() == 3 and tables.clear_folders(spark) == 1
+    assert not list(Path(folder.removeprefix("file:")).parent.glob("kept-*"))
