@@ -2,35 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Most bytes of text that a worker handles at a time; one longer text is handled alone.
-CHUNK_BYTES = 1 << 19
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one in local mode."""
-    sc = spark.sparkContext
-    at = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not at:
-        if not sc.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        at = tempfile.mkdtemp(prefix="clausewright-")
-        sc.setCheckpointDir(at)
-    elif not sc.getCheckpointDir():
-        sc.setCheckpointDir(at)
-    return at
+from clausewright.sources.tables import clear_folders, new_folder, settle, shared_dir
 
+__all__ = ["clear_folders", "new_folder", "settle", "shared_dir"]
 
-def new_folder(spark: SparkSession, name: str) -> str:
-    """A new path below the shared folder; whoever fills it makes it."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+#: Most bytes of text that a worker handles at a time; one longer text is handled alone.
+CHUNK_BYTES = 1 << 19
 
 
 #: Fixed: schemes that Hadoop and pyarrow name differently.
@@ -47,12 +30,6 @@ def file_system(path: str):
     return fs.FileSystem.from_uri(f"{_SCHEMES.get(scheme, scheme)}:{rest}")
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """``df`` computed once and kept in the shared folder, so that it survives lost executors."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def fold(key: Column, folds: int) -> Column:
     """crc32 of the key's decimal text modulo ``folds``; a null key counts as the empty text."""
     return F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % folds

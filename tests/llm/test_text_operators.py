@@ -96,6 +96,7 @@ def test_secrets(spark):
         assert ((r.n_assign, r.n_access, r.n_hex), r.base_sha256, r.spans) == brute(texts[r.doc_id]), texts[r.doc_id]
         found += "entropy" in r.spans
     assert found
+    assert secrets.scan(frame(spark, texts).limit(0), keep()).count() == 0
 
 
 @pytest.mark.parametrize("small", [False, True])
@@ -381,6 +382,8 @@ def test_language(spark):
         assert r.lang_pred == model.languages[int(p.argmax())] and abs(r.score - p.max()) < 1e-4
     odd = spark.createDataFrame([(1, "²³½ ①"), (2, "٣ 12_"), (3, "ª"), (4, "Ω")], "doc_id bigint, text string")
     assert [r.lang_pred == "und" for r in langid.identify(odd, model, keep()).orderBy("doc_id").collect()] == [True, True, False, False]
+    again = langid.fit(docs.union(docs))
+    assert again.languages == model.languages and np.allclose(again.weights, model.weights) and again.temperature == model.temperature
     rare = spark.createDataFrame([*((k, "the king sings " + make("en"), "en") for k in range(3000)), *((k, make("es"), "es") for k in range(3000, 3006))], "doc_id bigint, text string, lang string")
     assert set(langid.fit(rare, rows=50).languages) == {"en", "es"}
     assert {r.lang_pred for r in langid.identify(docs, langid.fit(docs.limit(0)), keep()).collect()} == {"und"}
