@@ -109,7 +109,7 @@ def changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     and saved, as a comparison would, and the queries after it read what is there.
     """
     key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _stored:
+    if not tables.is_kept(_stored.get(key, "")):
         folder = tables.new_folder(spark, "changes")
         sinks.save_changes(classify(alignments(spark, sf_dir), nodes(spark, sf_dir)), folder)
         _stored[key] = folder

@@ -30,6 +30,11 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return _made[-1]
 
 
+def is_kept(folder: str) -> bool:
+    """Whether a new_folder's path hasn't been cleared."""
+    return folder in _made
+
+
 def clear_folders(spark: SparkSession) -> int:
     """Removes what this program has put into new_folder's paths so far, and returns how many there were.
 
