@@ -35,7 +35,7 @@ _STRIP = b" \t\n\x0b\x0c\r"
 SHARD_KEYS, MOST_SHARDS = 1 << 17, 20_000
 #: Bytes of text in a bucket of documents, about; a longer text is in a larger one.
 BUCKET_BYTES = 1 << 20
-_BIN = 4
+_BIN, _ROUNDS = 4, 100
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -60,32 +60,51 @@ def _bin(low: np.ndarray, bins: int) -> np.ndarray:
     return (mix(low ^ _GOLD) % np.uint64(bins)).astype(np.int64)
 
 
+def _fits(at: np.ndarray, taken: np.ndarray) -> np.ndarray:
+    """Rows of slots that are all free and all different."""
+    free = ~taken[at].any(1)
+    if at.shape[1] > 1:
+        ranked = np.sort(at, 1)
+        free &= (ranked[:, 1:] != ranked[:, :-1]).all(1)
+    return free
+
+
 def build_shard(low: np.ndarray, high: np.ndarray, counts: np.ndarray) -> bytes:
     """Seeds, fingerprints and counts of distinct keys whose halves are ``low`` and ``high``."""
     n = len(low)
     bins = max(1, -(-n // _BIN))
     by = _bin(low, bins)
     order = np.argsort(by, kind="stable")
-    ends = np.searchsorted(by[order], np.arange(bins + 1))
+    starts = np.searchsorted(by[order], np.arange(bins + 1))
     seeds, taken, slots = np.zeros(bins, np.uint32), np.zeros(n, bool), np.empty(n, np.int64)
-    sizes = np.diff(ends)
-    for b in np.argsort(-sizes, kind="stable").tolist():
-        own = order[ends[b] : ends[b + 1]]
-        if not len(own):
-            break
-        seed, step = 0, 16 if len(own) > 1 else 256
-        while True:
-            tried = _slot(low[own][None, :], np.arange(seed, seed + step)[:, None], n)
-            free = ~taken[tried].any(1)
-            if len(own) > 1:
-                rows = np.sort(tried, 1)
-                free &= (rows[:, 1:] != rows[:, :-1]).all(1)
-            if free.any():
-                k = int(free.argmax())
-                seeds[b], slots[own] = seed + k, tried[k]
-                taken[tried[k]] = True
+    sizes = np.diff(starts)
+
+    def place(own: np.ndarray, keys: np.ndarray, at: np.ndarray, seed) -> None:
+        seeds[own], slots[keys], taken[at] = seed, at, True
+
+    for size in sorted(set(sizes.tolist()) - {0}, reverse=True):
+        own = np.flatnonzero(sizes == size)
+        keys = order[starts[own][:, None] + np.arange(size)]
+        for seed in range(_ROUNDS):  # all bins of a size try a seed at once; of those that want one slot the first gets it
+            at = _slot(low[keys], np.full(keys.shape, seed), n)
+            rows = np.flatnonzero(_fits(at, taken))
+            first = np.zeros(len(rows) * size, bool)
+            first[np.unique(at[rows].ravel(), return_index=True)[1]] = True
+            rows = rows[first.reshape(-1, size).all(1)]
+            place(own[rows], keys[rows], at[rows], seed)
+            own, keys = np.delete(own, rows), np.delete(keys, rows, 0)
+            if not len(own):
                 break
-            seed, step = seed + step, min(step * 4, 1 << 14)
+        for b, few in zip(own.tolist(), keys, strict=True):  # the rest one by one, many seeds at once
+            seed, step = _ROUNDS, 256
+            while True:
+                at = _slot(low[few][None, :], np.arange(seed, seed + step)[:, None], n)
+                fits = _fits(at, taken)
+                if fits.any():
+                    k = int(fits.argmax())
+                    place(np.array([b]), few, at[k], seed + k)
+                    break
+                seed, step = seed + step, min(step * 4, 1 << 14)
     fingerprints, held = np.empty(n, np.uint64), np.empty(n, np.uint32)
     fingerprints[slots], held[slots] = high, np.minimum(counts, 2**32 - 1)
     out = io.BytesIO()
