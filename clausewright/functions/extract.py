@@ -85,10 +85,16 @@ def direction(old: Column, new: Column) -> Column:
     return F.when(new > old, "INCREASE").when(new < old, "DECREASE")
 
 
+#: Where a term begins, the longest one there; terms may overlap, so none is consumed.
+_TERMS = r"(?iU)(?=\b(" + "|".join(sorted(lexicon.OBLIGATIONS, key=lambda t: (-len(t), t))) + r")\b)"
+
+
 def obligation_terms(text: Column) -> Column:
-    """The terms that occur as words, each once, in the lexicon's order."""
-    t = F.coalesce(text, F.lit(""))
-    return F.array_compact(F.array(*[F.when(t.rlike(rf"(?iU)\b{term}\b"), F.lit(term)) for term in lexicon.OBLIGATIONS]))
+    """The terms that occur as words, each once, in the lexicon's order; a term is in a longer one that begins with it."""
+    longer = {t: [x for x in lexicon.OBLIGATIONS if x == t or x.startswith(t + " ")] for t in lexicon.OBLIGATIONS}
+    found = F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(_TERMS), F.lit(1)), F.lower)
+    some = lambda f: F.array_compact(F.array(*[F.when(F.arrays_overlap(f, F.array(*map(F.lit, xs))), F.lit(t)) for t, xs in longer.items()]))
+    return F.transform(F.array(found), some)[0]
 
 
 def strength(terms: Column) -> Column:

@@ -64,6 +64,14 @@ def test_obligations(spark):
     assert one(spark, extract.obligation_change(F.lit("not allowed"), F.lit("x"))).direction == "REMOVED"
 
 
+@settings(max_examples=6, deadline=None)
+@given(st.lists(st.lists(st.sampled_from([*lexicon.OBLIGATIONS, "Shall", "MUST", "not", "permit", "x", "maybe", "\u00e9may"]), max_size=7), min_size=1, max_size=8))
+def test_terms_are_words(spark, rows):
+    texts = [" ".join(r) for r in rows] + ["shall  not", "must not permitted", "can.may,should"]
+    got = [r.x for r in spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string").select("k", extract.obligation_terms(F.col("t")).alias("x")).orderBy("k").collect()]
+    assert got == [[t for t in lexicon.OBLIGATIONS if re.search(rf"\b{t}\b", x, re.IGNORECASE)] for x in texts]
+
+
 def pair(spark, old, new):
     df = spark.createDataFrame([(old, new)], "o string, n string")
     df = df.withColumn("diff", compare.word_diff("o", "n")).withColumn("nums", compare.number_changes("o", "n")).withColumn("ob", extract.obligation_change(F.col("o"), F.col("n")))
