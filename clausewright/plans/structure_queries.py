@@ -121,10 +121,10 @@ def _(spark, d):
 
 
 @query("node_numbering", f"""WITH {C.SQL}, made AS (SELECT k, k // 240 AS doc, k // 40 % 6 AS p, row_number() OVER (PARTITION BY k // 240 ORDER BY k) - 1 AS place FROM olds)
-    SELECT format('DOC_old_{{}}_N{{:04d}}', doc, place) AS node_id, p + 1 AS page_start, place AS "order" FROM made""")
+    SELECT format('DOC_old_{{}}_N{{:04d}}', doc, place) AS node_id, p + 1 AS page_start, place FROM made""")
 def _(spark, d):
     """Ids, pages and places of the nodes that pages become."""
-    return ST.nodes(_pages(spark, d, "old"), compose=False).select("node_id", "page_start", "order")
+    return ST.nodes(_pages(spark, d, "old"), compose=False).select("node_id", "page_start", F.col("order").alias("place"))
 
 
 @query("first_sections", "SELECT 'DOC_old_' || doc AS document_id, section FROM (SELECT k // 240 AS doc, k // 40 % 9 + 1 AS section, row_number() OVER (PARTITION BY k // 240 ORDER BY k) AS r FROM (SELECT o_orderkey AS k FROM orders) WHERE k % 11 <> 0 AND k % 40 = 1) WHERE r <= 3")

@@ -22,7 +22,7 @@ def test_query_equals_its_sql(spark, name):
         con.execute(f"CREATE VIEW {p.stem} AS SELECT * FROM '{p}'")
     df = registry.QUERIES[name](spark, str(DATA))
     cols = sorted(df.columns)
-    want = con.execute(f"SELECT {', '.join(cols)} FROM ({registry.ORACLES[name]})").fetchall()
+    want = con.execute("SELECT {} FROM ({})".format(", ".join(f'"{c}"' for c in cols), registry.ORACLES[name])).fetchall()
     text = lambda rows: sorted(tuple(f"{v:.9g}" if isinstance(v, float) else str(v) for v in r) for r in rows)
     assert text(df.select(*cols).collect()) == text(want)
 
