@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clausewright.llm import decontaminate, langid, linededup, neardup, packing, quality, rules, secrets, urlfilter, warc
+from clausewright.llm import decontaminate, langid, linededup, neardup, packing, quality, rules, secrets, urlfilter, warc, whitening
 from clausewright.llm.shared import fold, new_folder
 
 
@@ -96,6 +96,11 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.drop("spans")
 
 
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every embedding's whitened components."""
+    return whitening.whiten(_table(spark, sf_dir, "embeddings"), {"vec_id": F.col("vec_id")})
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_rules": op2_rules,
@@ -107,6 +112,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secrets": op8_secrets,
     "op9_url_filter": op9_url_filter,
     "op10_decontaminate": op10_decontaminate,
+    "op13_whitening": op13_whitening,
     "rules_ablation": rules_ablation,
 }
 

@@ -187,5 +187,5 @@ def test_empty_texts_stay_in_the_pipeline(spark, tmp_path, monkeypatch):
 
     spark.createDataFrame([(1, 0)], "doc_id bigint, quality int").write.parquet(f"{tmp_path}/labels.parquet")
     docs = spark.createDataFrame([(1, "", "en", "s", 0), (2, None, "en", "s", 0), (3, "taken for bad", "en", "s", 13)], "doc_id bigint, text string, lang string, source string, n_chars bigint")
-    monkeypatch.setattr(P.quality, "fit", lambda *_: P.quality.Model(b"\n" * 16, b"\n" * 16, [-9.0, 0.0, 0.0, 0.0, 0.0], 0.5))
+    monkeypatch.setattr(P.quality, "fit", lambda *_: P.quality.Model(b"\n" * 16, b"\n" * 16, [-9.0, 0.0, 0.0], 0.5))
     assert {r.doc_id for r in P.quality_classifier(spark, docs, str(tmp_path)).collect()} == {1, 2}
