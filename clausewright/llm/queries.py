@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clausewright.llm import decontaminate, langid, linededup, neardup, packing, quality, rules, secrets, urlfilter, warc, whitening
+from clausewright.llm import decontaminate, langid, linededup, neardup, packing, quality, rules, secrets, tokenalign, urlfilter, warc, whitening
 from clausewright.llm.shared import fold, new_folder
 
 
@@ -96,6 +96,13 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.drop("spans")
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links between two tokenizers' tokens of every document, and how common their pairs are in all documents."""
+    import public_tokenizers
+
+    return tokenalign.align(_table(spark, sf_dir, "documents"), {"doc_id": F.col("doc_id")}, _byte_tokenizer(), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every embedding's whitened components."""
     return whitening.whiten(_table(spark, sf_dir, "embeddings"), {"vec_id": F.col("vec_id")})
@@ -112,6 +119,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secrets": op8_secrets,
     "op9_url_filter": op9_url_filter,
     "op10_decontaminate": op10_decontaminate,
+    "op12_token_alignment": op12_token_alignment,
     "op13_whitening": op13_whitening,
     "rules_ablation": rules_ablation,
 }

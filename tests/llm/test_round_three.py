@@ -1,12 +1,16 @@
 """Whitening, tokenizer alignment and suffix-array dedup against brute force."""
 
+import bisect
+import hashlib
 import math
 import random
+from collections import Counter, defaultdict
 
 import numpy as np
+import public_tokenizers
 from pyspark.sql import functions as F
 
-from clausewright.llm import whitening
+from clausewright.llm import tokenalign, whitening
 
 
 def whitened_by_numpy(rows, k):
@@ -49,3 +53,70 @@ def test_whitening_of_odd_tables(spark):
     assert {(r.vec_id, r.component) for r in two} == {(1, 1), (2, 1), (3, 1)} and {round(abs(r.whitened), 9) for r in two} == {0.0, round(math.sqrt(1.5), 9)}
     large = run([(1, [2.0**50, 0.0]), (2, [-(2.0**50), 1.0]), (3, [0.0, 3.0])])
     assert {r.deviation for r in large} == {None, 2 * 0 + (3 * 768 - 1024) ** 2} and all(math.isfinite(r.whitened) for r in large)
+
+
+A, B = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+
+
+def aligned_by_loops(texts):
+    """Whole texts through both tokenizers, and every link, one by one."""
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    a_tok, sp = Tokenizer.from_file(A), sentencepiece.SentencePieceProcessor(model_file=B)
+    a_tok.encode_special_tokens = True
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    letters = {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in shown)}
+    a_bytes = {i: bytes(letters[c] for c in p) for p, i in a_tok.get_vocab(with_added_tokens=False).items() if all(c in letters for c in p)}
+    b_bytes = lambda i: bytes([int(sp.id_to_piece(i)[3:5], 16)]) if sp.is_byte(i) else sp.id_to_piece(i).replace("▁", " ").encode()
+    docs, in_docs = [], Counter()
+    for t in texts:
+        a, b = (a_tok.encode(" " + t, add_special_tokens=False).ids, sp.encode(t)) if t else ([], [])
+        pa_, pb = [a_bytes[x] for x in a], [b_bytes(x) for x in b]
+        want = (" " + (t or "")).encode()
+        if not t or b"".join(pa_) != want or b"".join(pb) != want:
+            docs.append(None)
+            continue
+        a_end, b_end = np.cumsum([len(x) for x in pa_]).tolist(), np.cumsum([len(x) for x in pb]).tolist()
+        links = Counter()
+        for i, x in enumerate(a):
+            start = a_end[i - 1] if i else 0
+            j = bisect.bisect_right(b_end, start)
+            while j < len(b) and (b_end[j - 1] if j else 0) < a_end[i]:
+                links[x, b[j]] += 1
+                j += 1
+        groups, i, j = [], 0, 0
+        for end in sorted(set(a_end) & set(b_end)):
+            p, q = a_end.index(end) + 1, b_end.index(end) + 1
+            groups.append(",".join(map(str, a[i:p])) + "|" + ",".join(map(str, b[j:q])))
+            i, j = p, q
+        docs.append((len(a), len(b), groups, links))
+        in_docs.update(set(links))
+    top = defaultdict(int)
+    for (x, _), n in in_docs.items():
+        top[x] = max(top[x], n)
+    out = []
+    for d in docs:
+        if d is None:
+            out.append((0, 0, 0, 0, 0, 0, ""))
+            continue
+        n_a, n_b, groups, links = d
+        out.append((n_a, n_b, len(groups), sum(links.values()), sum(m for (x, y), m in links.items() if in_docs[x, y] == top[x]), sum(m * in_docs[p] for p, m in links.items()), hashlib.sha256(";".join(groups).encode()).hexdigest()))
+    return out
+
+
+def test_token_alignment(spark):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("aeiouthrsné") for _ in range(rng.randrange(1, 9)))
+    texts = [None, "", " ", "\n", "a", " a", "a ", "a  b", "a\n\nb", "x\ny z\n", "\tq", "<|endoftext|> <s> </s>", "▁a ▁", "日本語 テキスト。\u3000全角", "e\u0301 é ﬁ", "don't it's we'll  they're", "\u00a0nb\u00a0sp\x85x\x1cy", "naïve\x01x \x01 y", "🙂 emoji 🙂🙂", "a" * 30_000, "same words here", "same words here"]
+    texts += [" ".join(word() + rng.choice(["", "", ".", ",", "!?"]) for _ in range(rng.randrange(1, 120))) for _ in range(80)] + ["\n".join(" ".join(word() for _ in range(9)) for _ in range(300))]
+    df = spark.createDataFrame([(k, t, "x", 7, 1) for k, t in enumerate(texts)], "doc_id bigint, text string, _chunk string, n_a int, _doc int").repartition(3)
+    want = aligned_by_loops(texts)
+    for shards in (1, 7):
+        got = {r.doc_id: (r.n_a, r.n_b, r.n_groups, r.n_links, r.n_best, r.count_sum, r.groups_sha256) for r in tokenalign.align(df, {"doc_id": F.col("doc_id")}, A, B, shards=shards).collect()}
+        assert len(got) == len(texts)
+        for k, w in enumerate(want):
+            assert got[k] == w, (k, (texts[k] or "")[:40])
+    assert tokenalign.align(df.where("doc_id < 0"), {"doc_id": F.col("doc_id")}, A, B).collect() == []
+    empty = tokenalign.align(df.where("doc_id < 2"), {"doc_id": F.col("doc_id")}, A, B).collect()
+    assert sorted((r.doc_id, r.n_links, r.groups_sha256) for r in empty) == [(0, 0, ""), (1, 0, "")]
