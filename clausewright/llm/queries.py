@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clausewright.llm import decontaminate, langid, linededup, neardup, packing, quality, rules, secrets, tokenalign, urlfilter, warc, whitening
+from clausewright.llm import decontaminate, langid, linededup, neardup, packing, quality, rules, secrets, suffixdedup, tokenalign, urlfilter, warc, whitening
 from clausewright.llm.shared import fold, new_folder
 
 
@@ -96,6 +96,11 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.drop("spans")
 
 
+def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the 50-byte strings that an earlier one has."""
+    return suffixdedup.remove_repeats(_table(spark, sf_dir, "documents"), {"doc_id": F.col("doc_id")}).drop("text")
+
+
 def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links between two tokenizers' tokens of every document, and how common their pairs are in all documents."""
     import public_tokenizers
@@ -119,6 +124,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secrets": op8_secrets,
     "op9_url_filter": op9_url_filter,
     "op10_decontaminate": op10_decontaminate,
+    "op11_suffix_dedup": op11_suffix_dedup,
     "op12_token_alignment": op12_token_alignment,
     "op13_whitening": op13_whitening,
     "rules_ablation": rules_ablation,

@@ -8,9 +8,10 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pytest
 from pyspark.sql import functions as F
 
-from clausewright.llm import tokenalign, whitening
+from clausewright.llm import inducedsort, suffixdedup, tokenalign, whitening
 
 
 def whitened_by_numpy(rows, k):
@@ -120,3 +121,106 @@ def test_token_alignment(spark):
     assert tokenalign.align(df.where("doc_id < 0"), {"doc_id": F.col("doc_id")}, A, B).collect() == []
     empty = tokenalign.align(df.where("doc_id < 2"), {"doc_id": F.col("doc_id")}, A, B).collect()
     assert sorted((r.doc_id, r.n_links, r.groups_sha256) for r in empty) == [(0, 0, ""), (1, 0, "")]
+
+
+def suffixes_by_loops(t, limit, separated=False):
+    """Sorted suffixes and common prefixes; separators differ, the last one first and then by place."""
+    items = [(x, i if i < len(t) - 1 else -1) if separated and x == 0 else (x, 0) for i, x in enumerate(t)]
+    order = sorted(range(len(t)), key=lambda i: items[i:])
+    lcp = [0] * len(t)
+    for k in range(1, len(t)):
+        a, b = items[order[k - 1] :], items[order[k] :]
+        while lcp[k] < min(limit, len(a), len(b)) and a[lcp[k]] == b[lcp[k]]:
+            lcp[k] += 1
+    return order, lcp
+
+
+@pytest.mark.parametrize(("memory", "block"), [(48 << 20, 1 << 18), (200, 16), (0, 1)])
+def test_induced_sorting(monkeypatch, memory, block):
+    """In memory, and with all queues and arrays in files and every level of the recursion induced."""
+    monkeypatch.setattr(inducedsort, "MEMORY", memory)
+    monkeypatch.setattr(inducedsort, "BLOCK", block)
+    rng = random.Random(11)
+    cases = [b"", b"a", b"aa", b"ab", b"ba", b"banana", b"mississippi", b"abcabcabc" * 9, b"\0a\0b\0\0", b"a" * 90]
+    for _ in range(150):
+        t = [rng.randrange(rng.choice([1, 2, 4, 30])) for _ in range(rng.randrange(1, 150))]
+        cases.append(bytes(t + t[5 : len(t) // 2] + t if rng.random() < 0.5 else t))
+    for t in cases:
+        for limit in (50, 7):
+            order, lcp = inducedsort.sort_suffixes(inducedsort.Text(np.frombuffer(t, np.uint8), 256, limit))
+            assert (order.tolist(), lcp.tolist()) == suffixes_by_loops(t, limit)
+    for _ in range(60):
+        t = b"\0".join([b"", *(bytes(rng.randrange(1, 4) for _ in range(rng.randrange(1, 20))) for _ in range(12)), b""])
+        order, lcp = inducedsort.sort_suffixes(inducedsort.Text(np.frombuffer(t, np.uint8), 256, 9, separated=True))
+        want = suffixes_by_loops(t, 9, True)
+        n = t.count(0)  # the order of the separators themselves doesn't count
+        assert order.tolist()[n:] == want[0][n:] and lcp.tolist()[n:] == want[1][n:]
+
+
+def test_induced_sorting_of_a_large_alphabet():
+    rng = np.random.default_rng(2)
+    t = (rng.zipf(1.3, 4000) - 1) % 900
+    t = np.concatenate([t, t[:1500], t[700:900]])
+    order, lcp = inducedsort.sort_suffixes(inducedsort.Text(t.astype(np.int32), 900, 50))
+    assert (order.tolist(), lcp.tolist()) == suffixes_by_loops(t.tolist(), 50)
+
+
+def cut_by_loops(rows, width):
+    """(doc_id, text) rows without what a smaller id has, window by window."""
+    least = {}
+    known = [(math.inf if i is None else i, (t or "").encode()) for i, t in rows]
+    for i, t in known:
+        for p in range(len(t) - width + 1):
+            s = t[p : p + width]
+            least[s] = min(least.get(s, math.inf), i)
+    out = []
+    for i, t in known:
+        gone = [False] * len(t)
+        for p in range(len(t) - width + 1):
+            if least[t[p : p + width]] < i:
+                gone[p : p + width] = [True] * width
+        spans = sum(1 for p, g in enumerate(gone) if g and (p == 0 or not gone[p - 1]))
+        out.append((len(t), sum(gone), spans, hashlib.sha256(bytes(b for b, g in zip(t, gone, strict=True) if not g)).hexdigest()))
+    return out
+
+
+@pytest.mark.parametrize(("shards", "hot"), [(1, 4096), (5, 4096), (5, 6)])
+def test_suffix_dedup(spark, shards, hot):
+    rng = random.Random(17)
+    words = lambda n: " ".join("".join(rng.choice("abcdeé") for _ in range(rng.randrange(1, 7))) for _ in range(n))
+    passage, licence = words(40), words(12)
+    texts = [None, "", "short", "x" * 49, "x" * 50, "x" * 51, "x" * 400, "ab" * 300, "x" * 130 + "y", licence, licence[:49], licence[1:]]
+    texts += [words(rng.randrange(5, 60)) + (passage if k % 3 == 0 else "") + words(8) + (licence + licence if k % 4 == 0 else "") for k in range(60)]
+    base = texts[20]
+    texts += [base, base, base[:30] + "!" + base[30:], base.replace("a", "b", 1), "ü" * 60, "é" + "ü" * 60, words(6000), words(30) + passage * 3, "\0" * 120, "\0" * 60 + "a"]
+    rows = [(k * 3 % 101 - 20, t) for k, t in enumerate(texts)] + [(None, passage), (None, passage), (7, base), (7, base), (2**62, base), (-(2**63), words(50) + licence)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame([(*r, k, 1) for k, r in enumerate(rows)], "doc_id bigint, text string, row int, _chunk int").repartition(3)
+    got = {r.row: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffixdedup.remove_repeats(df, {"row": F.col("row"), "doc_id": F.col("doc_id")}, shards=shards, hot=hot, chunk_bytes=20_000).collect()}
+    want = cut_by_loops(rows, 50)
+    assert len(got) == len(rows)
+    for k, w in enumerate(want):
+        assert got[k] == w, (k, rows[k])
+    if shards == 1:
+        assert suffixdedup.remove_repeats(df.where("row < 0"), {"doc_id": F.col("doc_id")}).collect() == []
+
+
+def test_suffix_dedup_in_parts(monkeypatch):
+    """Stretches of texts longer than a part, hot anchors window by window, and shards put together by hand."""
+    monkeypatch.setattr(suffixdedup, "PART_BYTES", 300)
+    rng = random.Random(23)
+    long_ = "".join(rng.choice("ab ") for _ in range(2000)).encode()
+    texts = [long_, b"", long_[100:180], b"z" * 700, b"q" + b"z" * 60]
+    for doc, first, n, _ in suffixdedup.stretches(texts, 50):
+        assert all(f + m + 49 <= len(texts[d]) for d, f, m in zip(doc.tolist(), first.tolist(), n.tolist(), strict=True))
+    seen = sorted((d, w) for doc, first, n, _ in suffixdedup.stretches(texts, 50) for d, f, m in zip(doc.tolist(), first.tolist(), n.tolist(), strict=True) for w in range(f, f + m))
+    assert seen == [(d, w) for d, t in enumerate(texts) for w in range(len(t) - 49)]
+    distinct = sorted({texts[d][f : f + m + 49] for doc, first, n, _ in suffixdedup.stretches(texts, 50) for d, f, m in zip(doc.tolist(), first.tolist(), n.tolist(), strict=True)})
+    least = np.array([hash(x) % 1000 for x in distinct])
+    want = {}
+    for t, v in zip(distinct, least.tolist(), strict=True):
+        for p in range(len(t) - 49):
+            want[t[p : p + 50]] = min(v, want.get(t[p : p + 50], v))
+    for t, values in zip(distinct, suffixdedup.smallest_ids(distinct, least, 50), strict=True):
+        values = np.broadcast_to(values, len(t) - 49) if len(values) == 1 else values
+        assert [want[t[p : p + 50]] for p in range(len(t) - 49)] == values.tolist()
