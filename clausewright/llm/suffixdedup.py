@@ -34,7 +34,7 @@ from clausewright.llm.shared import as_bytes, file_system, new_folder, settle, w
 from clausewright.llm.wordhash import _BASE, _BASE_INV, _BYTE, _power_table, chunks, mix
 
 #: Bytes of a chunk and of the text for which there is one shard; bytes hashed at a time; most windows of a stretch.
-CHUNK_BYTES, SHARD_BYTES, PART_BYTES, LONGEST = 16 << 20, 16 << 20, 1 << 20, 64
+CHUNK_BYTES, SHARD_BYTES, PART_BYTES, LONGEST = 8 << 20, 8 << 20, 1 << 20, 64
 #: Bytes of an anchor, at most; documents from which an anchor's windows are dealt one by one.
 KMER, HOT = 28, 4096
 _NO_ID = 2**63 - 1
@@ -358,7 +358,7 @@ def _covered(texts: list[bytes], ids: np.ndarray, found: _Found, results: list[b
         a = base[found.doc[own]] + found.first[own] + offset
         np.add.at(edge, a[gone], 1)
         np.add.at(edge, (a + run + width - 1)[gone], -1)
-    return np.cumsum(edge[:-1]) > 0
+    return np.cumsum(edge[:-1], dtype=np.int32) > 0
 
 
 def _cut(texts: list[bytes], gone: np.ndarray) -> dict[str, pa.Array]:
