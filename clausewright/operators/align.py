@@ -4,19 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clausewright.functions.compare import ratio_bound, ratio_of, text_ratio
+from clausewright.operators import similarity
 from clausewright.sources import tables
 
 #: Ratios and scores from which nodes are aligned, and terms that count.
 EXACT_RATIO, HEADING_RATIO, ACCEPT, FEATURES = 0.3, 0.7, 0.5, 5000
-#: About so many nodes of a side meet in a task; larger comparisons are dealt into blocks, and every pair of blocks is compared.
-BLOCK = 1000
+#: About so many nodes of a side meet in a task.
+BLOCK = similarity.BLOCK
 _PAIR = "comparison_id string, old_node_id string, new_node_id string, confidence double, match_method string, similarity_scores map<string,double>, rank double, tie int"
 
 
@@ -111,77 +110,6 @@ def _tfidf(df: DataFrame, text: str = "normalized_text", features: int = FEATURE
     return weighted.join(norms, ["comparison_id", "side", "node_id"]).select("comparison_id", "node_id", "side", "term", (F.col("w") / F.col("norm")).alias("weight"), "_r")
 
 
-def _blocked(old: DataFrame, new: DataFrame, product: Callable[[pa.Table, pa.Table], np.ndarray], least: float, block: int, within: bool = False) -> DataFrame:
-    """(comparison_id, old_id, new_id, score) of all pairs of a comparison whose ``product`` is ``least`` or more.
-
-    Nodes are dealt into blocks by the hash of their id, and each pair of blocks is a group of its own, so a comparison
-    of any size is compared whole and never meets in one task.  ``within``: both sides are the same nodes, with numbers
-    as ids; each two of them are one pair, the smaller id is the old one.
-    """
-    key = ["comparison_id", "_o", "_n"]
-    new = new.select(*[F.col(c).alias(c) for c in new.columns])  # both sides may come from one table
-    sizes = lambda df, c: df.groupBy("comparison_id").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias(c))
-    k = sizes(old, "_ok").join(sizes(new, "_nk"), "comparison_id")
-    own = lambda c: F.pmod(F.xxhash64("node_id"), F.col(c)).cast("int")
-    renamed = lambda df: df.select(*[F.col(c).alias(c) for c in df.columns if c not in ("_ok", "_nk")])
-    o = old.join(k, "comparison_id").withColumn("_o", own("_ok")).withColumn("_n", F.explode(F.sequence(F.col("_o") if within else F.lit(0), F.col("_nk") - 1)))
-    n = new.join(k, "comparison_id").withColumn("_n", own("_nk")).withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_n") if within else F.col("_ok") - 1)))
-
-    def pairs(a: pa.Table, b: pa.Table) -> pa.Table:
-        if not (len(a) and len(b)):
-            return pa.table({"comparison_id": pa.array([], pa.string()), "old_id": a["node_id"].slice(0, 0), "new_id": b["node_id"].slice(0, 0), "score": pa.array([], pa.float64())})
-        score = product(a, b)
-        fits = score >= least
-        if within and a["_o"][0].as_py() == a["_n"][0].as_py():
-            fits &= a["node_id"].to_numpy()[:, None] < b["node_id"].to_numpy()[None, :]
-        i, j = np.nonzero(fits)
-        return pa.table({"comparison_id": a["comparison_id"].take(pa.array(np.zeros(len(i), np.int64))), "old_id": a["node_id"].take(pa.array(i)), "new_id": b["node_id"].take(pa.array(j)), "score": pa.array(score[i, j])})
-
-    kind = old.schema["node_id"].dataType.simpleString()
-    got = renamed(o).groupBy(*key).cogroup(renamed(n).groupBy(*key)).applyInArrow(pairs, f"comparison_id string, old_id {kind}, new_id {kind}, score double")
-    return got.select("comparison_id", F.least("old_id", "new_id").alias("old_id"), F.greatest("old_id", "new_id").alias("new_id"), "score") if within else got
-
-
-def _flat(t: pa.Table, column: str) -> tuple[np.ndarray, np.ndarray]:
-    """Row numbers and values of a column of arrays."""
-    c = t[column].combine_chunks()
-    c = c.chunk(0) if isinstance(c, pa.ChunkedArray) else c
-    return np.repeat(np.arange(len(c)), c.value_lengths().to_numpy(zero_copy_only=False)), c.flatten().to_numpy(zero_copy_only=False)
-
-
-def _cosines(a: pa.Table, b: pa.Table) -> np.ndarray:
-    """Products of sparse vectors, over the terms that both blocks have."""
-    both = np.intersect1d(_flat(a, "_at")[1], _flat(b, "_at")[1])
-
-    def dense(t: pa.Table) -> np.ndarray:
-        (row, at), (_, w) = _flat(t, "_at"), _flat(t, "_w")
-        known = np.isin(at, both)
-        out = np.zeros((len(t), len(both)))
-        out[row[known], np.searchsorted(both, at[known])] = w[known]
-        return out
-
-    return dense(a) @ dense(b).T
-
-
-def _dots(a: pa.Table, b: pa.Table) -> np.ndarray:
-    """Products of dense vectors, summed element after element; NaN where lengths differ."""
-    lengths = [t["embedding"].combine_chunks().value_lengths().to_numpy(zero_copy_only=False) for t in (a, b)]
-    width = max(x.max() for x in lengths)
-
-    def dense(t: pa.Table, n: np.ndarray) -> np.ndarray:
-        row, v = _flat(t, "embedding")
-        out = np.zeros((width, len(t)))
-        out[np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n), row] = v
-        return out
-
-    x, y = dense(a, lengths[0]), dense(b, lengths[1])
-    out = np.zeros((len(a), len(b)))
-    for p, q in zip(x, y, strict=True):
-        out += p[:, None] * q[None, :]
-    out[lengths[0][:, None] != lengths[1][None, :]] = np.nan
-    return out
-
-
 def _vectors(weights: DataFrame) -> DataFrame:
     """A row per node of _tfidf's rows: the places of its terms, and their weights."""
     packed = weights.groupBy("comparison_id", "node_id", "side").agg(F.collect_list(F.struct("_r", "weight")).alias("_s"))
@@ -194,7 +122,8 @@ def lexical_scores(old: DataFrame, new: DataFrame, least: float = ACCEPT, stop_w
     cols = ["comparison_id", "node_id", "normalized_text"]
     both = old.where(long_).select(*cols, F.lit("old").alias("side")).unionByName(new.where(long_).select(*cols, F.lit("new").alias("side")))
     v = _vectors(_tfidf(both, stop_words=stop_words))
-    return _blocked(v.where("side = 'old'"), v.where("side = 'new'"), _cosines, least, block)
+    v = v.select("comparison_id", "node_id", "side", "_at", "_w")
+    return similarity.sparse_join(v.where("side = 'old'").drop("side"), v.where("side = 'new'").drop("side"), least, block)
 
 
 def distinct_texts(nodes: DataFrame) -> DataFrame:
@@ -213,19 +142,22 @@ def lexical_links(nodes: DataFrame, least: float = ACCEPT, stop_words: list[str]
     long_ = nodes.where(F.length("normalized_text") > 20)
     reps = distinct_texts(long_).where("node_id = rep").select("comparison_id", "node_id")
     v = _vectors(_tfidf(long_, stop_words=stop_words).join(reps, ["comparison_id", "node_id"], "left_semi")).drop("side")
-    return _blocked(v, v, _cosines, least, block, within=True)
+    return similarity.sparse_join(v, v, least, block, within=True)
 
 
 def semantic_scores(old: DataFrame, new: DataFrame, least: float = ACCEPT, block: int = BLOCK) -> DataFrame:
     """(comparison_id, old_id, new_id, score) of unit vectors in ``embedding`` whose product is ``least`` or more."""
-    side = lambda df: df.where("embedding IS NOT NULL").select("comparison_id", "node_id", F.col("embedding").cast("array<double>").alias("embedding"))
-    return _blocked(side(old), side(new), _dots, least, block)
+    return similarity.dense_join(old, new, least, block)
+
+
+def semantic_top(old: DataFrame, new: DataFrame, k: int = 3, least: float = ACCEPT, block: int = BLOCK) -> DataFrame:
+    """As semantic_scores, the ``k`` best new nodes of each old node with their rank; all pairs are never formed."""
+    return similarity.dense_top(old, new, k, least, block)
 
 
 def top_matches(scores: DataFrame, k: int = 3) -> DataFrame:
     """The ``k`` best new nodes of each old node."""
-    rank = F.row_number().over(Window.partitionBy("comparison_id", "old_id").orderBy(F.desc("score"), "new_id"))
-    return scores.withColumn("rank", rank).where(F.col("rank") <= k)
+    return similarity.top(scores, k)
 
 
 def greedy(scores: DataFrame, old_order: str = "old_id", new_order: str = "new_id", settle: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
