@@ -16,6 +16,8 @@ from clausewright.sources import tables
 EXACT_RATIO, HEADING_RATIO, ACCEPT, FEATURES = 0.3, 0.7, 0.5, 5000
 #: About so many nodes of a side meet in a task.
 BLOCK = similarity.BLOCK
+#: Most pairs, or headings of a side, of a comparison that one task matches; larger ones are matched over tables.
+GROUP = 50_000
 _PAIR = "comparison_id string, old_node_id string, new_node_id string, confidence double, match_method string, similarity_scores map<string,double>, rank double, tie int"
 
 
@@ -177,6 +179,17 @@ def greedy(scores: DataFrame, old_order: str = "old_id", new_order: str = "new_i
     return taken if taken is not None else left
 
 
+def greedy_match(scores: DataFrame, most: int = GROUP) -> DataFrame:
+    """As greedy by ``old_order`` and ``new_order``: comparisons of at most ``most`` pairs by a scan each, others by the loop over tables."""
+    scores = tables.settle(scores)
+    n = scores.groupBy("comparison_id").count().where(F.col("count") > most).select("comparison_id")
+    if n.isEmpty():
+        return greedy_grouped(scores)
+    n = tables.settle(n)
+    large = greedy(scores.join(n, "comparison_id", "left_semi"), "old_order", "new_order")
+    return greedy_grouped(scores.join(n, "comparison_id", "left_anti")).unionByName(large.select(*scores.columns))
+
+
 def greedy_grouped(scores: DataFrame) -> DataFrame:
     """As greedy, by a scan in one group per comparison; for comparisons of document size."""
 
@@ -221,9 +234,9 @@ def align(old: DataFrame, new: DataFrame, embed: Callable[[DataFrame], DataFrame
 
     add(exact_layer(old, new), 0)
     add(structural_layer(old, new), 1)
-    add(_as_pairs(greedy_grouped(with_order(lexical_scores(old, new))), "lexical", "tfidf_similarity"), 2)
+    add(_as_pairs(greedy_match(with_order(lexical_scores(old, new))), "lexical", "tfidf_similarity"), 2)
     if embed:
-        add(_as_pairs(greedy_grouped(with_order(semantic_scores(embed(old), embed(new)))), "semantic", "semantic_similarity"), 3)
+        add(_as_pairs(greedy_match(with_order(semantic_scores(embed(old), embed(new)))), "semantic", "semantic_similarity"), 3)
     none = F.lit(None).cast("string")
     empty = F.create_map().cast("map<string,double>")
     rest = lambda df, kind, o, n, k: df.select("comparison_id", o.alias("old_node_id"), n.alias("new_node_id"), F.lit(0.9).alias("confidence"), F.lit("unmatched").alias("match_method"), empty.alias("similarity_scores"), F.col("order").cast("double").alias("rank"), F.lit(0).alias("tie"), F.lit(k).alias("layer"), F.lit(kind).alias("alignment_type"))
