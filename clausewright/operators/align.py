@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clausewright.functions.compare import ratio_bound, ratio_of, text_ratio
+from clausewright.functions.scores import once
 from clausewright.operators import similarity
 from clausewright.sources import tables
 
@@ -86,10 +87,9 @@ def structural_layer(old: DataFrame, new: DataFrame) -> DataFrame:
 
 def terms(text: Column, stop_words: list[str]) -> Column:
     """Words of two letters or more that aren't stop words, and pairs of neighbours among them."""
-    stop = F.array(*map(F.lit, stop_words)).cast("array<string>")
-    words = F.filter(F.regexp_extract_all(F.lower(text), F.lit(r"(?U)(\b\w\w+\b)"), F.lit(1)), lambda w: ~F.array_contains(stop, w))
-    pairs = F.zip_with(F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))), F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))
-    return F.concat(words, pairs)
+    words = F.filter(F.regexp_extract_all(F.lower(text), F.lit(r"(?U)(\b\w\w+\b)"), F.lit(1)), lambda w: ~w.isin(stop_words))
+    rest = lambda w: F.greatest(F.size(w) - 1, F.lit(0))
+    return once(words, lambda w: F.concat(w, F.zip_with(F.slice(w, 1, rest(w)), F.slice(w, 2, rest(w)), lambda a, b: F.concat_ws(" ", a, b))))
 
 
 def tfidf(df: DataFrame, text: str = "normalized_text", features: int = FEATURES, stop_words: list[str] | None = None) -> DataFrame:
