@@ -102,19 +102,63 @@ def _found(text: str, patterns: list[str], kind: str) -> list[dict]:
     return out
 
 
+class _Context:
+    """The words around a number, prepared for many comparisons."""
+
+    def __init__(self, text: str):
+        self.text, self.letters = text, Counter(text)
+        self.matcher: SequenceMatcher | None = None
+
+    def bound(self, other: _Context) -> float:
+        """At least the ratio of ``self`` to ``other``."""
+        total = len(self.text) + len(other.text)
+        return 2 * (self.letters & other.letters).total() / total if total else 1.0
+
+    def against(self, other: _Context) -> SequenceMatcher:
+        """A matcher of ``self`` to ``other``, whose index of places is made once."""
+        if other.matcher is None:
+            other.matcher = SequenceMatcher(None, "", other.text)
+        other.matcher.set_seq1(self.text)
+        return other.matcher
+
+
+def closest(x: _Context, others: list[tuple[int, _Context]], least: float = 0.3) -> int | None:
+    """The number of the one whose ratio to ``x`` is largest, the first among equals; None if no ratio is above ``least``.
+
+    Those come first whose letters could give the largest ratio, and the search ends when the others' can't.  The only one left just has to
+    be above ``least``, which its longest common part alone may show.
+    """
+    bounds = sorted((-x.bound(y), j, y) for j, y in others) if len(others) > 1 else [(-x.bound(y), j, y) for j, y in others]
+    if len(bounds) == 1:
+        bound, j, y = bounds[0]
+        if -bound <= least:
+            return None
+        m, total = x.against(y), len(x.text) + len(y.text)
+        if total and 2 * m.find_longest_match(0, len(x.text), 0, len(y.text)).size / total > least:
+            return j
+        return j if m.ratio() > least else None
+    best, at = least, None
+    for bound, j, y in bounds:
+        if -bound < best or (at is None and -bound <= best) or (-bound == best and at is not None and j > at):
+            break
+        ratio = x.against(y).ratio()
+        if ratio > best or (ratio == best and at is not None and j < at):
+            best, at = ratio, j
+    return at
+
+
 def number_matches_of(old: str | None, new: str | None) -> list[dict]:
     """Amounts, percentages and durations of equal unit and most similar context whose values differ."""
     out = []
     for kind, patterns in (("monetary", lexicon.MONEY), ("percentage", lexicon.PERCENT), ("duration", lexicon.DURATION)):
-        before, after = _found(old or "", patterns, kind), _found(new or "", patterns, kind)
-        free = list(range(len(after)))
+        before = _found(old or "", patterns, kind)
+        after = _found(new or "", patterns, kind) if before else []
+        free = {j: (y, _Context(y["near"])) for j, y in enumerate(after)}
         for x in before:
-            scored = [(SequenceMatcher(None, x["near"], after[j]["near"]).ratio(), -j) for j in free if after[j]["unit"] == x["unit"]]
-            best = max(scored, default=(0.0, 0))
-            if best[0] <= 0.3:
+            at = closest(_Context(x["near"]), [(j, c) for j, (y, c) in free.items() if y["unit"] == x["unit"]])
+            if at is None:
                 continue
-            y = after[-best[1]]
-            free.remove(-best[1])
+            y, _ = free.pop(at)
             if x["value"] != y["value"]:
                 out.append({"field": kind, "old_value": x["text"], "new_value": y["text"], "old_numeric": x["value"], "new_numeric": y["value"], "unit": x["unit"]})
     return out

@@ -12,8 +12,8 @@ from clausewright.functions import compare as D
 from clausewright.functions import extract as E
 from clausewright.functions import scores as S
 from clausewright.operators import align as A
-from clausewright.operators import structure
-from clausewright.sources.tables import settle
+from clausewright.operators import reports, structure
+from clausewright.sources.tables import settle, spread
 
 
 def reference(prefix: str) -> Column:
@@ -34,7 +34,7 @@ def classify(alignments: DataFrame, nodes: DataFrame) -> DataFrame:
     both = alignments.join(n.select(F.col("_id").alias("old_node_id"), F.col("_n").alias("o")), "old_node_id", "left").join(n.select(F.col("_id").alias("new_node_id"), F.col("_n").alias("w")), "new_node_id", "left")
     paired = F.col("alignment_type") == "ONE_TO_ONE"
     both = both.where(~paired | ~F.col("o.normalized_text").eqNullSafe(F.col("w.normalized_text"))).where(~paired | ~F.col("o.text").eqNullSafe(F.col("w.text")))
-    pairs, single = both.where(paired), both.where(~paired)
+    pairs, single = spread(both.where(paired)), both.where(~paired)
     old, new = F.col("o.text"), F.col("w.text")
     pairs = pairs.withColumn("_compared", D.compared(old, new)).withColumn("diff", F.col("_compared.diff"))
     pairs = pairs.withColumn("numerical_changes", F.concat(D.with_direction(F.col("_compared.matches")), E.date_changes(old, new))).withColumn("_ob", E.obligation_change(old, new))
@@ -88,10 +88,21 @@ def classify(alignments: DataFrame, nodes: DataFrame) -> DataFrame:
     return number(out).select("change_id", *[c for c in out.columns if c not in ("layer", "rank", "tie")])
 
 
-def number(df: DataFrame) -> DataFrame:
-    """CHG-0001 and so on within each comparison, in report order."""
-    w = Window.partitionBy("comparison_id").orderBy("layer", "rank", "tie", "old_node_id", "new_node_id")
-    return df.withColumn("change_id", F.format_string("CHG-%04d", F.row_number().over(w)))
+def number(df: DataFrame, tasks: int | None = None) -> DataFrame:
+    """CHG-0001 and so on within each comparison, in report order.
+
+    Rows are ranged over ``tasks`` by comparison and order and sorted in each; a row's number is its place in its task and comparison
+    plus the rows of the comparison in the tasks before, so a comparison of any size is spread.
+    """
+    order = ["comparison_id", "layer", "rank", "tie", "old_node_id", "new_node_id"]
+    tasks = tasks or max(df.sparkSession.sparkContext.defaultParallelism, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    placed = settle(settle(df).repartitionByRange(tasks, *order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()))
+    part = F.shiftright("_at", 33).alias("_part")
+    before = Window.partitionBy("comparison_id").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = placed.groupBy("comparison_id", part).agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    starts = starts.select(F.col("comparison_id").alias("_c"), "_part", (F.col("_first") - F.coalesce(F.sum("_n").over(before), F.lit(0))).alias("_zero"))
+    found = placed.withColumn("_p", part).join(starts, F.col("comparison_id").eqNullSafe(F.col("_c")) & (F.col("_p") == F.col("_part")))
+    return found.withColumn("change_id", F.format_string("CHG-%04d", F.col("_at") - F.col("_zero") + 1)).drop("_at", "_c", "_p", "_part", "_zero")
 
 
 def compare(old_pages: DataFrame, new_pages: DataFrame, comparisons: DataFrame, embed: Callable[[DataFrame], DataFrame] | None = None, compose: bool = True, progress: Callable[[str, float], None] = lambda stage, percent: None) -> DataFrame:
@@ -100,9 +111,8 @@ def compare(old_pages: DataFrame, new_pages: DataFrame, comparisons: DataFrame,
     ``progress`` is told each stage as it begins.
     Unknown documents are an error, as they can only give wrong ADDED or REMOVED rows.
     """
-    known = old_pages.select("document_id").union(new_pages.select("document_id")).distinct()
-    asked = comparisons.select(F.explode(F.array("old_document_id", "new_document_id")).alias("document_id")).distinct()
-    missing = asked.join(known, "document_id", "left_anti").limit(5).collect()
+    asked = comparisons.select(F.explode(F.array("old_document_id", "new_document_id")).alias("document_id"))
+    missing = reports.missing_keys(asked, old_pages.select("document_id").union(new_pages.select("document_id")), "document_id").limit(5).collect()
     if missing:
         raise ValueError(f"unknown documents: {[r.document_id for r in missing]}")
     progress("parsing", 15.0)

@@ -62,7 +62,7 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of one section whose texts differ, as o_ and n_ columns."""
     o = old_clauses(spark, sf_dir).select("k", "c", *[F.col(x).alias(f"o_{x}") for x in _NAMED])
     n = new_clauses(spark, sf_dir).select(*[F.col(x).alias(f"n_{x}") for x in _NAMED])
-    return o.join(n, F.col("o_section") == F.col("n_section")).where("o_text <> n_text")
+    return tables.spread(o.join(n, F.col("o_section") == F.col("n_section")).where("o_text <> n_text"))
 
 
 #: By clause: what its nodes have besides the text, and how its sides are aligned.

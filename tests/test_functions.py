@@ -127,3 +127,19 @@ def test_block_rules(spark):
     assert kind(spark, "General", size=12.0) == ("section", "", "General")
     assert kind(spark, "General", bold=True) == ("paragraph", "", "")
     assert kind(spark, "1.1. Title") == ("paragraph", "", "")
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text("ab 1", min_size=0, max_size=30), st.lists(st.text("ab 1", min_size=0, max_size=30), max_size=6))
+def test_closest_context_is_the_largest_ratio(x, others):
+    """Bounds leave out no context that a full search would choose, also among equals and at the threshold."""
+    scored = [(difflib.SequenceMatcher(None, x, y).ratio(), -j) for j, y in enumerate(others)]
+    best = max(scored, default=(0.0, 0))
+    want = -best[1] if best[0] > 0.3 else None
+    assert compare.closest(compare._Context(x), [(j, compare._Context(y)) for j, y in enumerate(others)]) == want
+    assert compare.closest(compare._Context(x * 12), [(j, compare._Context(y * 12)) for j, y in enumerate(others)]) == _full(x * 12, [y * 12 for y in others])
+
+
+def _full(x, others):
+    best = max(((difflib.SequenceMatcher(None, x, y).ratio(), -j) for j, y in enumerate(others)), default=(0.0, 0))
+    return -best[1] if best[0] > 0.3 else None

@@ -189,3 +189,15 @@ def test_folders_are_cleared(spark):
     tables.new_folder(spark, "never made")
     assert spark.read.parquet(folder).count() == 3 and tables.clear_folders(spark) == 1
     assert not list(Path(folder.removeprefix("file:")).parent.glob("kept-*"))
+
+
+def test_numbers_do_not_depend_on_tasks(spark):
+    """One comparison over many tasks has the numbers that a scan gives; so have small and nameless ones beside it."""
+    rng = random.Random(31)
+    rows = [(c, rng.randrange(4), round(rng.random(), 2), rng.randrange(3), rng.choice([None, f"o{k}"]), f"n{k}") for c, n in (("large", 3000), ("small", 2), (None, 5)) for k in range(n)]
+    df = spark.createDataFrame(rows, "comparison_id string, layer int, rank double, tie int, old_node_id string, new_node_id string")
+    got = {r.new_node_id + str(r.comparison_id): int(r.change_id[4:]) for r in CH.number(df.repartition(9), 64).collect()}
+    for c in ("large", "small", None):
+        own = sorted((r for r in rows if r[0] == c), key=lambda r: (*r[1:4], r[4] or "", r[5]))
+        assert [got[r[5] + str(c)] for r in own] == list(range(1, len(own) + 1))
+    assert len(got) == len(rows) and CH.number(df.where("layer > 9")).collect() == []
