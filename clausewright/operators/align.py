@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -61,9 +63,25 @@ def exact_layer(old: DataFrame, new: DataFrame) -> DataFrame:
     return both.select("comparison_id", F.col("old_id").alias("old_node_id"), F.col("new_id").alias("new_node_id"), F.least(F.lit(1.0), 0.5 + 0.5 * F.col("sim")).alias("confidence"), F.lit("exact").alias("match_method"), scores.alias("similarity_scores"), F.col("old_order").cast("double").alias("rank"), F.lit(0).alias("tie"))
 
 
-def structural_layer(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Pairs of similar headings; each old node in order takes the best new one that is left."""
+def structural_layer(old: DataFrame, new: DataFrame, most: int = GROUP) -> DataFrame:
+    """Pairs of similar headings; each old node in order takes the best new one that is left.
 
+    Comparisons of at most ``most`` pairs of headings are matched by a scan each.  Larger ones get candidates from an index of
+    headings, and are matched in rounds over tables.
+    """
+    cols = ["comparison_id", "node_id", "order", "heading", "normalized_text"]
+    o, n = old.where("heading <> ''").select(*cols), similarity.renamed(new.where("heading <> ''").select(*cols))
+    size = lambda df, c: df.groupBy("comparison_id").agg(F.count(F.lit(1)).alias(c))
+    large = tables.settle(size(o, "_o").join(size(n, "_n"), "comparison_id").where(F.col("_o") * F.col("_n") > most).select("comparison_id"))
+    if large.isEmpty():
+        return _structural_scan(o, n)
+    of = lambda df, how: similarity.renamed(df.join(large, "comparison_id", how))
+    taken = in_turn(heading_scores(of(o, "left_semi"), of(n, "left_semi")))
+    pairs = taken.select("comparison_id", F.col("old_id").alias("old_node_id"), F.col("new_id").alias("new_node_id"), F.col("score").alias("confidence"), F.lit("structural").alias("match_method"), F.create_map(F.lit("structural_score"), F.col("score")).alias("similarity_scores"), F.col("old_order").cast("double").alias("rank"), F.lit(0).alias("tie"))
+    return _structural_scan(of(o, "left_anti"), of(n, "left_anti")).unionByName(pairs)
+
+
+def _structural_scan(o: DataFrame, n: DataFrame) -> DataFrame:
     def search(o: pd.DataFrame, n: pd.DataFrame) -> pd.DataFrame:
         out, free = [], list(n.sort_values(["order", "node_id"]).itertuples())
         for a in o.sort_values(["order", "node_id"]).itertuples():
@@ -80,11 +98,74 @@ def structural_layer(old: DataFrame, new: DataFrame) -> DataFrame:
                 out.append((a.comparison_id, a.node_id, free.pop(at).node_id, best, "structural", {"structural_score": best}, float(a.order), 0))
         return pd.DataFrame(out, columns=[c.split()[0] for c in _PAIR.split(", ")])
 
-    cols = ["comparison_id", "node_id", "order", "heading", "normalized_text"]
-    o, n = old.where("heading <> ''").select(*cols), new.where("heading <> ''").select(*cols)
     return o.groupBy("comparison_id").cogroup(n.groupBy("comparison_id")).applyInPandas(search, _PAIR)
 
 
+def heading_pairs(old: DataFrame, new: DataFrame, least: float = HEADING_RATIO, block: int = BLOCK) -> DataFrame:
+    """(comparison_id, a, b) of distinct headings in lower case whose letters allow a ratio of ``least``.
+
+    A ratio of r needs lengths within (2 - r) / r of each other, so headings meet only those of their own and the next band of
+    lengths, in blocks; there their letters are counted into a few cells, whose common counts bound what can match.
+    """
+    base = np.log((2 - least) / least) + 1e-9
+    band = F.floor(F.log(F.length("h")) / F.lit(float(base))).cast("int")
+    distinct = lambda df: df.select("comparison_id", F.lower("heading").alias("h")).distinct().withColumn("_b", band)
+    o, n = tables.settle(distinct(old)), tables.settle(similarity.renamed(distinct(new)))
+    sizes = lambda df, c: df.groupBy("comparison_id", "_b").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias(c))
+    near = lambda df: df.withColumn("_b", F.explode(F.array(F.col("_b") - 1, F.col("_b"), F.col("_b") + 1)))
+    key = ["comparison_id", "_b", "_o", "_n"]
+    k = sizes(o, "_ok").join(sizes(near(n), "_nk"), ["comparison_id", "_b"])
+    own = lambda c: F.pmod(F.xxhash64("h"), F.col(c)).cast("int")
+    every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    o = o.join(k, ["comparison_id", "_b"]).withColumn("_o", own("_ok")).withColumn("_n", every("_nk")).select(*key, "h")
+    n = similarity.renamed(near(n).join(similarity.renamed(k), ["comparison_id", "_b"]).withColumn("_n", own("_nk")).withColumn("_o", every("_ok")).select(*key, "h"))
+
+    def meet(a: pa.Table, b: pa.Table) -> pa.Table:
+        x, y = a["h"].to_pylist(), b["h"].to_pylist()
+        p, q = np.zeros((len(x), 64), np.int16), np.zeros((len(y), 64), np.int16)
+        for counts, texts in ((p, x), (q, y)):
+            for i, t in enumerate(texts):
+                np.add.at(counts[i], np.fromiter((ord(c) * 40503 % 65521 % 64 for c in t), np.int64, len(t)), 1)
+        common = np.zeros((len(x), len(y)), np.int32)
+        for cell in range(64):
+            if p[:, cell].any() and q[:, cell].any():
+                common += np.minimum(p[:, cell][:, None], q[:, cell][None, :])
+        total = np.array([len(t) for t in x])[:, None] + np.array([len(t) for t in y])[None, :] if x and y else common
+        i, j = np.nonzero(2 * common >= (least - 1e-9) * total)
+        first = a["comparison_id"].slice(0, 1).to_pylist() or [None]
+        return pa.table({"comparison_id": pa.array(first * len(i), pa.string()), "a": pa.array([x[k] for k in i], pa.string()), "b": pa.array([y[k] for k in j], pa.string())})
+
+    return o.groupBy(*key).cogroup(n.groupBy(*key)).applyInArrow(meet, "comparison_id string, a string, b string")
+
+
+def heading_scores(old: DataFrame, new: DataFrame) -> DataFrame:
+    """(comparison_id, old_id, new_id, old_order, new_order, score) of nodes whose headings are similar and whose score is accepted."""
+    h = tables.spread(heading_pairs(old, new)).withColumn("h", text_ratio("a", "b")).where(F.col("h") >= HEADING_RATIO)
+    h = tables.settle(h)
+    side = lambda df, c, p: similarity.renamed(df.select("comparison_id", F.lower("heading").alias(c), F.col("node_id").alias(f"{p}_id"), F.col("order").alias(f"{p}_order"), F.col("normalized_text").alias(f"{p}_text")))
+    both = tables.spread(h.join(side(old, "a", "old"), ["comparison_id", "a"]).join(side(new, "b", "new"), ["comparison_id", "b"]))
+    scored = both.withColumn("score", 0.6 * F.col("h") + 0.4 * text_ratio("old_text", "new_text")).where(F.col("score") >= ACCEPT)
+    return tables.settle(scored.select("comparison_id", "old_id", "new_id", "old_order", "new_order", "score"))
+
+
+def in_turn(scores: DataFrame) -> DataFrame:
+    """One-to-one pairs: each old node, in its order, takes the best new one that is left, the first in order among equals.
+
+    In rounds over the table: an old node takes its best one as soon as no earlier old node that is left has a score with it.  Each round
+    settles at least the first old node of each comparison.
+    """
+    left, taken = scores, None
+    turn = F.struct("old_order", "old_id")
+    while not left.isEmpty():
+        best = Window.partitionBy("comparison_id", "old_id").orderBy(F.desc("score"), "new_order", "new_id")
+        ranked = left.withColumn("_r", F.row_number().over(best)).withColumn("_first", F.min(turn).over(Window.partitionBy("comparison_id", "new_id")))
+        now = tables.settle(ranked.where((F.col("_r") == 1) & (F.col("_first") == turn)).drop("_r", "_first"))
+        taken = now if taken is None else taken.unionByName(now)
+        gone = lambda c: similarity.renamed(now.select("comparison_id", c))
+        left = tables.settle(left.join(gone("old_id"), ["comparison_id", "old_id"], "left_anti").join(gone("new_id"), ["comparison_id", "new_id"], "left_anti"))
+    return scores if taken is None else taken
+
+
 def terms(text: Column, stop_words: list[str]) -> Column:
     """Words of two letters or more that aren't stop words, and pairs of neighbours among them."""
     words = F.filter(F.regexp_extract_all(F.lower(text), F.lit(r"(?U)(\b\w\w+\b)"), F.lit(1)), lambda w: ~w.isin(stop_words))

@@ -201,3 +201,64 @@ def test_numbers_do_not_depend_on_tasks(spark):
         own = sorted((r for r in rows if r[0] == c), key=lambda r: (*r[1:4], r[4] or "", r[5]))
         assert [got[r[5] + str(c)] for r in own] == list(range(1, len(own) + 1))
     assert len(got) == len(rows) and CH.number(df.where("layer > 9")).collect() == []
+
+
+def first_fit_by_loops(old, new):
+    """Old nodes in order take the first new one, in order, of their section whose text is like theirs."""
+    from clausewright.functions.compare import ratio_of
+
+    free, out = sorted((r for r in new if r[2]), key=lambda r: (r[5], r[1])), set()
+    for a in sorted((r for r in old if r[2]), key=lambda r: (r[5], r[1])):
+        for b in free:
+            if b[2] == a[2] and ratio_of(a[4], b[4]) >= 0.3:
+                out.add((a[1], b[1]))
+                free.remove(b)
+                break
+    return out
+
+
+def structural_by_loops(old, new):
+    """Old nodes in order take the best new one that is left by heading and text, the first in order among equals."""
+    from clausewright.functions.compare import ratio_of
+
+    free, out = sorted((r for r in new if r[3]), key=lambda r: (r[5], r[1])), set()
+    for a in sorted((r for r in old if r[3]), key=lambda r: (r[5], r[1])):
+        scored = [(0.6 * h + 0.4 * ratio_of(a[4], b[4]), -k) for k, b in enumerate(free) if (h := ratio_of(a[3].lower(), b[3].lower())) >= 0.7]
+        score, k = max(scored, default=(0.0, 0))
+        if score >= 0.5:
+            out.add((a[1], free.pop(-k)[1]))
+    return out
+
+
+def test_repeated_sections_and_headings_are_the_sequential_scans(spark):
+    """Labels such as (a) that repeat, and headings that compete, against loops: by a scan for each comparison and in rounds over tables."""
+    rng = random.Random(41)
+    words = ["returns", "audit", "capital", "Audit", "report", "ing", "s", "of", "branch", "deposit"]
+    some = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    rows = {}
+    for side in "ON":
+        rows[side] = [(c, f"{c}{side}{k}", rng.choice(["", "(a)", "(b)", "1.1", f"9.{k}"]), some(rng.randrange(1, 4)) if rng.random() < 0.7 else "", some(rng.randrange(1, 7)), rng.randrange(60)) for c in ("X", "Y", "Z") for k in range(40)]
+    schema = "comparison_id string, node_id string, section_number string, heading string, normalized_text string, order int"
+    old, new = (spark.createDataFrame(rows[s], schema).repartition(5) for s in "ON")
+    per = lambda f: set().union(*(f([r for r in rows["O"] if r[0] == c], [r for r in rows["N"] if r[0] == c]) for c in ("X", "Y", "Z")))
+    taken = lambda df: {(r.old_node_id, r.new_node_id) for r in df.collect()}
+    assert taken(A.exact_layer(old, new)) == per(first_fit_by_loops)
+    want = per(structural_by_loops)
+    assert len(want) > 30
+    for most in (10_000, 0):
+        assert taken(A.structural_layer(old, new, most)) == want
+    many = A.heading_pairs(old, new, block=7).collect()
+    assert len(many) == len({tuple(r) for r in many})
+
+
+@settings(max_examples=8, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 7), st.integers(0, 7), st.integers(1, 4)), max_size=30, unique_by=lambda r: r[:2]))
+def test_in_turn_is_the_scan(spark, scores):
+    df = spark.createDataFrame([("c", f"o{a}", f"n{b}", a, b, s / 4) for a, b, s in scores], "comparison_id string, old_id string, new_id string, old_order int, new_order int, score double")
+    want, used = set(), set()
+    for a in sorted({x[0] for x in scores}):
+        best = max(((s, -b) for x, b, s in scores if x == a and b not in used), default=None)
+        if best:
+            used.add(-best[1])
+            want.add((f"o{a}", f"n{-best[1]}"))
+    assert {(r.old_id, r.new_id) for r in A.in_turn(df).collect()} == want
