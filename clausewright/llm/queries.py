@@ -79,14 +79,14 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page's host, path, rule and verdict.
 
-    The document that a page shows is the number in its path.  A page's outcome is bad if that document's quality label is 0
-    or its url has a spam word, good if the label is 1; other pages have none.
+    The document that a page shows is the number in its path, and that document's labels are the page's outcome; pages of
+    documents without labels have none.
     """
     pages = _table(spark, sf_dir, "pages")
     shown = F.regexp_extract("url", r"://[^/?#]*/[^/?#]*/(\d{1,18})", 1).try_cast("bigint")
-    labels = _table(spark, sf_dir, "labels").select("doc_id", "quality")
+    labels = _table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic")
     outcomes = pages.select(shown.alias("doc_id"), "url").join(labels, "doc_id", "left")
-    outcomes = outcomes.select(urlfilter.host_of(F.col("url")).alias("host"), urlfilter.outcome(F.col("url"), F.col("quality")).alias("bad"))
+    outcomes = outcomes.select(urlfilter.host_of(F.col("url")).alias("host"), urlfilter.outcome(F.col("quality"), F.col("toxic")).alias("bad"))
     return urlfilter.judge(pages, outcomes, {"page_id": F.col("page_id")})
 
 
@@ -142,12 +142,12 @@ _URL_FILTER = f"""
                        'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
                    coalesce(regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's'), '') AS path FROM pages),
         o AS (
-            SELECT host, CASE WHEN regexp_matches(host || lower(path), '(^|[^a-z])({'|'.join(urlfilter.SPAM_WORDS)})([^a-z]|$)') OR l.quality = 0 THEN 1.0::DOUBLE WHEN l.quality = 1 THEN 0.0 END AS bad
+            SELECT regexp_replace(host, '^.*@|:\\d*$', '', 'g') AS host, CASE WHEN l.quality = 0 OR l.toxic = 1 THEN 1.0::DOUBLE WHEN l.quality = 1 THEN 0.0 END AS bad
             FROM p LEFT JOIN labels l ON l.doc_id = try_cast(regexp_extract(url, '://[^/?#]*/[^/?#]*/(\\d{{1,18}})', 1) AS BIGINT)),
         h AS (
-            SELECT host, n, bad, CASE WHEN two IN ({', '.join(f"'{x}'" for x in urlfilter.SUFFIXES)}) THEN two ELSE split_part(host, '.', -1) END AS suffix,
-                   array_to_string(string_split(host, '.')[CASE WHEN two IN ({', '.join(f"'{x}'" for x in urlfilter.SUFFIXES)}) THEN -3 ELSE -2 END:], '.') AS domain
-            FROM (SELECT host, count(bad)::DOUBLE AS n, coalesce(sum(bad), 0) AS bad, array_to_string(string_split(host, '.')[-2:], '.') AS two FROM o WHERE host <> '' GROUP BY host)),
+            SELECT host, n, bad, CASE WHEN address THEN host WHEN two IN ({', '.join(f"'{x}'" for x in urlfilter.SUFFIXES)}) THEN two ELSE split_part(host, '.', -1) END AS suffix,
+                   CASE WHEN address THEN host ELSE array_to_string(string_split(host, '.')[CASE WHEN two IN ({', '.join(f"'{x}'" for x in urlfilter.SUFFIXES)}) THEN -3 ELSE -2 END:], '.') END AS domain
+            FROM (SELECT host, count(bad)::DOUBLE AS n, coalesce(sum(bad), 0) AS bad, array_to_string(string_split(host, '.')[-2:], '.') AS two, regexp_matches(host, '^\\d{{1,3}}(\\.\\d{{1,3}}){{3}}$|^\\[') AS address FROM o WHERE host <> '' GROUP BY host)),
         d AS (SELECT domain, suffix, sum(n) AS n, sum(bad) AS bad FROM h GROUP BY domain, suffix),
         s AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad FROM d GROUP BY suffix),
         ms AS ({_STRENGTH.format("SELECT n, bad, 0 AS g FROM s")}),
@@ -170,7 +170,7 @@ _URL_FILTER = f"""
                         WHEN (p.host = 'org' OR p.host LIKE '%.org') AND starts_with(path, '/es/') THEN 'org/es/'
                         WHEN (p.host = 'net' OR p.host LIKE '%.net') AND starts_with(path, '/de/') THEN 'net/de/'
                         WHEN (p.host = 'com' OR p.host LIKE '%.com') AND starts_with(path, '/en/') THEN 'com/en/' END AS rule
-            FROM p LEFT JOIN b ON p.host = b.host)
+            FROM p LEFT JOIN b ON regexp_replace(p.host, '^.*@|:\\d*$', '', 'g') = b.host)
         SELECT page_id, host, path, rule,
                CASE WHEN rule IN ('example.com/en/7', 'net/de/') THEN 'allow' WHEN rule IS NOT NULL OR bad THEN 'block' ELSE 'allow' END AS verdict
         FROM v"""

@@ -19,10 +19,8 @@ from clausewright.llm.shared import settle
 
 #: Fixed: the rules of the registered query, as (verdict, rule).
 RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
-#: Fixed: suffixes of two labels that sites are registered under.
+#: Fixed: some suffixes of two labels that sites are registered under; public lists have thousands, which ``suffixes`` takes.
 SUFFIXES = ["ac.uk", "co.jp", "co.nz", "co.uk", "co.za", "com.au", "com.br", "com.mx", "gov.uk", "org.uk"]
-#: Fixed: words of a url's host or path that mark a page as bad, for outcomes.
-SPAM_WORDS = ["ads", "adult", "bets", "casino", "pills", "porn", "spam", "viagra"]
 #: A level's strength, in pages, is kept between these; equal rates have the larger one.
 WEAKEST, STRONGEST = 1.0, 1_000.0
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -48,23 +46,33 @@ def rule_for(host: Column, path: Column, rules: list[tuple[str, str]]) -> tuple[
     return rule, verdict
 
 
-def suffix_of(host: Column) -> Column:
-    labels = F.split(host, "\\.")
+def site_of(host: Column) -> Column:
+    """The host without a user before it and a port after it."""
+    return F.regexp_replace(host, r"^.*@|:\d*$", "")
+
+
+def _is_address(site: Column) -> Column:
+    return site.rlike(r"^\d{1,3}(\.\d{1,3}){3}$|^\[")
+
+
+def suffix_of(site: Column, suffixes: list[str] | None = None) -> Column:
+    """The last label, or the last two if they are one of ``suffixes``; an address is its own suffix."""
+    labels = F.split(site, "\\.")
     two = F.array_join(F.slice(labels, -2, 2), ".")
-    return F.when((F.size(labels) > 1) & two.isin(SUFFIXES), two).otherwise(F.element_at(labels, -1))
+    return F.when(_is_address(site), site).when((F.size(labels) > 1) & two.isin(SUFFIXES if suffixes is None else suffixes), two).otherwise(F.element_at(labels, -1))
 
 
-def domain_of(host: Column) -> Column:
-    """The label before the suffix, and the suffix."""
-    labels = F.split(host, "\\.")
-    n = F.when(F.array_join(F.slice(labels, F.greatest(F.size(labels) - 1, F.lit(1)), 2), ".").isin(SUFFIXES), 3).otherwise(2)
-    return F.when(F.size(labels) > n, F.array_join(F.slice(labels, F.size(labels) - n + 1, n), ".")).otherwise(host)
+def domain_of(site: Column, suffixes: list[str] | None = None) -> Column:
+    """The label before the suffix, and the suffix; an address is its own domain."""
+    labels = F.split(site, "\\.")
+    two = F.array_join(F.slice(labels, F.greatest(F.size(labels) - 1, F.lit(1)), 2), ".")
+    n = F.when(two.isin(SUFFIXES if suffixes is None else suffixes), 3).otherwise(2)
+    return F.when(~_is_address(site) & (F.size(labels) > n), F.array_join(F.slice(labels, F.size(labels) - n + 1, n), ".")).otherwise(site)
 
 
-def outcome(url: Column, quality: Column) -> Column:
-    """1 for a page whose url has one of SPAM_WORDS between other signs, or whose document's label is 0; 0 for label 1; else null."""
-    spam = F.concat(host_of(url), F.lower(path_of(url))).rlike(f"(^|[^a-z])({'|'.join(SPAM_WORDS)})([^a-z]|$)")
-    return F.when(F.coalesce(spam, F.lit(False)) | (quality == 0), 1).when(quality == 1, 0)
+def outcome(quality: Column, toxic: Column) -> Column:
+    """1 for a page whose document is labelled bad or toxic, 0 for one that is labelled good and isn't, else null; the url has no say."""
+    return F.when((quality == 0) | (toxic == 1), 1).when(quality == 1, 0)
 
 
 def _log_gamma(z: Column) -> Column:
@@ -127,8 +135,8 @@ def _spread(rows: DataFrame, group: list[str], n: str, bad: str, name: str) -> D
     return sums.select(F.least(F.lit(STRONGEST), F.greatest(F.lit(WEAKEST), strength)).alias(name))
 
 
-def reputation(outcomes: DataFrame, threshold: float = 0.3, others: DataFrame | None = None) -> DataFrame:
-    """Per host of ``outcomes`` (host, bad) and of ``others`` (host): host, n, bad, a and b (its posterior), rate (mean), below (its value at ``threshold``).
+def reputation(outcomes: DataFrame, threshold: float = 0.3, others: DataFrame | None = None, suffixes: list[str] | None = None) -> DataFrame:
+    """Per host of ``outcomes`` (host, bad) and of ``others`` (host), without users and ports: host, n, bad, a and b (its posterior), rate (mean), below (its value at ``threshold``).
 
     Counts are summed before any shuffle, so a host that a third of all pages have costs a row per task; the levels above
     are sums of these.  Null outcomes and empty hosts are ignored.  Hosts of ``others`` add no counts.  Without any
@@ -138,8 +146,8 @@ def reputation(outcomes: DataFrame, threshold: float = 0.3, others: DataFrame |
     if others is not None:
         zero = F.lit(0).cast("bigint")
         seen = seen.unionByName(others.select("host", zero.alias("n"), zero.alias("bad")))
-    hosts = seen.where("host <> ''").groupBy("host").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
-    hosts = settle(hosts.withColumn("domain", domain_of(F.col("host"))).withColumn("suffix", suffix_of(F.col("host"))))
+    hosts = seen.withColumn("host", site_of(F.col("host"))).where("host <> ''").groupBy("host").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
+    hosts = settle(hosts.withColumn("domain", domain_of(F.col("host"), suffixes)).withColumn("suffix", suffix_of(F.col("host"), suffixes)))
     domains = settle(hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("dn"), F.sum("bad").alias("db")))
     suffixes = domains.groupBy("suffix").agg(F.sum("dn").alias("sn"), F.sum("db").alias("sb"))
     base = suffixes.agg(((F.coalesce(F.sum("sb"), F.lit(0)) + 1) / (F.coalesce(F.sum("sn"), F.lit(0)) + 2)).alias("base"))
@@ -162,16 +170,18 @@ def reputation(outcomes: DataFrame, threshold: float = 0.3, others: DataFrame |
     return out.select("*", (F.col("a") / (F.col("a") + F.col("b"))).alias("rate"), beta_below(F.col("a"), F.col("b"), threshold).alias("below"))
 
 
-def judge(pages: DataFrame, outcomes: DataFrame, keep: dict[str, Column], url: str = "url", rules: list[tuple[str, str]] | None = None, threshold: float = 0.3, alpha: float = 0.01) -> DataFrame:
+def judge(pages: DataFrame, outcomes: DataFrame, keep: dict[str, Column], url: str = "url", rules: list[tuple[str, str]] | None = None, threshold: float = 0.3, alpha: float = 0.01, suffixes: list[str] | None = None) -> DataFrame:
     """Per page: ``keep``, host, path, rule, verdict (allow or block).
 
     A rule's verdict holds; without one, block if the ``alpha`` quantile of the host's rate of bad pages is over
     ``threshold``, also for hosts that ``outcomes`` doesn't have.  Null urls and urls without :// have empty host and
-    path, and are allowed.  Only hosts that are blocked join with pages.
+    path, and are allowed; urls of any length are read whole.  An empty table of pages gives no rows, and one of outcomes blocks
+    nobody.  Extra columns are ignored.  Only hosts that are blocked join with pages.
     """
     u = F.col(url)
     df = pages.select(*[c.alias(n) for n, c in keep.items()], host_of(u).alias("host"), path_of(u).alias("path"))
     rule, verdict = rule_for(F.col("host"), F.col("path"), RULES if rules is None else rules)
     df = df.withColumn("rule", rule).withColumn("_verdict", verdict)
-    blocked = reputation(outcomes, threshold, df.select("host")).where(F.col("below") < alpha).select("host", F.lit("block").alias("_host"))
-    return df.join(blocked, "host", "left").select(*keep, "host", "path", "rule", F.coalesce("_verdict", "_host", F.lit("allow")).alias("verdict"))
+    df = df.withColumn("_site", site_of(F.col("host")))
+    blocked = reputation(outcomes, threshold, df.select("host"), suffixes).where(F.col("below") < alpha).select(F.col("host").alias("_site"), F.lit("block").alias("_host"))
+    return df.join(blocked, "_site", "left").select(*keep, "host", "path", "rule", F.coalesce("_verdict", "_host", F.lit("allow")).alias("verdict"))

@@ -137,16 +137,27 @@ def test_reputation_is_estimated(spark):
 
 
 def test_outcomes(spark):
-    rows = [("http://casino-win.a.com/x", 1, 1), ("http://a.com/cheap-pills/", None, 1), ("http://spammer.com/", 1, 0), ("http://a.com/x", 0, 1), ("http://a.com/x", None, None), (None, None, None), (None, 0, 1)]
-    df = spark.createDataFrame(rows, "url string, q int, want int")
-    assert all(r.got == r.want for r in df.select("want", urlfilter.outcome(F.col("url"), F.col("q")).alias("got")).collect())
-
-
-@pytest.mark.skipif(not Path("/root/testdata/sf0.1").exists(), reason="no test data")
-def test_reputation_decides(spark):
-    rows = queries.op9_url_filter(spark, "/root/testdata/sf0.1").where("rule IS NULL").collect()
-    kinds = {r.host: r.verdict for r in rows}
-    assert kinds["www.cheap-pills.example.com"] == "block" and kinds["blog.tionsh.example.com"] == "allow"
+    rows = [(1, 0, 0), (1, 1, 1), (0, 0, 1), (0, None, 1), (None, 1, 1), (None, 0, None), (1, None, 0), (None, None, None)]
+    df = spark.createDataFrame(rows, "q int, t int, want int")
+    assert all(r.got == r.want for r in df.select("want", urlfilter.outcome(F.col("q"), F.col("t")).alias("got")).collect())
+
+
+def test_reputation_decides_both_ways(spark, tmp_path):
+    """Hosts of equal names but for a letter: what their documents' labels say decides, through the registered query."""
+    labels, pages = [], []
+    for k in range(400):
+        host = ["quiet-a.one.dev", "quiet-b.one.dev", "quiet-c.two.dev:8080", "me@quiet-d.two.dev"][k % 4]
+        pages.append((k, f"https://{host}/xx/{k}", "<p>"))
+        labels.append((k, int(k % 4 in (0, 3) or k % 40 == 1), 0 if k % 8 else int(k % 80 == 0)))
+    pages += [(1000, "https://casino-win.three.dev/xx/1", "<p>"), (1001, "https://10.0.0.7:80/xx/2", "<p>"), (1002, "https://quiet-c.two.dev/yy", "<p>"), (1003, None, None), (1004, "https://quiet-b.one.dev/" + "z" * 100_000, "")]
+    spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame(pages, "page_id bigint, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r.page_id: r.verdict for r in queries.op9_url_filter(spark, str(tmp_path)).collect()}
+    assert {got[k] for k in range(400) if k % 4 in (1, 2)} == {"block"} and {got[k] for k in range(400) if k % 4 in (0, 3)} == {"allow"}
+    assert (got[1000], got[1002], got[1003], got[1004]) == ("allow", "block", "allow", "block") and len(got) == len(pages)
+    names = spark.createDataFrame([("10.0.0.7",), ("[::1]",), ("a.b.example",), ("x.gov.test",)], "h string")
+    found = names.select(urlfilter.domain_of(F.col("h"), ["gov.test"]).alias("d"), urlfilter.suffix_of(F.col("h"), ["gov.test"]).alias("s")).collect()
+    assert [tuple(r) for r in found] == [("10.0.0.7", "10.0.0.7"), ("[::1]", "[::1]"), ("b.example", "example"), ("x.gov.test", "gov.test")]
 
 
 DATA = Path("/root/testdata/sf0.001")
