@@ -337,8 +337,11 @@ def test_quality(spark):
         sizes = [sum(len(c.compress(t[i : i + 2048])) for i in range(0, len(t), 2048)) for c in by]
         d = (sizes[1] - sizes[0]) / (len(t) + 64)
         z = model.weights[0] + 20 * model.weights[1] * d + 20 * model.weights[2] * (sizes[1] - sizes[0]) / (sum(sizes) + 64)
-        want = 1 / (1 + math.exp(-min(30, max(-30, z)))) if t else model.prior
+        odds = math.log(model.prior / (1 - model.prior))
+        want = 1 / (1 + math.exp(-odds - (min(30, max(-30, z)) - odds) * len(t) ** 2 / (len(t) ** 2 + 256))) if t else model.prior
         assert abs(r.score - want) < 1e-9 and (not t or abs(r.difference - d) < 1e-12)
+    short = quality.score(frame(spark, ["a", " ", "the", "Yes."]), model, keep()).collect()
+    assert all(abs(r.score - model.prior) < 0.1 and r.predicted == 1 for r in short)
     kept = [q for k, q in enumerate(labels) if fold(k, 5)]
     assert model.prior == sum(kept) / len(kept) and len(model.good) == 8 << 10
     twice = quality.fit(docs.union(docs), marks, rows=200, dictionary=8 << 10)
