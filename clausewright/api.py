@@ -75,7 +75,7 @@ class Workspace:
                 note("llm", 82.0)
                 out = EN.enrich(out, ask, model)
             note("saving", 95.0)
-            sinks.save_changes(out.withColumn("confidence_overall", F.col("confidence.overall")), f"{self.path}/changes")
+            sinks.save_with_summary(out.withColumn("confidence_overall", F.col("confidence.overall")), f"{self.path}/changes", f"{self.path}/summary")
             s = self.statistics(comparison_id).first()
             self._log(asked, "completed", began, 100.0, s.total, s.substantive, s.editorial, bool(ask), None)
         except Exception as error:
@@ -107,14 +107,18 @@ class Workspace:
     def change(self, comparison_id: str, change_id: str) -> DataFrame:
         return R.change(self.changes(comparison_id), comparison_id, change_id)
 
+    def _summary(self, comparison_id: str) -> DataFrame:
+        """Its counts, which are kept with the changes, so that statistics read no texts."""
+        return self._read("summary", schemas.SUMMARY).where(F.col("comparison_id") == comparison_id)
+
     def statistics(self, comparison_id: str) -> DataFrame:
-        return R.statistics(self._changes(comparison_id))
+        return R.statistics(self._summary(comparison_id))
 
     def category_distribution(self, comparison_id: str) -> DataFrame:
-        return R.category_distribution(self._changes(comparison_id))
+        return R.category_distribution(self._summary(comparison_id))
 
     def impact_heatmap(self, comparison_id: str) -> DataFrame:
-        return R.heatmap_pivot(self._changes(comparison_id))
+        return R.heatmap_pivot(self._summary(comparison_id))
 
     def dashboard(self, comparison_id: str) -> dict[str, DataFrame]:
         """What the dashboard shows: the cards' numbers, a bar for each category, and the heatmap of the four upper levels."""

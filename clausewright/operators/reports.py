@@ -13,18 +13,37 @@ def _sum(condition: Column) -> Column:
     return F.sum(F.when(condition, 1).otherwise(0)).cast("bigint")
 
 
+def summary(changes: DataFrame, overall: str = "confidence_overall") -> DataFrame:
+    """Counts of each comparison by what reports group and filter by; the functions below take it for the changes themselves.
+
+    Rows of several comparisons, or of parts of one, add up.
+    """
+    keys = ["comparison_id", "category", "impact", "change_type", "is_substantive", S.confidence_band(F.col(overall)).alias("band")]
+    return changes.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(overall), F.lit(0.0)).alias("confidence_sum"), F.count(overall).alias("confidence_n"))
+
+
+def _counted(changes: DataFrame, overall: str = "confidence_overall") -> DataFrame:
+    """Changes as rows that count once; a summary's rows count as often as they say."""
+    if "confidence_n" in changes.columns:
+        return changes
+    confidence = F.col(overall) if overall in changes.columns else F.lit(None).cast("double")
+    return changes.withColumns({"n": F.lit(1).cast("bigint"), "confidence_sum": F.coalesce(confidence, F.lit(0.0)), "confidence_n": F.when(confidence.isNull(), 0).otherwise(1).cast("bigint")})
+
+
 def statistics(changes: DataFrame, overall: str = "confidence_overall") -> DataFrame:
-    """One row of counts and mean confidence; sums are null without changes."""
+    """One row of counts and mean confidence, of changes or of a summary; sums are null without changes."""
     sub, kind, level = F.col("is_substantive"), F.col("change_type"), F.col("impact")
-    return changes.agg(
-        F.count(F.lit(1)).alias("total"), _sum(sub).alias("substantive"), _sum(~sub).alias("editorial"), _sum(kind == "ADDED").alias("added"), _sum(kind == "REMOVED").alias("removed"),
-        _sum(kind.isin("MODIFIED", "REWORDED", "RELOCATED")).alias("modified"), *[_sum(level == x).alias(x.lower()) for x in lexicon.IMPACTS], F.avg(overall).alias("avg_confidence"),
+    total = lambda condition: F.sum(F.when(condition, F.col("n")).otherwise(0)).cast("bigint")
+    return _counted(changes, overall).agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("total"), total(sub).alias("substantive"), total(~sub).alias("editorial"), total(kind == "ADDED").alias("added"), total(kind == "REMOVED").alias("removed"),
+        total(kind.isin("MODIFIED", "REWORDED", "RELOCATED")).alias("modified"), *[total(level == x).alias(x.lower()) for x in lexicon.IMPACTS], F.try_divide(F.sum("confidence_sum"), F.sum("confidence_n")).alias("avg_confidence"),
     )
 
 
 def category_distribution(changes: DataFrame, substantive_only: bool = True) -> DataFrame:
-    df = changes.where("is_substantive") if substantive_only else changes
-    return df.groupBy("category").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "category")
+    df = _counted(changes)
+    df = df.where("is_substantive") if substantive_only else df
+    return df.groupBy("category").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "category")
 
 
 def mean_confidence(column: str) -> Column:
@@ -38,17 +57,17 @@ def with_bars(counts: DataFrame) -> DataFrame:
 
 
 def impact_heatmap(changes: DataFrame) -> DataFrame:
-    return changes.where("is_substantive").groupBy("category", "impact").agg(F.count(F.lit(1)).alias("n"))
+    return _counted(changes).where("is_substantive").groupBy("category", "impact").agg(F.sum("n").alias("n"))
 
 
 def heatmap_pivot(changes: DataFrame, levels: list[str] | None = None) -> DataFrame:
     """A column per level; the dashboard's four unless others are named."""
     levels = levels or lexicon.IMPACTS[:4]
-    return changes.where("is_substantive").groupBy("category").pivot("impact", levels).count().select("category", *[F.coalesce(F.col(x), F.lit(0)).alias(x.lower()) for x in levels])
+    return _counted(changes).where("is_substantive").groupBy("category").pivot("impact", levels).sum("n").select("category", *[F.coalesce(F.col(x), F.lit(0)).alias(x.lower()) for x in levels])
 
 
 def counts_by(changes: DataFrame, column: str) -> DataFrame:
-    return changes.groupBy(column).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), column)
+    return _counted(changes).groupBy(column).agg(F.sum("n").alias("n")).orderBy(F.desc("n"), column)
 
 
 def filtered(changes: DataFrame, search: str = "", **equal: object) -> DataFrame:

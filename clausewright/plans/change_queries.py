@@ -445,3 +445,19 @@ def _(spark, d):
 @query("categories", "SELECT code, name FROM (VALUES " + ", ".join(f"('{k}', '{v}')" for k, v in lexicon.CATEGORIES.items()) + ") t(code, name)")
 def _(spark, d):
     return R.categories(spark)
+
+
+@query("summary_stats", ORACLES["stats_row"])
+def _(spark, d):
+    """As stats_row, from the counts that are stored beside the changes."""
+    return R.statistics(C.summary(spark, d)).withColumn("avg_confidence", F.round("avg_confidence", 6))
+
+
+@query("summary_heatmap", ORACLES["impact_heatmap"])
+def _(spark, d):
+    return R.impact_heatmap(C.summary(spark, d))
+
+
+@query("summary_types", ORACLES["type_counts"])
+def _(spark, d):
+    return R.counts_by(C.summary(spark, d), "change_type")

@@ -111,13 +111,20 @@ def changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = (spark.sparkContext.applicationId, sf_dir)
     if not tables.is_kept(_stored.get(key, "")):
         folder = tables.new_folder(spark, "changes")
-        sinks.save_changes(classify(alignments(spark, sf_dir), nodes(spark, sf_dir)), folder)
+        made = tables.settle(classify(alignments(spark, sf_dir), nodes(spark, sf_dir)))
+        sinks.save_with_summary(made.withColumn("confidence_overall", F.round("confidence.overall", 6)), f"{folder}/changes", f"{folder}/summary")
         _stored[key] = folder
-    df = spark.read.parquet(_stored[key])
+    df = spark.read.parquet(f"{_stored[key]}/changes")
     section = F.substring(F.coalesce("old_reference.node_id", "new_reference.node_id"), 2, 40)
     return df.withColumns({"section": section, "confidence_overall": F.round("confidence.overall", 6), "direction": F.coalesce("obligation_change.direction", F.lit("UNCHANGED"))})
 
 
+def summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counts that are stored beside the changes."""
+    changes(spark, sf_dir)
+    return spark.read.parquet(f"{_stored[spark.sparkContext.applicationId, sf_dir]}/summary")
+
+
 def quoted(text: str) -> str:
     return text.replace("'", "''")
 

@@ -12,3 +12,4 @@ OBLIGATION = "struct<old_terms:array<string>,new_terms:array<string>,old_strengt
 REVIEWS = "comparison_id string, change_id string, review_status string, reviewer_comment string, reviewed_at timestamp"
 NUMBERS = "array<struct<field:string,old_value:string,new_value:string,old_numeric:double,new_numeric:double,unit:string,direction:string,magnitude_percent:double>>"
 CHANGES = f"change_id string, old_node_id string, new_node_id string, change_type string, category string, is_substantive boolean, confidence {CONFIDENCE}, old_reference {REFERENCE}, new_reference {REFERENCE}, change_summary string, old_requirement string, new_requirement string, numerical_changes {NUMBERS}, obligation_change {OBLIGATION}, evidence array<string>, diff_highlights array<struct<old_html:string,new_html:string>>, negation_changed boolean, impact string, confidence_overall double, comparison_id string"
+SUMMARY = "comparison_id string, category string, impact string, change_type string, is_substantive boolean, band string, n bigint, confidence_sum double, confidence_n bigint"

@@ -19,15 +19,33 @@ from clausewright import schemas
 
 
 def bootstrap(spark: SparkSession, path: str) -> None:
-    """Empty documents, comparisons, reviews and changes tables where there are none."""
+    """Empty documents, comparisons, reviews, changes and summary tables where there are none."""
     for name, schema in (("documents", schemas.DOCUMENTS), ("comparisons", schemas.COMPARISONS), ("reviews", schemas.REVIEWS)):
         spark.createDataFrame([], schema).write.mode("ignore").parquet(f"{path}/{name}")
-    spark.createDataFrame([], schemas.CHANGES).write.mode("ignore").partitionBy("comparison_id").parquet(f"{path}/changes")
+    for name, schema in (("changes", schemas.CHANGES), ("summary", schemas.SUMMARY)):
+        spark.createDataFrame([], schema).write.mode("ignore").partitionBy("comparison_id").parquet(f"{path}/{name}")
 
 
 def save_changes(changes: DataFrame, path: str) -> None:
-    """Writes each comparison of ``changes`` as a partition of one file, replacing that partition only."""
-    changes.repartition("comparison_id").write.partitionBy("comparison_id").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
+    """Writes each comparison of ``changes`` as a partition, replacing that partition only; a large one is written by several tasks."""
+    _replace(changes.hint("rebalance", "comparison_id"), path)
+
+
+def save_with_summary(changes: DataFrame, path: str, summary_path: str) -> None:
+    """As save_changes, and the counts of each comparison beside it, in a partition that is replaced with the comparison's.
+
+    Counts are taken from what was written, so they are those of the table; what a comparison counted before goes with its old partition.
+    """
+    from clausewright.operators.reports import summary
+
+    names = changes.select("comparison_id").where("comparison_id IS NOT NULL").distinct()
+    save_changes(changes, path)
+    stored = changes.sparkSession.read.schema(changes.schema).parquet(path)
+    _replace(summary(stored.join(names, "comparison_id", "left_semi")).repartition("comparison_id"), summary_path)
+
+
+def _replace(rows: DataFrame, path: str) -> None:
+    rows.write.partitionBy("comparison_id").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
 
 
 def save_keyed(stored: DataFrame, rows: DataFrame, keys: list[str], path: str) -> None:

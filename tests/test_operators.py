@@ -262,3 +262,23 @@ def test_in_turn_is_the_scan(spark, scores):
             used.add(-best[1])
             want.add((f"o{a}", f"n{-best[1]}"))
     assert {(r.old_id, r.new_id) for r in A.in_turn(df).collect()} == want
+
+
+def test_summaries_follow_the_changes(spark, tmp_path):
+    """After a comparison is replaced, the summary gives what the changes give; the others' counts stay."""
+    rng = random.Random(3)
+    table, counts = str(tmp_path / "changes"), str(tmp_path / "summary")
+
+    def save(n, names):
+        rows = [(c, rng.choice(["C04", "C05", "C17"]), rng.choice(["HIGH", "LOW", "CRITICAL"]), rng.choice(["ADDED", "MODIFIED", "REMOVED"]), rng.random() < 0.7, rng.choice([None, round(rng.random(), 3)])) for c in names for _ in range(n)]
+        sinks.save_with_summary(spark.createDataFrame(rows, "comparison_id string, category string, impact string, change_type string, is_substantive boolean, confidence_overall double"), table, counts)
+
+    save(40, "AB")
+    save(9, "B")
+    save(25, "C")
+    both = [spark.read.parquet(table), spark.read.parquet(counts)]
+    assert both[0].groupBy("comparison_id").count().orderBy("comparison_id").collect() == spark.createDataFrame([("A", 40), ("B", 9), ("C", 25)], "comparison_id string, count bigint").collect()
+    for f in (R.category_distribution, R.impact_heatmap, R.heatmap_pivot, lambda df: R.counts_by(df, "change_type"), lambda df: R.statistics(df).withColumn("avg_confidence", F.round("avg_confidence", 9))):
+        for own in ("comparison_id = 'B'", "true", "comparison_id = 'nobody'"):
+            a, b = (sorted(map(str, f(df.where(own)).collect())) for df in both)
+            assert a == b
