@@ -293,7 +293,7 @@ def _(spark, d):
 
 @query("changes_search", _changes("SELECT comparison_id, change_id FROM changes WHERE contains(lower(change_summary), 'penalty') OR contains(lower(old_requirement), 'penalty') OR contains(lower(new_requirement), 'penalty')"))
 def _(spark, d):
-    return R.filtered(C.changes(spark, d), search="PENALTY").select("comparison_id", "change_id")
+    return C.search(spark, d, "PENALTY").select("comparison_id", "change_id")
 
 
 _RANK = "CASE impact WHEN 'CRITICAL' THEN 0 WHEN 'HIGH' THEN 1 WHEN 'MEDIUM' THEN 2 WHEN 'LOW' THEN 3 ELSE 4 END"

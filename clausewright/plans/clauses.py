@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from clausewright import lexicon
 from clausewright.operators.changes import classify
+from clausewright.sources import search as index
 from clausewright.sources import sinks, tables
 
 _MODAL = "CASE WHEN k % {w} = 0 THEN 'will' ELSE CASE {c} % 6 WHEN 0 THEN 'shall' WHEN 1 THEN 'may' WHEN 2 THEN 'must' WHEN 3 THEN 'should' WHEN 4 THEN 'shall not' ELSE 'can' END END"
@@ -125,6 +126,14 @@ def summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{_stored[spark.sparkContext.applicationId, sf_dir]}/summary")
 
 
+def search(spark: SparkSession, sf_dir: str, needle: str) -> DataFrame:
+    """The stored changes that have ``needle`` in their texts, through an index that is brought up to date first."""
+    changes(spark, sf_dir)
+    folder = _stored[spark.sparkContext.applicationId, sf_dir]
+    index.update_index(spark, f"{folder}/changes", f"{folder}/index")
+    return index.search(spark, f"{folder}/changes", f"{folder}/index", needle)
+
+
 def quoted(text: str) -> str:
     return text.replace("'", "''")
 

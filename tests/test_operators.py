@@ -15,7 +15,7 @@ from clausewright.operators import changes as CH
 from clausewright.operators import reports as R
 from clausewright.operators import structure as ST
 from clausewright.sources import documents as DOC
-from clausewright.sources import enrich, sinks
+from clausewright.sources import enrich, search, sinks
 from clausewright.sources.tables import settle
 from clausewright.streaming import ingest
 
@@ -282,3 +282,31 @@ def test_summaries_follow_the_changes(spark, tmp_path):
         for own in ("comparison_id = 'B'", "true", "comparison_id = 'nobody'"):
             a, b = (sorted(map(str, f(df.where(own)).collect())) for df in both)
             assert a == b
+
+
+def test_search_reads_few_files(spark, tmp_path):
+    """Through the index as without it, before and after comparisons are replaced; what is read is counted."""
+    table, index = str(tmp_path / "changes"), str(tmp_path / "index")
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdeÉ") for _ in range(5))
+
+    def save(names, needle=None):
+        rows = [(c, f"CHG-{k}", f"{word()} {word()}", rng.choice([None, word()]), needle if k == 3 else word()) for c in names for k in range(8)]
+        sinks.save_changes(spark.createDataFrame(rows, "comparison_id string, change_id string, change_summary string, old_requirement string, new_requirement string"), table)
+
+    def check(needle, most):
+        rows = spark.read.parquet(table)
+        want = {(r.comparison_id, r.change_id) for r in R.filtered(rows, needle).collect()}
+        assert {(r.comparison_id, r.change_id) for r in search.search(spark, table, index, needle).collect()} == want
+        assert len(search.files_for(spark, table, index, needle)) <= most
+        return len(want)
+
+    save([f"C {k}:x+%" for k in range(20)])
+    save(["rare"], "the Zymurgy clause")
+    files = len(search.table_files(spark, table))
+    assert check("ZYMURGY", files) == 1 and search.update_index(spark, table, index) == files and search.update_index(spark, table, index) == 0
+    assert check("ZYMURGY", 1) == 1 and check("zymurgist", 0) == 0 and check("zy", files) == 1 and check("abc", files) >= 0 and check("é", files) > 0
+    save(["C 3:x+%"], "a new Zymurgy")
+    save(["rare"])
+    assert check("zymurgy", 2) == 1
+    assert search.update_index(spark, table, index) == 2 and check("zymurgy", 1) == 1
