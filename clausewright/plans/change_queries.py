@@ -437,14 +437,25 @@ def _(spark, d):
     return R.missing_keys(spark.read.parquet(f"{d}/labels.parquet"), spark.read.parquet(f"{d}/documents.parquet").where("lang = 'en'"), "doc_id")
 
 
-@query("ui_labels", "SELECT code, name FROM (VALUES " + ", ".join(f"('{k}', '{v}')" for k, v in lexicon.UI_LABELS.items()) + ") t(code, name)")
+def _labelled(names: dict[str, str]) -> str:
+    values = ", ".join(f"('{k}', '{v}')" for k, v in names.items())
+    return _changes(f"SELECT code, name, count(c.category) AS n FROM (VALUES {values}) t(code, name) LEFT JOIN changes c ON c.category = code GROUP BY code, name")
+
+
+def _used(spark: SparkSession, d: str, names: dict[str, str]) -> DataFrame:
+    """All codes with their names and how many changes have them."""
+    used = R.counts_by(C.summary(spark, d), "category").withColumnRenamed("category", "code")
+    return R.categories(spark, names).join(used, "code", "left").select("code", "name", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+@query("ui_labels", _labelled(lexicon.UI_LABELS))
 def _(spark, d):
-    return R.categories(spark, lexicon.UI_LABELS)
+    return _used(spark, d, lexicon.UI_LABELS)
 
 
-@query("categories", "SELECT code, name FROM (VALUES " + ", ".join(f"('{k}', '{v}')" for k, v in lexicon.CATEGORIES.items()) + ") t(code, name)")
+@query("categories", _labelled(lexicon.CATEGORIES))
 def _(spark, d):
-    return R.categories(spark)
+    return _used(spark, d, lexicon.CATEGORIES)
 
 
 @query("summary_stats", ORACLES["stats_row"])
