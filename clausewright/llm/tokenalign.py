@@ -65,29 +65,17 @@ class Tokenizers:
         self.encode_a = fast.encode_ordinary if fast else lambda x: a.encode(x, add_special_tokens=False).ids
         letters = {chr(v): k for k, v in _byte_letters().items()}
         self.a_bytes = {i: bytes(letters[c] for c in piece) for piece, i in a.get_vocab(with_added_tokens=False).items() if all(c in letters for c in piece)}
+        self.a_size = {i: len(x) for i, x in self.a_bytes.items()}
         self.b = sentencepiece.SentencePieceProcessor(model_file=b_path)
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in ((i, self.b.id_to_piece(i)) for i in range(self.b.get_piece_size()))]
+        self.b_size = [len(x) for x in self.b_bytes]
+        self.names = [str(i) for i in range(1 + max(len(self.b_bytes), *self.a_bytes))]
 
     def encode_b(self, stretch: str) -> list[int]:
         """Ids in a text: a space before the text is B's own, and other stretches follow something, as after a line feed."""
         return self.b.encode(stretch[1:]) if stretch.startswith(" ") else self.b.encode("\n" + stretch)[2:]
 
 
-def link(a: list[int], b: list[int], a_size: list[int], b_size: list[int]) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
-    """Index pairs of A and B tokens whose bytes overlap, and how many tokens of each have ended at each common end."""
-    links, ends, i, j, at_a, at_b = [], [], 0, 0, 0, 0
-    while i < len(a) and j < len(b):
-        links.append((a[i], b[j]))
-        end_a, end_b = at_a + a_size[i], at_b + b_size[j]
-        if end_a <= end_b:
-            i, at_a = i + 1, end_a
-        if end_b <= end_a:
-            j, at_b = j + 1, end_b
-        if end_a == end_b:
-            ends.append((i, j))
-    return links, ends
-
-
 class Known(dict):
     """Number of each stretch, and by number what it holds; -1 where a tokenizer changes bytes."""
 
@@ -98,23 +86,39 @@ class Known(dict):
         self.groups: list[bytes] = []
 
     def __missing__(self, stretch: str) -> int:
-        a, b, data = self.t.encode_a(stretch), self.t.encode_b(stretch), stretch.encode()
-        a_parts, b_parts = [self.t.a_bytes[x] for x in a], [self.t.b_bytes[x] for x in b]
-        if b"".join(a_parts) != data or b"".join(b_parts) != data:
+        t = self.t
+        a, b = t.encode_a(stretch), t.encode_b(stretch)
+        data = stretch.encode()
+        if b"".join([t.a_bytes[x] for x in a]) != data or b"".join([t.b_bytes[x] for x in b]) != data:
             self[stretch] = -1
             return -1
-        links, ends = link(a, b, list(map(len, a_parts)), list(map(len, b_parts)))
-        groups, i, j = [], 0, 0
-        for p, q in ends:
-            groups.append(f"{','.join(map(str, a[i:p]))}|{','.join(map(str, b[j:q]))}")
-            i, j = p, q
-        times: dict[int, int] = {}
-        for x, y in links:
-            times[x << 20 | y] = times.get(x << 20 | y, 0) + 1
+        i, j, n_links, groups, times = 0, 0, 0, [], {}
+        while i < len(a):  # a group: tokens of both up to the next common end
+            x, y = a[i], b[j]
+            end_a, end_b, first_i, first_j = t.a_size[x], t.b_size[y], i, j
+            while True:
+                n_links += 1
+                pair = x << 20 | y
+                times[pair] = times.get(pair, 0) + 1
+                if end_a == end_b:
+                    break
+                if end_a < end_b:
+                    i += 1
+                    x = a[i]
+                    end_a += t.a_size[x]
+                else:
+                    j += 1
+                    y = b[j]
+                    end_b += t.b_size[y]
+            i, j = i + 1, j + 1
+            groups.append(f"{','.join([t.names[x] for x in a[first_i:i]])}|{','.join([t.names[y] for y in b[first_j:j]])}")
         k = self[stretch] = len(self.groups)
         self.groups.append(";".join(groups).encode())
-        for column, value in ((self.n_a, len(a)), (self.n_b, len(b)), (self.n_groups, len(ends)), (self.n_links, len(links)), (self.n_pairs, len(times))):
-            column.append(value)
+        self.n_a.append(len(a))
+        self.n_b.append(len(b))
+        self.n_groups.append(len(groups))
+        self.n_links.append(n_links)
+        self.n_pairs.append(len(times))
         self.pairs.extend(times)
         self.times.extend(times.values())
         return k
