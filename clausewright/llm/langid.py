@@ -161,8 +161,8 @@ def fit(documents: DataFrame, folds: int = 3, held: int = 1, rows: int = 1000) -
     Bounded: of each language about the ``rows`` documents with the smallest hash of doc_id, so that a rare language is
     learned too.  Seven of eight train, with stretches of 1000 characters together from places anywhere in the text (a
     shorter text whole); the eighth calibrates by whole texts, which are scored where they are.  Rows without language,
-    id or letters are ignored; of rows with one doc_id and language the first text counts.  Without any row the only
-    language is ``und``.
+    id or letters are ignored; of rows with one doc_id and language the first text counts.  With fewer than 64 documents, or if a
+    language would have none to train with, all of them both train and calibrate.  Without any row the only language is ``und``.
     """
     h = F.xxhash64("doc_id")
     own = documents.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (fold(F.col("doc_id"), folds) != held)).select("doc_id", F.col("text").alias("_text"), "lang")
@@ -199,7 +199,7 @@ def identify(documents: DataFrame, model: Model, keep: dict[str, Column], text:
 
     lang_pred is ``und`` with score 0 where the text is null or has no letter; else the likeliest learned language and its
     calibrated probability.  rejected: that is under the language's bound (always for ``und``).  Texts are read
-    whole; equal rows get equal answers.
+    whole; equal rows get equal answers.  An empty table gives no rows; extra columns are ignored.
     """
     languages = np.array(model.languages, object)
 

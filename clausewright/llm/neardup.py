@@ -290,7 +290,8 @@ def near_duplicates(documents: DataFrame, doc_id: str = "doc_id", text: str = "t
     Two documents are linked if 100 * shared >= ``percent`` * united shingles; component_id is the smallest doc_id that
     links reach, and kept says that it is the document's own.  Null, empty and wordless texts are linked with nothing.
     Rows of one doc_id count as one document; rows without doc_id have no component and are kept.  Pairs are estimated
-    first with a margin of ``sigmas`` standard errors under the threshold.  Extra columns are ignored.
+    first with a margin of ``sigmas`` standard errors under the threshold.  Texts of any length are hashed whole.  An empty table gives
+    no rows; extra columns are ignored.
     """
     share = percent / 100
     cut = share - sigmas * (share * (1 - share) / REGISTERS) ** 0.5

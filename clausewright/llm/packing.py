@@ -280,7 +280,7 @@ def pack(cut: DataFrame, keys: list[str], capacity: int = 2048) -> DataFrame:
     """``cut`` (from pieces) with sequence_id and offset.
 
     ``keys`` name a piece together with piece; rows that are alike in all columns may swap places.  No rows give no
-    sequences.  The driver holds a count for each length up to ``capacity`` and the patterns, and nothing else.
+    sequences, and a document of any length is so many pieces.  The driver holds a count for each length up to ``capacity`` and the patterns, and nothing else.
     """
     spark = cut.sparkSession
     cut = settle(cut)

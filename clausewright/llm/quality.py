@@ -101,10 +101,11 @@ def fit(documents: DataFrame, labels: DataFrame, label: str = "quality", folds:
     """A model from the labelled documents whose crc32 fold is not 0.
 
     Bounded: at most ``rows`` ids of each label, those with the smallest hash.  Half of them, by another hash, give the
-    dictionaries pieces of 256 characters from four places anywhere in their text; of the others the whole texts are
+    dictionaries pieces of 256 characters from up to four places anywhere in their text, the first place of all rows before the second of
+    any, until ``dictionary`` bytes are full; of the others the whole texts are
     compressed where they are, for the curve.  Ids are broadcast, pieces and differences come to the driver, texts
     don't.  Rows that share an id count once: their smallest piece, their mean difference, their smallest label.  Null
-    ids, null and empty texts and labels other than 0 and 1 are ignored; without rows of both labels all scores are
+    ids, null and empty texts and labels other than 0 and 1 are ignored; where that half has one label only, all rows fit the curve; without rows of both labels all scores are
     the share of label 1 (0.5 without any row).
     """
     own = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1) & (fold(F.col("doc_id"), folds) != 0)).groupBy("doc_id").agg(F.min(label).alias("label"))

@@ -178,6 +178,7 @@ def scan(documents: DataFrame, keep: dict[str, Column], text: str = "text") -> D
 
     Spans are kind:start:end, end exclusive, in code points, by start and then kind.  Null counts as empty, and a text
     without secrets has an empty string.  Whole texts are scanned where they are, equal rows alike; nothing is shuffled.
+    An empty table gives no rows; extra columns are ignored, whatever their names.
     """
     t = F.coalesce(F.col(text), F.lit(""))
     df = documents.select(*[c.alias(n) for n, c in keep.items()], t.alias("_t"))

@@ -137,6 +137,7 @@ def write(pages: DataFrame, folder: str, page_id: str = "page_id", url: str = "u
 
     Null html is an empty payload, a null url leaves out the target URI, a null page_id sorts first and is a response.
     Rows with the same id and payload are written each, as records of the same kind.  No rows give an empty manifest.
+    Extra columns are ignored, whatever their names.
     A shard is sorted on disk and streamed, so its size isn't bound to memory: there is one for ``shard_bytes`` of html
     up to ``most_shards``, as many as a shuffle can have without its own bookkeeping becoming the load, and with more
     html than that shards are larger and have more files, each of ``roll_bytes``.
