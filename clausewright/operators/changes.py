@@ -13,7 +13,7 @@ from clausewright.functions import extract as E
 from clausewright.functions import scores as S
 from clausewright.operators import align as A
 from clausewright.operators import reports, structure
-from clausewright.sources.tables import settle, spread
+from clausewright.sources.tables import settle, spread, stored
 
 
 def reference(prefix: str) -> Column:
@@ -96,7 +96,7 @@ def number(df: DataFrame, tasks: int | None = None) -> DataFrame:
     """
     order = ["comparison_id", "layer", "rank", "tie", "old_node_id", "new_node_id"]
     tasks = tasks or max(df.sparkSession.sparkContext.defaultParallelism, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    placed = settle(settle(df).repartitionByRange(tasks, *order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()))
+    placed = stored(stored(df, "unnumbered").repartitionByRange(tasks, *order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()), "numbered")
     part = F.shiftright("_at", 33).alias("_part")
     before = Window.partitionBy("comparison_id").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     starts = placed.groupBy("comparison_id", part).agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))

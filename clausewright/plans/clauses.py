@@ -112,8 +112,8 @@ def changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = (spark.sparkContext.applicationId, sf_dir)
     if not tables.is_kept(_stored.get(key, "")):
         folder = tables.new_folder(spark, "changes")
-        made = tables.settle(classify(alignments(spark, sf_dir), nodes(spark, sf_dir)))
-        sinks.save_with_summary(made.withColumn("confidence_overall", F.round("confidence.overall", 6)), f"{folder}/changes", f"{folder}/summary")
+        made = classify(alignments(spark, sf_dir), nodes(spark, sf_dir))
+        sinks.save_all(made.withColumn("confidence_overall", F.round("confidence.overall", 6)), f"{folder}/changes", f"{folder}/summary")
         _stored[key] = folder
     df = spark.read.parquet(f"{_stored[key]}/changes")
     section = F.substring(F.coalesce("old_reference.node_id", "new_reference.node_id"), 2, 40)

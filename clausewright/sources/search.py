@@ -7,8 +7,12 @@ those that are gone are ignored, so an index is never wrong, only slow.
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
 from urllib.parse import unquote
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,13 +28,52 @@ def _bucket(gram: Column) -> Column:
     return F.pmod(F.xxhash64(gram), F.lit(BUCKETS)).cast("int")
 
 
-def _name(path: str) -> str:
-    """A file's folder and name in its table."""
-    return "/".join(unquote(path).split("/")[-2:])
+def _folder(table: str) -> str:
+    return "/" + table.rstrip("/").rsplit("/", 1)[-1] + "/"
+
+
+def _name(path: str, table: str) -> str:
+    """A file's place in its table: its name, after the folder of a comparison where there is one."""
+    return unquote(path).rsplit(_folder(table), 1)[-1]
+
+
+def grams_of(texts: list[str]) -> list[str]:
+    """All three characters in a row that a text has, each once."""
+    n = np.array([len(t) for t in texts], np.int64)
+    u = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    if len(u) < 3:
+        return []
+    within = np.ones(len(u), bool)
+    ends = np.cumsum(n)
+    for back in (1, 2):
+        within[(ends - back)[n >= back]] = False
+    letters = np.flatnonzero(np.bincount(u))
+    code = np.zeros(letters[-1] + 1, np.int64)
+    code[letters] = np.arange(len(letters))
+    c, base = code[u], len(letters)
+    key = ((c[:-2] * base + c[1:-1]) * base + c[2:])[within[:-2]]
+    if base**3 <= 1 << 24:
+        seen = np.zeros(base**3, bool)
+        seen[key] = True
+        key = np.flatnonzero(seen)
+    else:
+        key = np.unique(key)
+    chars = [chr(x) for x in letters]
+    return [chars[a] + chars[b] + chars[d] for a, b, d in zip((key // base**2).tolist(), (key // base % base).tolist(), (key % base).tolist(), strict=True)]
+
+
+def _file_grams(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(file, gram) of the texts of each file in a batch."""
+    for b in batches:
+        t = pa.Table.from_batches([b])
+        for file in t["file"].unique().to_pylist():
+            own = t.filter(pa.compute.equal(t["file"], file))
+            grams = grams_of([x for c in COLUMNS for x in own[c].to_pylist() if x])
+            yield pa.RecordBatch.from_arrays([pa.array([file] * len(grams), pa.string()), pa.array(grams, pa.string())], names=["file", "gram"])
 
 
 def table_files(spark: SparkSession, table: str) -> set[str]:
-    return {_name(f) for f in spark.read.parquet(table).inputFiles()}
+    return {_name(f, table) for f in spark.read.parquet(table).inputFiles()}
 
 
 def _read(spark: SparkSession, table: str, files: list[str]) -> DataFrame:
@@ -50,10 +93,9 @@ def update_index(spark: SparkSession, table: str, index: str) -> int:
     new = sorted(table_files(spark, table) - done)
     if not new:
         return 0
-    rows = _read(spark, table, new).select(F.regexp_extract(F.url_decode(F.regexp_replace(F.col("_metadata.file_path"), r"\+", "%2B")), "([^/]+/[^/]+)$", 1).alias("file"), *COLUMNS)
-    texts = F.array(*[F.lower(F.coalesce(F.col(c), F.lit(""))) for c in COLUMNS])
-    grams = F.flatten(F.transform(texts, lambda t: F.when(F.length(t) > 2, F.transform(F.sequence(F.lit(1), F.length(t) - 2), lambda k: F.substring(t, k, 3))).otherwise(F.array().cast("array<string>"))))
-    found = rows.select("file", F.explode(F.array_distinct(grams)).alias("gram")).distinct().withColumn("bucket", _bucket(F.col("gram")))
+    path = F.url_decode(F.regexp_replace(F.col("_metadata.file_path"), r"\+", "%2B"))
+    rows = _read(spark, table, new).select(F.substring_index(path, _folder(table), -1).alias("file"), *[F.lower(c).alias(c) for c in COLUMNS])
+    found = rows.mapInArrow(_file_grams, "file string, gram string").distinct().withColumn("bucket", _bucket(F.col("gram")))
     marks = spark.createDataFrame([("", f, -1) for f in new], "gram string, file string, bucket int")
     found.select("gram", "file", "bucket").unionByName(marks).hint("rebalance", "bucket").write.partitionBy("bucket").mode("append").parquet(index)
     return len(new)

@@ -54,6 +54,13 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame, name: str = "table") -> DataFrame:
+    """``df`` as Parquet in the shared folder: smaller than a checkpoint, and who reads few columns reads few bytes."""
+    folder = new_folder(df.sparkSession, name)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """``df`` over all cores, for costly work on rows of few bytes, which adaptive execution would put into one task."""
     spark = df.sparkSession

@@ -310,3 +310,23 @@ def test_search_reads_few_files(spark, tmp_path):
     save(["rare"])
     assert check("zymurgy", 2) == 1
     assert search.update_index(spark, table, index) == 2 and check("zymurgy", 1) == 1
+
+
+def test_many_comparisons_are_no_folders(spark, tmp_path):
+    """A table of many comparisons has as many files as tasks, its counts are those of the changes, and a search finds what a scan does."""
+    rows = [(f"C{k % 700}", f"CHG-{k}", ["C04", "C17"][k % 2], ["HIGH", "LOW"][k % 3 == 0], "MODIFIED", k % 5 > 0, k / 2000, "penalty" if k == 77 else f"text {k}", None, "É") for k in range(2000)]
+    df = spark.createDataFrame(rows, "comparison_id string, change_id string, category string, impact string, change_type string, is_substantive boolean, confidence_overall double, change_summary string, old_requirement string, new_requirement string")
+    table, counts = str(tmp_path / "changes"), str(tmp_path / "summary")
+    sinks.save_all(df.repartitionByRange(3, "comparison_id"), table, counts)
+    assert len(search.table_files(spark, table)) == 3 and not [p for at in (table, counts) for p in Path(at).iterdir() if p.is_dir()]
+    a, b = (spark.read.parquet(p) for p in (table, counts))
+    assert sorted(map(str, R.impact_heatmap(a).collect())) == sorted(map(str, R.impact_heatmap(b).collect())) and R.statistics(b).first().total == 2000
+    index = str(tmp_path / "index")
+    assert search.update_index(spark, table, index) == 3 and search.update_index(spark, table, index) == 0
+    assert len(search.files_for(spark, table, index, "PENALTY")) == 1
+    assert [r.change_id for r in search.search(spark, table, index, "PENALTY").collect()] == ["CHG-77"]
+
+
+@given(st.lists(st.text("abcÉ😀\0", max_size=9), max_size=9))
+def test_grams_are_those_of_each_text(texts):
+    assert sorted(search.grams_of(texts)) == sorted({t[k : k + 3] for t in texts for k in range(len(t) - 2)})
