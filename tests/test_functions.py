@@ -143,3 +143,29 @@ def test_closest_context_is_the_largest_ratio(x, others):
 def _full(x, others):
     best = max(((difflib.SequenceMatcher(None, x, y).ratio(), -j) for j, y in enumerate(others)), default=(0.0, 0))
     return -best[1] if best[0] > 0.3 else None
+
+
+_NUMBERS = st.lists(st.sampled_from(["INR 5 lakh", "INR 7 lakh", "5 crore", "Rs. 9", "3 percent", "4%", "within 5 days", "6 days", "2 months", "pay", "and report", "x" * 70]), max_size=9).map(" ".join)
+
+
+@settings(max_examples=200, deadline=None)
+@given(_NUMBERS, _NUMBERS)
+def test_numbers_of_one_value_need_no_contexts(old, new):
+    """As a loop that compares all contexts of a unit; and none is made where a unit has one value."""
+    want = []
+    for kind, patterns in (("monetary", lexicon.MONEY), ("percentage", lexicon.PERCENT), ("duration", lexicon.DURATION)):
+        near = lambda text, x: text[max(0, x["at"][0] - 30) : x["at"][1] + 30].lower()
+        free = list(compare._found(new, patterns, kind))
+        for x in compare._found(old, patterns, kind):
+            own = [y for y in free if y["unit"] == x["unit"]]
+            at = _full(near(old, x), [near(new, y) for y in own])
+            if at is not None:
+                free.remove(own[at])
+                if own[at]["value"] != x["value"]:
+                    want.append((kind, x["text"], own[at]["text"]))
+    assert [(m["field"], m["old_value"], m["new_value"]) for m in compare.number_matches_of(old, new)] == want
+
+
+def test_equal_numbers_compare_no_contexts(monkeypatch):
+    monkeypatch.setattr(compare, "_Context", None)
+    assert compare.number_matches_of("pay INR 5 lakh within 6 days at 3 percent", "the bank pays INR 5 lakh in 6 days, or 3 percent") == []
