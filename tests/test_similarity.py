@@ -3,6 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
+from clausewright.operators import align as A
 from clausewright.operators import similarity as S
 
 
@@ -75,3 +76,25 @@ def test_dense_joins_are_all_pairs(spark):
         got = {(r.comparison_id, r.old_id, r.rank): r.new_id for r in S.dense_top(o, n, k, 0.25, 20, 12).collect()}
         assert got == {(*x, i): b for x, v in best.items() for i, (_, b) in enumerate(sorted(v)[:k], 1)}
     assert S.dense_join(o.where("node_id < 0"), n, 0.5).collect() == []
+
+
+def test_terms_of_nodes_alone_are_not_shuffled(spark):
+    """Comparisons of one node against a loop, among others; the one-node ones never reach an exchange of terms."""
+    import math
+    from collections import Counter
+
+    texts = {(f"c{k}", k, "old"): " ".join(f"w{(k * j) % 7}é" for j in range(k % 9)) for k in range(1, 30)} | {("both", 100, "old"): "aa bb aa", ("both", 101, "new"): "bb cc"} | {("many", k, "new"): f"w{k % 3} w{k % 5} w{k % 7}" for k in range(200, 650)}
+    df = spark.createDataFrame([(*key, t) for key, t in texts.items()], "comparison_id string, node_id bigint, side string, normalized_text string")
+    want = {}
+    for key, t in texts.items():
+        mates = [Counter((w := x.split()) + [f"{p} {q}" for p, q in zip(w, w[1:])]) for k, x in texts.items() if k[0] == key[0]]
+        own = Counter((w := t.split()) + [f"{p} {q}" for p, q in zip(w, w[1:])])
+        cf, df_ = sum(mates, Counter()), Counter(x for m in mates for x in m)
+        vocab = sorted(cf, key=lambda x: (-cf[x], x))[:4]
+        w = {x: own[x] * (math.log((1 + len(mates)) / (1 + df_[x])) + 1) for x in vocab if x in own}
+        norm = math.sqrt(sum(v * v for v in w.values()))
+        want |= {(*key, x): (v / norm, vocab.index(x) + 1) for x, v in w.items()}
+    got = {(r.comparison_id, r.node_id, r.side, r.term): (r.weight, r._r) for r in A._tfidf(df, features=4, stop_words=[]).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k][0] - want[k][0]) < 1e-12 and got[k][1] == want[k][1] for k in want)
+    plan = A._tfidf(df, features=4, stop_words=[])._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan
