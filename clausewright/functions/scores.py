@@ -84,14 +84,15 @@ def pair_category(is_definition: Column, numbers: Column, direction: Column, cha
 def added_category(text: Column, is_definition: Column) -> Column:
     """The first category with two groups in the text, else C12 for definitions, else C01."""
 
-    def first(low: Column) -> Column:
+    def first(hit) -> Column:
         out = F.lit(None).cast("string")
         for code, groups in reversed(lexicon.CATEGORY_GROUPS.items()):
-            hits = sum((F.when(_hit(low, g), 1).otherwise(0) for g in groups), F.lit(0))
+            hits = sum((F.when(hit(g), 1).otherwise(0) for g in groups), F.lit(0))
             out = F.when(hits >= 2, code).otherwise(out)
         return out
 
-    return F.coalesce(once(F.lower(F.coalesce(text, F.lit(""))), first), F.when(is_definition, "C12").otherwise("C01"))
+    some = lambda low: F.when(is_plain(low), first(lambda g: _plain_hit(low, g))).otherwise(first(lambda g: _hit(low, g)))
+    return F.coalesce(once(F.lower(F.coalesce(text, F.lit(""))), some), F.when(is_definition, "C12").otherwise("C01"))
 
 
 def change_type(old_section: Column, new_section: Column, ratio: Column, substantive: Column) -> Column:
@@ -156,8 +157,13 @@ def number_text(numbers: Column, titled: bool = True) -> Column:
     return F.array_join(F.transform(numbers, one), "; ")
 
 
-def summary(old_place: Column, new_place: Column, category: Column, numbers: Column, direction: Column, explanation: Column, ratio: Column) -> Column:
-    """A readable sentence about a changed pair."""
+def moved(old_place: Column, new_place: Column) -> Column:
+    """Where a changed pair stood and stands; null if that is the same."""
+    return F.when(old_place != new_place, F.concat(F.lit("Section "), old_place, F.lit(" -> "), new_place, F.lit(".")))
+
+
+def told(category: Column, numbers: Column, direction: Column, explanation: Column, ratio: Column) -> Column:
+    """Readable sentences about the texts of a changed pair."""
 
     def one(n: Column) -> Column:
         size = F.when(F.coalesce(n["magnitude_percent"], F.lit(0.0)) != 0, F.concat(F.lit(", "), F.bround(n["magnitude_percent"]).cast("bigint").cast("string"), F.lit("%"))).otherwise("")
@@ -165,7 +171,6 @@ def summary(old_place: Column, new_place: Column, category: Column, numbers: Col
 
     return F.concat_ws(
         " ",
-        F.when(old_place != new_place, F.concat(F.lit("Section "), old_place, F.lit(" -> "), new_place, F.lit("."))),
         F.concat(F.lit("Category: "), category_name(category), F.lit(".")),
         F.when(F.size(numbers) > 0, F.array_join(F.transform(numbers, one), " ")),
         F.when(direction != "UNCHANGED", explanation),
