@@ -38,39 +38,39 @@ def classify(alignments: DataFrame, nodes: DataFrame) -> DataFrame:
     both = number(placed(both.withColumns({"o": F.col("o").dropFields("normalized_text"), "w": F.col("w").dropFields("normalized_text")})))
     is_def = (F.col("o.content_type") == "definition") | (F.col("w.content_type") == "definition")
     both = both.withColumns({"_old": F.col("o.text"), "_new": F.col("w.text"), "_def": F.coalesce(is_def, F.lit(False)), "o": F.col("o").dropFields("text"), "w": F.col("w").dropFields("text")})
-    alone = F.when(added, S.added_category(F.col("_new"), F.col("w.content_type") == "definition")).otherwise("C02")
-    single = both.where(~paired).withColumns({"category": alone, "is_substantive": F.lit(True), "numerical_changes": F.array().cast(D.NUMBERS)})
-    single = single.withColumn("impact", S.impact(F.lit(True), S.impact_score(F.col("category"), F.lit("UNCHANGED"), F.col("numerical_changes"), F.col("alignment_type"))))
-    out = judged(both.where(paired)).unionByName(single, allowMissingColumns=True)
-    out = out.repartitionById(_tasks(out), F.shiftright("_at", 33).cast("int")).sortWithinPartitions("_at")
     score = lambda *names: F.coalesce(*[F.try_element_at("similarity_scores", F.lit(x)) for x in names], F.lit(0.0))
-    signals = {
-        "structural_match": score("section_match", "structural_score"),
-        "lexical_similarity": F.col("_ratio"),
-        "semantic_similarity": score("semantic_similarity", "tfidf_similarity"),
-        "numerical_agreement": F.when(F.size("numerical_changes") == 0, 1.0).otherwise(0.5),
-        "evidence_quality": F.when(F.col("match_method").isin("exact", "structural"), 0.9).otherwise(0.7),
-    }
-    fixed = {"structural_match": 0.0, "lexical_similarity": 0.0, "semantic_similarity": 0.0, "numerical_agreement": 1.0, "evidence_quality": 0.9, "overall": 0.9}
-    place = lambda p: F.when(F.col(f"{p}.section_number") != "", F.col(f"{p}.section_number")).otherwise(F.concat(F.lit("Page "), F.col(f"{p}.page_start").cast("string")))
-    kind = S.change_type(F.col("o.section_number"), F.col("w.section_number"), F.col("_ratio"), F.col("_diff_sub"))
-    out = out.withColumn("change_type", F.when(paired, kind).otherwise(F.col("alignment_type")))
+    both = both.withColumns({"_structural": score("section_match", "structural_score"), "_semantic": score("semantic_similarity", "tfidf_similarity"), "_evidence": F.when(F.col("match_method").isin("exact", "structural"), 0.9).otherwise(0.7)})
+    both = both.drop("similarity_scores", "match_method", "layer", "rank", "tie")
     old, new = F.col("_old"), F.col("_new")
+    place = lambda p: F.when(F.col(f"{p}.section_number") != "", F.col(f"{p}.section_number")).otherwise(F.concat(F.lit("Page "), F.col(f"{p}.page_start").cast("string")))
+    pairs = judged(both.where(paired)).withColumn("change_type", S.change_type(F.col("o.section_number"), F.col("w.section_number"), F.col("_ratio"), F.col("_diff_sub")))
+    signals = {
+        "structural_match": F.col("_structural"), "lexical_similarity": F.col("_ratio"), "semantic_similarity": F.col("_semantic"),
+        "numerical_agreement": F.when(F.size("numerical_changes") == 0, 1.0).otherwise(0.5), "evidence_quality": F.col("_evidence"),
+    }
+    pairs = pairs.withColumns({
+        "confidence": F.struct(*[v.alias(k) for k, v in signals.items()], S.confidence(F.col("change_type"), *signals.values()).alias("overall")).cast(schemas.CONFIDENCE),
+        "change_summary": F.concat_ws(" ", S.moved(place("o"), place("w")), "_told"),
+    })
     text = F.when(added, new).otherwise(old)
     pick = lambda c: F.when(added, F.col(f"w.{c}")).otherwise(F.col(f"o.{c}"))
     label = F.when(pick("heading") != "", pick("heading")).when(pick("section_number") != "", pick("section_number")).otherwise(F.substring(text, 1, 80))
+    fixed = {"structural_match": 0.0, "lexical_similarity": 0.0, "semantic_similarity": 0.0, "numerical_agreement": 1.0, "evidence_quality": 0.9, "overall": 0.9}
+    single = both.where(~paired).withColumns({
+        "change_type": F.col("alignment_type"), "category": F.when(added, S.added_category(new, F.col("w.content_type") == "definition")).otherwise("C02"), "is_substantive": F.lit(True), "numerical_changes": F.array().cast(D.NUMBERS),
+        "confidence": F.struct(*[F.lit(v).alias(k) for k, v in fixed.items()]).cast(schemas.CONFIDENCE), "change_summary": F.concat(F.when(added, F.lit("New content added: ")).otherwise("Content removed: "), label),
+    })
+    single = single.withColumn("impact", S.impact(F.lit(True), S.impact_score(F.col("category"), F.lit("UNCHANGED"), F.col("numerical_changes"), F.col("change_type"))))
+    gone = ["_def", "_structural", "_semantic", "_evidence", "_ratio", "_diff_sub", "_told"]
+    out = pairs.drop(*gone).unionByName(single.drop(*gone), allowMissingColumns=True)
+    out = out.repartitionById(_tasks(out), F.shiftright("_at", 33).cast("int")).sortWithinPartitions("_at")
     either = lambda pair, one: F.when(paired, pair).otherwise(one)
     names = [
         "change_id", "comparison_id", "old_node_id", "new_node_id", "change_type", "category", "is_substantive", "confidence", "old_reference", "new_reference", "change_summary", "old_requirement", "new_requirement",
         "numerical_changes", "obligation_change", "evidence", "diff_highlights", "negation_changed", "impact",
     ]
     out = out.withColumns({
-        "confidence": either(
-            F.struct(*[v.alias(k) for k, v in signals.items()], S.confidence(F.col("change_type"), *signals.values()).alias("overall")).cast(schemas.CONFIDENCE),
-            F.struct(*[F.lit(v).alias(k) for k, v in fixed.items()]).cast(schemas.CONFIDENCE),
-        ),
         "old_reference": reference("o", "_old"), "new_reference": reference("w", "_new"),
-        "change_summary": either(F.concat_ws(" ", S.moved(place("o"), place("w")), "_told"), F.concat(F.when(added, F.lit("New content added: ")).otherwise("Content removed: "), label)),
         "old_requirement": either(F.substring(old, 1, 500), F.when(added, "").otherwise(F.substring(text, 1, 500))), "new_requirement": either(F.substring(new, 1, 500), F.when(added, F.substring(text, 1, 500)).otherwise("")),
         "evidence": either(F.array(F.substring(old, 1, 200), F.substring(new, 1, 200)), F.array(F.substring(text, 1, 300))),
         "diff_highlights": either(F.array("_html"), F.array().cast("array<struct<old_html:string,new_html:string>>")), "negation_changed": F.coalesce("negation_changed", F.lit(False)),
