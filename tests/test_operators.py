@@ -357,7 +357,7 @@ def test_changes_are_placed_before_they_are_classified(spark, monkeypatch):
 
 
 def _shared_texts(spark):
-    """40 pairs of two pairs of texts in four comparisons, a pair with a null text, and nodes of one side, one of each with the id of no other."""
+    """40 pairs in four comparisons that share two pairs of texts, a pair with a null text, and 30 added nodes."""
     texts = [("The bank shall report within 5 days", "The bank may report within 15 days"), ("Pay INR 3 lakh", "Pay INR 8 lakh, if asked")]
     nodes, pairs = [], []
     for k in range(40):
