@@ -55,3 +55,30 @@ def test_ratios_from_a_least_one(least):
         got = D.ratio_from(a, b, least)
         assert D.ratio_of(a, b) == want and (got == want if want >= least else got < least)
         assert (D.ratio_from(a, b, least, least) > least) == (want > least)
+
+
+def test_cheap_rules_equal_the_patterns(spark):
+    """Texts that begin like a rule's or not, with white space of any kind, against the patterns alone; ratios are computed once where they filter."""
+    import random
+
+    from clausewright import lexicon
+    from clausewright.functions import text as T
+    from clausewright.operators import structure as ST
+
+    random.seed(5)
+    bits = ["12", "Page 3 of 9", "- 4 -", " ", "  ", "\n", "\t", "\x0b", "\x85", "　", "a", "Contents", "....", "Rs. 5", "₹ 9", "pre-\nfix", "\x92", "\x1c", "p"]
+    rows = [("".join(random.choices(bits, k=random.randint(1, 4))),) for _ in range(500)] + [("",)]
+    t = F.col("t")
+    plain = lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", "")
+    normal = plain(T.drop_furniture(T.dehyphenate(T.fix_spaces(T.fix_artifacts(t)))))
+    same = normal
+    for old, new in lexicon.CURRENCIES.items():
+        same = F.replace(same, F.lit(old), F.lit(new))
+    got = spark.createDataFrame(rows, "t string").select("t", (T.strip(t) == plain(t)).alias("a"), (T.normalize(t, False) == normal).alias("b"), (T.normalize_for_comparison(t, False) == plain(F.lower(F.regexp_replace(same, r"(?U)\s+", " ")))).alias("c"))
+    assert got.where("NOT (a AND b AND c)").collect() == []
+    pages = spark.createDataFrame([("d", "old", 1, "Terms .... 1", [("(a) one", 10.0, False, "F")], [])], "document_id string, version string, page_number int, text string, blocks array<struct<text:string,font_size:double,is_bold:boolean,font_name:string>>, tables array<array<array<string>>>")
+    plan = ST.nodes(pages, compose=False)._jdf.queryExecution().optimizedPlan().toString()
+    exploded = plan[: plan.index("Generate")]
+    assert "page_text" not in exploded
+    ratios = spark.createDataFrame([("a b", "a c")], "a string, b string").withColumn("r", D.text_ratio("a", "b")).where("r >= 0.3").select((F.col("r") + 1).alias("s"), "r")
+    assert ratios._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython [") == 1
