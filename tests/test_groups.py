@@ -82,3 +82,21 @@ def test_cheap_rules_equal_the_patterns(spark):
     assert "page_text" not in exploded
     ratios = spark.createDataFrame([("a b", "a c")], "a string, b string").withColumn("r", D.text_ratio("a", "b")).where("r >= 0.3").select((F.col("r") + 1).alias("s"), "r")
     assert ratios._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython [") == 1
+
+
+def test_terms_of_small_comparisons_are_not_shuffled(spark):
+    """Comparisons of a few nodes are weighed in one group each, from texts; a row of a node leaves Python, not one of a term."""
+    rows = [("c", k, "old" if k % 2 else "new", f"w{k % 3} w{k % 5} é{k}") for k in range(30)]
+    df = spark.createDataFrame(rows, "comparison_id string, node_id bigint, side string, normalized_text string")
+    made = A._tfidf(df, features=8, stop_words=[])
+    packed = {(r.node_id, r.side): sorted(zip(r._at, r._w)) for r in A._tfidf(df, features=8, stop_words=[], packed=True).collect()}
+    listed = {}
+    for r in made.collect():
+        listed.setdefault((r.node_id, r.side), []).append((r._r, r.weight))
+    assert packed == {k: sorted(v) for k, v in listed.items()} and len(packed) == 30
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = A._tfidf(df, features=8, stop_words=[], packed=True)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert plan.count("MapInArrow") == 2 and A._NODES >= 30
