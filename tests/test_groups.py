@@ -100,3 +100,15 @@ def test_terms_of_small_comparisons_are_not_shuffled(spark):
     finally:
         spark.conf.unset("spark.sql.adaptive.enabled")
     assert plan.count("MapInArrow") == 2 and A._NODES >= 30
+
+
+def test_copies_are_stored_before_they_are_read_again(spark, tmp_path):
+    from clausewright.plans import text_queries as Q
+
+    text = "documents that begin alike for forty characters and go on with"
+    rows = [(k, f"{text} word{k % 2} here", "en") for k in range(4)] + [(9, "a document that is alone in its comparison", "en")]
+    spark.createDataFrame(rows, "doc_id bigint, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    tables.clear_folders(spark)
+    got = Q.QUERIES["lexical_pairs"](spark, str(tmp_path)).collect()
+    assert [(r.old_id, r.new_id) for r in got] == [("0", "1")]
+    assert [f for f in tables._made if "/copies-" in f]
